@@ -32,8 +32,8 @@ def ranked(ws: Workspace, keyed: DataFrame, a: str, b: str) -> DataFrame:
     """AT and rank of the suffixes whose key (a, b) occurs twice or more; the rank is the number of suffixes before
     them in the order of the keys. Counts come first, so that a frequent key is one row of the sort."""
     groups = keyed.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = running_total(ws, groups, [a, b], "n", "rank").select(a, b, "rank")
-    return keyed.join(order, [a, b]).select(*AT, "rank")
+    order = running_total(ws, groups, [a, b], "n", "place").select(a, b, "place")
+    return keyed.join(order, [a, b]).select(*AT, F.col("place").alias("rank")).distinct()
 
 
 def shifted(level: DataFrame, k: int) -> DataFrame:
