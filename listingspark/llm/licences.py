@@ -33,6 +33,9 @@ KNOWN = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
 
+#: A copyright line: one that opens with the word or the sign and names a year or the sign, or reserves all rights.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright\b[^\n]*\b(?:19|20)\d\d|copyright[ \t]*(?:\(c\)|©)|(?:\(c\)|©)[^\p{L}\n]*(?:19|20)\d\d|all rights reserved)[^\n]*$"
+
 # Spellings that count as the same word.
 SPELLINGS = (
     ("licence", "license"),
@@ -51,7 +54,7 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, marks as single blanks, one spelling. Null stays null."""
     out = F.lower(text)
-    out = F.regexp_replace(out, r"(?m)^[^\p{L}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    out = F.regexp_replace(out, COPYRIGHT, " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     # one pass finds the few texts that need respelling; the others skip the list
     any_of = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"

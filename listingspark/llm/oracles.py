@@ -5,7 +5,7 @@ Without SQL: op2 (the rules are learned) and op9 (places of matches, guess costs
 
 from __future__ import annotations
 
-from .licences import KNOWN, SPELLINGS
+from .licences import COPYRIGHT, KNOWN, SPELLINGS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -151,7 +151,7 @@ FROM documents s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN kept ON s.doc_id =
 
 
 def canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m)^[^\\p{{L}}\\n]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     for a, b in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
