@@ -22,7 +22,8 @@ from .tokens import ALNUM_LOWER, mix, tokenize
 SIZE = 10
 #: Bits of a bitmap; also the most that is ever broadcast for a window length.
 BITS = 1 << 22
-KEY = ["doc_id", "fp"]
+#: A document: its doc_id (0 for null) and a hash of its text and of whether doc_id is null.
+KEY = ["k", "fp"]
 
 
 def pair_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ def bitmaps(windows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def post(maps):
-    """doc_id, fp, text -> doc_id, fp, n_words, postings (place and term of the words that a window could cover).
+    """doc_id, k, fp, text -> doc_id, k, fp, n_words, postings (place and term of the words that a window could cover).
     maps: broadcast packed bitmaps by window length; None posts every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +99,18 @@ def post(maps):
                 rows = w.docs[at_word]
                 postings = pa.StructArray.from_arrays([pa.array((at_word - w.first[rows]).astype(np.int32)), pa.array(w.hashes[at_word].view(np.int64))], ["pos", "term"])
                 ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["fp"], pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(ends), postings)], ["doc_id", "fp", "n_words", "postings"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k"], batch["fp"], pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(ends), postings)], ["doc_id", "k", "fp", "n_words", "postings"])
 
     return run
 
 
 def index(ws: Workspace, docs: DataFrame, windows: DataFrame | None) -> DataFrame:
-    """The written index: doc_id, fp, n_words, postings of each document; of all words if windows is None."""
-    text = F.col("text").cast("string")
-    df = docs.select("doc_id", F.xxhash64(text).alias("fp"), text.alias("text"))
+    """The written index: doc_id, k, fp, n_words, postings of each document; of all words if windows is None."""
+    text, kind = F.col("text").cast("string"), dict(docs.dtypes)["doc_id"]
+    key = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("k")
+    df = docs.select("doc_id", key, F.xxhash64(text, F.col("doc_id").isNull()).alias("fp"), text.alias("text"))
     maps = None if windows is None else docs.sparkSession.sparkContext.broadcast({n: np.packbits(x) for n, x in bitmaps(windows).items()})
-    return ws.write(df.mapInArrow(post(maps), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, n_words long, postings array<struct<pos:int,term:long>>"), "index")
+    return ws.write(df.mapInArrow(post(maps), f"doc_id {kind}, k {kind}, fp long, n_words long, postings array<struct<pos:int,term:long>>"), "index")
 
 
 def postings(indexed: DataFrame) -> DataFrame:
@@ -116,13 +118,13 @@ def postings(indexed: DataFrame) -> DataFrame:
 
 
 def phrase_matches(ws: Workspace, indexed: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, fp, start, n, wid: all places of the windows (wid, n, terms) in the index."""
+    """k, fp, start, n, wid: all places of the windows (wid, n, terms) in the index."""
     lists = postings(indexed)
     terms = windows.select("wid", "n", F.posexplode("terms").alias("off", "term"))
     length = ws.write(lists.groupBy("term").agg(F.count(F.lit(1)).alias("f")).join(terms.select("term").distinct(), "term"), "lengths")
     # a window with a term that has no posting can't occur
     rarest = terms.join(length, "term").groupBy("wid", "n").agg(F.min(F.struct("f", "off", "term")).alias("m"), F.count(F.lit(1)).alias("have")).filter("have = n").select("wid", "n", "m.term", "m.off")
-    starts = lists.join(rarest, "term").select(*KEY, (F.col("pos") - F.col("off")).alias("start"), "wid", "n").filter("start >= 0")
+    starts = lists.join(rarest, "term").select(*KEY, (F.col("pos") - F.col("off")).alias("start"), "wid", "n").filter("start >= 0").distinct()
     need = starts.join(terms.select("wid", "off", "term"), "wid").withColumn("pos", F.col("start") + F.col("off"))
     met = need.join(lists.distinct(), [*KEY, "pos", "term"]).groupBy(*KEY, "start", "wid", "n").agg(F.count(F.lit(1)).alias("met"))
     return met.filter("met = n").drop("met")
@@ -131,9 +133,9 @@ def phrase_matches(ws: Workspace, indexed: DataFrame, windows: DataFrame) -> Dat
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, slop: int = 30, share: float = 0.8) -> DataFrame:
     """doc_id, item_id, place, found: items of which at least ``share`` of the distinct terms stand within ``slop`` words
     of a place of the item's rarest term, in any order. Uses a full index of the documents' words. Items without words, and
-    items whose rarest term no document has, match nothing; null texts have no words."""
+    items whose rarest term no document has, match nothing; null texts have no words; rows without doc_id are left out."""
     ws = Workspace(docs.sparkSession, "proximity")
-    lists = postings(index(ws, docs, None)).distinct()
+    lists = postings(index(ws, docs.filter("doc_id is not null"), None)).distinct()
     kind = dict(benchmark.dtypes)["item_id"]
     terms = benchmark.select("item_id", "text").mapInArrow(item_windows(1 << 30), f"item_id {kind}, n long, terms array<long>").select("item_id", F.explode("terms").alias("term")).distinct()
     length = lists.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
@@ -143,7 +145,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, slop: int = 30,
     anchors = lists.join(rarest, "term").select(*KEY, F.col("pos").alias("place"), "item_id")
     near = anchors.join(counted.select("item_id", "term"), "item_id").join(lists, [*KEY, "term"]).filter(F.abs(F.col("pos") - F.col("place")) <= slop)
     found = near.groupBy(*KEY, "item_id", "place").agg(F.countDistinct("term").alias("found")).join(total, "item_id")
-    return found.filter(F.col("found") >= F.col("total") * share).select("doc_id", "item_id", "place", "found")
+    return found.filter(F.col("found") >= F.col("total") * share).select(F.col("k").alias("doc_id"), "item_id", "place", "found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:
@@ -166,11 +168,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) ->
     items = own.select("wid", F.col("item_id").cast("string").alias("item")).filter("item is not null").distinct()
     named = found.select(*KEY, "wid").distinct().join(items, "wid").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = found.select(*KEY, "start", "n").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("hits"))
-    # null-safe: rows without doc_id have hits as well
-    bare = lambda d, tag: d.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(f"k{tag}"), F.col("fp").alias(f"f{tag}"), *[c for c in d.columns if c not in KEY])
-    out = indexed.drop("postings").withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    for i, part in enumerate((covered, named, hits)):
-        p = bare(part, i)
-        out = out.join(p, (out["k"] == p[f"k{i}"]) & (out["fp"] == p[f"f{i}"]), "left").drop(f"k{i}", f"f{i}")
+    out = indexed.drop("postings").join(covered, KEY, "left").join(named, KEY, "left").join(hits, KEY, "left")
     none = F.array().cast("array<string>")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), "hits")
