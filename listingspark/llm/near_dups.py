@@ -6,11 +6,13 @@ t to 2t - 1 put every element into bin i - t, so that each coordinate is filled.
 estimate the sets' similarity with concentration bounds, for small sets as for large ones.
 
 Sets with equal elements are one class. Classes that share a band of coordinates are compared with one of them first
-(a star), which joins nearly all that belong together; pairs of a shared band still apart are compared after that.
+(a star), which joins nearly all that belong together. What is still apart from its star is compared with the others
+of its bands by their rarest shingles, so that a bucket's pairs are never listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,16 +94,15 @@ def summaries(shingle: int, bands: int, band_rows: int):
 
 
 def whole_sets(shingle: int):
-    """cls, text -> cls, items (the set's hashes, ascending, as bytes)."""
+    """cls, text -> cls, items (the set's hashes, ascending as unsigned numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows, hashes = shingle_sets(batch["text"], shingle)
-                first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-                items = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["cls"], pa.array(items, pa.binary())], ["cls", "items"])
+                ends = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch["cls"], pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], ["cls", "items"])
 
     return run
 
@@ -113,7 +114,7 @@ def linked(percent: int):
         for batch in batches:
             shared, ok = [], []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                p, q = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -141,6 +142,40 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+#: Sizes within this factor are one size class.
+SIZE_STEP = 1.02
+
+
+def prefix_pairs(ws: Workspace, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of left(cls, n, label, out), of different labels and one of them out, that can be similar.
+
+    The shingles of each set are ordered from the rarest to the most frequent. Sets of n and m shingles that share the
+    o = ceil(s / (1 + s) * (n + m)) which similarity s asks for have a common one among the first n - o + 1 of one and
+    the first m - o + 1 of the other. Sets that differ in their rare shingles thus never meet, however many frequent
+    ones they share. Exact for any order; the one by frequency makes it selective."""
+    s = percent / 100
+    share = s / (1 + s)
+    need = lambda n, m: F.ceil(F.lit(share) * (n + m) - 1e-9)
+    items = left.join(sets, "cls").select("cls", F.explode("items").alias("h"))
+    often = items.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    weighed = items.join(often, "h", "left").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("order"))
+    ranked = ws.write(weighed.join(left, "cls").withColumn("order", F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * s - 1e-9) + 1).cast("int"))), "ranked")
+    step = math.log(SIZE_STEP)
+    kind = lambda n: F.floor(F.ln(n) / step)
+    place = F.posexplode("order").alias("pos", "x")
+    known = ranked.select("cls", "n", "label", kind(F.col("n")).alias("kind"), place).filter("x.f > 1").select("cls", "n", "label", "kind", (F.col("pos") + 1).alias("pos"), F.col("x.h").alias("h"))
+    # what is out asks for each size class on its own, with as many shingles as its smallest member calls for
+    asked = ranked.filter("out").select("cls", "n", "label", "order", F.explode(F.sequence(kind(F.col("n") * s) - 1, kind(F.col("n") / s) + 1)).alias("kind"))
+    least = F.greatest(F.exp(F.col("kind") * step) * (1 - 1e-9), F.col("n") * s)
+    asked = asked.withColumn("order", F.slice("order", 1, F.greatest(F.col("n") - need(F.col("n"), least) + 1, F.lit(0)).cast("int")))
+    asked = asked.select(F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), "kind", place).filter("x.f > 1")
+    asked = asked.select("other", "other_n", "other_label", "kind", (F.col("pos") + 1).alias("other_pos"), F.col("x.h").alias("h"))
+    o = need(F.col("n"), F.col("other_n"))
+    near = (F.col("label") != F.col("other_label")) & (F.col("pos") <= F.col("n") - o + 1) & (F.col("other_pos") <= F.col("other_n") - o + 1)
+    met = known.join(asked, (known["h"] == asked["h"]) & (known["kind"] == asked["kind"]) & near)
+    return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 75, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Groups of documents linked by 100 * shared shingles >= percent * all shingles of the two.
 
@@ -160,17 +195,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 7
     firsts = members.filter("doc_id = cls").select("cls", "s1", "s2", "n").distinct()
     reps = rows.join(firsts.withColumnRenamed("cls", "doc_id"), ["doc_id", "s1", "s2", "n"]).dropDuplicates(["doc_id", "s1", "s2"])
     banded = reps.select(F.col("doc_id").alias("cls"), "n", F.explode("keys").alias("key"))
-    # one class of each band's bucket, the same in all bands where it can be
-    mark = F.struct(F.xxhash64("cls").alias("mark"), F.col("cls").alias("star"), F.col("n").alias("star_n"))
-    shared = banded.groupBy("key").agg(F.min(mark).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "m.star", "m.star_n")
-    buckets = ws.write(banded.join(shared, "key"), "buckets")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hits = ws.write(banded.join(shared, "key"), "hits")
+    # the star of a bucket is its class that meets the most others over all bands: the text that copies come from
+    central = hits.groupBy("cls").agg(F.sum("size").alias("central"))
+    mark = F.struct("central", F.xxhash64("cls").alias("mark"), F.col("cls").alias("star"), F.col("n").alias("star_n"))
+    chosen = hits.join(central, "cls").groupBy("key").agg(F.max(mark).alias("m")).select("key", "m.star", "m.star_n")
+    buckets = ws.write(hits.join(chosen, "key").drop("size"), "buckets")
+    ws.drop(hits)
     sized = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     pair = [F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")]
     stars = buckets.filter((F.col("cls") != F.col("star")) & sized("n", "star_n")).withColumnRenamed("star", "other").select(*pair).distinct()
     stars = ws.write(stars, "stars")
     # full sets of the classes that share a bucket
     wanted = buckets.select("cls").distinct()
-    sets = ws.write(df.join(wanted.withColumnRenamed("cls", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "text").mapInArrow(whole_sets(shingle), f"cls {kind}, items binary"), "sets")
+    sets = ws.write(df.join(wanted.withColumnRenamed("cls", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "text").mapInArrow(whole_sets(shingle), f"cls {kind}, items array<long>"), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (sets.select(F.col("cls").alias(c), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
@@ -182,10 +221,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 7
     apart = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     starred = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
     apart = ws.write(apart.join(starred, "star", "left").withColumn("out", F.col("label") != F.coalesce("star_label", "star")).select("key", "cls", "n", "label", "out"), "apart")
-    mixed = apart.filter("out").select("key", F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    rest = mixed.join(apart.select("key", "cls", "n", "label"), "key").filter((F.col("label") != F.col("other_label")) & sized("n", "other_n")).select(*pair).distinct()
-    rest = ws.write(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
+    mixed = apart.filter("out").select("key").distinct()
+    left = ws.write(apart.join(mixed, "key", "left_semi").groupBy("cls", "n", "label").agg(F.max("out").alias("out")), "left")
+    if left.limit(1).count():
+        rest = ws.write(prefix_pairs(ws, left, sets, percent), "rest")
         more = confirm(rest, "more").select("a", "b")
         if more.limit(1).count():
             labels = components(ws, links.unionByName(more))
