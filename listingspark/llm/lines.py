@@ -84,7 +84,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
     they must not be named like the three new ones."""
     ws = Workspace(docs.sparkSession, "lines")
     gone = repeated_lines(ws, docs, min_lines).select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), F.col("gone").alias("_gone"), F.col("longest").alias("_longest"))
-    df = docs.join(gone, (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_fp"]), "left")
+    # the table of deletions grows with the corpus, so that texts and deletions are dealt by key at every size
+    df = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_fp"]), "left")
     # lines that stay lie between those that go: the text is cut there, in steps of the number of lines
     df = df.withColumn("_lines", F.split(docs["text"], "\n"))
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
