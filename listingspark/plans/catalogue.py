@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def half_up(x: str, digits: int) -> str:
+    """SQL that rounds as Spark does: halves of the shortest decimal form go up."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 15), {digits})::DOUBLE"
+
+
 LINES = """line AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
   ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS rn FROM lineitem) WHERE rn = 1)"""
 OBS = f"""{LINES}, obs AS (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS id, p_brand, p_type, p_size, l_quantity AS size, l_extendedprice AS price,
@@ -142,7 +147,7 @@ def best_match_top1(spark, sf):
   SELECT s.id, v.rate, row_number() OVER (PARTITION BY s.id ORDER BY abs(ln(v.size / s.size)), v.id) AS k
   FROM obs s JOIN obs v ON s.p_brand = v.p_brand AND s.p_type = v.p_type AND s.nation = v.nation AND s.id <> v.id AND v.size BETWEEN s.size * 0.4::DOUBLE AND s.size * 2.5::DOUBLE
   WHERE s.l_orderkey % 50 = 0)
-SELECT id, count(*) AS n, round(quantile_cont(rate, 0.25), 2) AS q1, round(quantile_cont(rate, 0.5), 2) AS median, round(quantile_cont(rate, 0.75), 2) AS q3 FROM near WHERE k <= 20 GROUP BY id HAVING count(*) >= 3""")
+SELECT id, count(*) AS n, {half_up("quantile_cont(rate, 0.25)", 2)} AS q1, {half_up("quantile_cont(rate, 0.5)", 2)} AS median, {half_up("quantile_cont(rate, 0.75)", 2)} AS q3 FROM near WHERE k <= 20 GROUP BY id HAVING count(*) >= 3""")
 def neighbour_rate_top20(spark, sf):
     obs = observations(spark, sf)
     found = comparables.nearest(
@@ -172,13 +177,13 @@ def clean_group_single(spark, sf):
 def reference_sql(keys: str) -> str:
     return f"""WITH {OBS}, b AS (SELECT {keys}, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM obs GROUP BY {keys}
 ), k AS (SELECT obs.* FROM obs JOIN b USING ({keys}) WHERE price BETWEEN lo AND hi)
-SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE day >= TIMESTAMP '2000-06-01') AS n_recent, {", ".join(f"round(quantile_cont(price, {q}), 3) AS {x}" for x, q in prices.LEVELS.items())},
-  round(avg(price), 3) AS mean, round(stddev_samp(price), 3) AS deviation, min(day) AS first_day, max(day) AS last_day FROM k GROUP BY {keys} HAVING count(*) >= 5"""
+SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE day >= TIMESTAMP '2000-06-01') AS n_recent, {", ".join(f"{half_up(f'quantile_cont(price, {q})', 6)} AS {x}" for x, q in prices.LEVELS.items())},
+  {half_up("avg(price)", 3)} AS mean, {half_up("stddev_samp(price)", 3)} AS deviation, min(day) AS first_day, max(day) AS last_day FROM k GROUP BY {keys} HAVING count(*) >= 5"""
 
 
 def reference(spark, sf, keys: list[str]) -> DataFrame:
     df = prices.trimmed_reference(observations(spark, sf), keys, "price", "day", lit("2001-06-01").cast("date"))
-    return df.withColumns({x: F.round(x, 3) for x in [*prices.LEVELS, "mean", "deviation"]})
+    return df.withColumns({x: F.round(x, 6) for x in prices.LEVELS} | {x: F.round(x, 3) for x in ("mean", "deviation")})
 
 
 @query(reference_sql("p_brand, p_type"))
@@ -424,11 +429,11 @@ def negotiation_targets(spark, sf):
     return df.select("id", F.round("cut_q1", 4).alias("cut_q1"), F.round("cut_good", 4).alias("cut_good"), scoring.yield_band(scoring.percent(c("rent") * 1200, c("price"))).alias("band"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('usual', 7.5, 0.0, 10.0, 3.4, 20.0), ('short', 7.5, 5000.0, 20.0, 3.0, 10.0), ('free', 2.0, 0.0, 0.0, 0.0, 15.0)) AS s(name, fees, works, deposit, rate, years)
+@query(f"""WITH s AS (SELECT * FROM (VALUES ('usual', 7.5, 0.0, 10.0, 3.4, 20.0), ('short', 7.5, 5000.0, 20.0, 3.0, 10.0), ('free', 2.0, 0.0, 0.0, 0.0, 15.0)) AS s(name, fees, works, deposit, rate, years)
 ), d AS (SELECT o_orderkey, o_totalprice::DOUBLE AS price, o_totalprice::DOUBLE * 0.006::DOUBLE AS rent FROM orders
 ), f AS (SELECT *, price * (1 + fees::DOUBLE / 100) + works::DOUBLE AS cost, rate::DOUBLE / 1200 AS r, years::DOUBLE * 12 AS n FROM d, s
 ), g AS (SELECT *, cost * (1 - deposit::DOUBLE / 100) * CASE WHEN r > 0 THEN r / (1 - pow(1 + r, -n)) ELSE 1 / n END AS instalment FROM f)
-SELECT o_orderkey, name, round(cost, 2) AS cost, round(instalment, 2) AS instalment, round(rent - instalment, 2) AS cash_flow FROM g""")
+SELECT o_orderkey, name, {half_up("cost", 2)} AS cost, {half_up("instalment", 2)} AS instalment, {half_up("rent - instalment", 2)} AS cash_flow FROM g""")
 def financing_scenarios(spark, sf):
     scenarios = spark.createDataFrame([("usual", 7.5, 0.0, 10.0, 3.4, 20.0), ("short", 7.5, 5000.0, 20.0, 3.0, 10.0), ("free", 2.0, 0.0, 0.0, 0.0, 15.0)], "name string, fees double, works double, deposit double, rate double, years double")
     df = table(spark, sf, "orders").select("o_orderkey", c("o_totalprice").alias("price"), (c("o_totalprice") * 0.006).alias("rent"))
@@ -494,7 +499,7 @@ def export_rows(spark, sf):
     return out.withColumn("Référence", c("Référence").cast("long"))
 
 
-@query(f"""WITH {OBS} SELECT id, p_type, round(rate, 4) AS rate, flag FROM (SELECT id, p_type, rate, CASE WHEN flag <> 'N' THEN flag END AS flag, price FROM obs ORDER BY price DESC NULLS LAST, id LIMIT 15000)""")
+@query(f"""WITH {OBS} SELECT id, p_type, {half_up("rate", 4)} AS rate, flag FROM (SELECT id, p_type, rate, CASE WHEN flag <> 'N' THEN flag END AS flag, price FROM obs ORDER BY price DESC NULLS LAST, id LIMIT 15000)""")
 def feed_json(spark, sf):
     df = observations(spark, sf).withColumn("flag", F.when(c("flag") != "N", c("flag")))
     out = search.feed(df, ["p_type", "rate", "flag"], score="price", key=["id"])

@@ -27,7 +27,7 @@ def html_to_text(page: Column) -> Column:
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"[ \t\r\x{A0}]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def title(page: Column) -> Column:

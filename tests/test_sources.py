@@ -14,7 +14,8 @@ from listingspark.operators.tables import append_bronze
 from listingspark.sources import api
 from listingspark.streaming import ingest
 
-NOW = F.lit("2026-10-01").cast("timestamp")
+def now():
+    return F.lit("2026-10-01").cast("timestamp")
 
 
 def finance(spark, text, price=200000.0, kind="appartement", details=None, title=""):
@@ -50,25 +51,25 @@ def bronze(spark, *rows):
 
 def test_normalise(spark):
     b = bronze(spark, {"id": 1, "type_hint": "vente bureau", "price": "120000", "surface": "131", "zipcode": "", "_collected_at": "2026-01-01"}, {"id": 1, "type_hint": "vente bureau", "price": "x", "_collected_at": "2026-02-01"}, {"id": 2, "type_hint": "location local_commercial", "price": "4166.98"}, {"type_hint": "vente bureau"})
-    out = {r["external_id"]: r for r in norm.normalise(b, "cb", norm.PROFILES["professional"], NOW).collect()}
+    out = {r["external_id"]: r for r in norm.normalise(b, "cb", norm.PROFILES["professional"], now()).collect()}
     assert set(out) == {"1", "2"} and out["1"]["prix"] is None and out["1"]["type_bien"] == "bureau" and out["1"]["collected_at"] == dt.datetime(2026, 2, 1)
     assert (out["2"]["categorie"], out["2"]["loyer"], out["2"]["prix"]) == ("location", 4166.98, None)
 
 
 def test_auctions_and_plots(spark):
     b = bronze(spark, {"id": "a", "type_hint": "vente maison", "price": 45000, "date_vente": "2026-09-29"}, {"id": "b", "type_hint": "vente maison", "price": 45000, "date_vente": "2026-10-05", "prix_adjuge": "50000"})
-    out = {r["external_id"]: r for r in norm.normalise(b, "li", norm.PROFILES["auction"], NOW).collect()}
+    out = {r["external_id"]: r for r in norm.normalise(b, "li", norm.PROFILES["auction"], now()).collect()}
     assert (out["a"]["active"], out["b"]["active"], out["b"]["mode_vente"], out["b"]["prix_adjuge"]) == (False, True, "enchere_judiciaire", 50000.0)
     b = bronze(spark, {"id": "c", "type_hint": "maison", "surface": 900, "land_surface": 900}, {"id": "d", "type_hint": "villa", "surface": 120, "rooms": 5})
-    out = {r["external_id"]: (r["type_bien"], r["surface_bati"], r["surface_terrain"]) for r in norm.normalise(b, "or", norm.PROFILES["labels"], NOW).collect()}
+    out = {r["external_id"]: (r["type_bien"], r["surface_bati"], r["surface_terrain"]) for r in norm.normalise(b, "or", norm.PROFILES["labels"], now()).collect()}
     assert out == {"c": ("maison", None, 900.0), "d": ("maison", 120.0, None)}
 
 
 def test_second_load_updates(spark):
     row = {"id": "apt", "type_hint": "2", "price": 156000, "surface": 60, "published_at": "2026-01-01"}
     p = norm.PROFILES["attributes"]
-    first = norm.merge_source(None, norm.normalise(bronze(spark, row | {"_collected_at": "2026-03-01"}), "l", p, NOW), p)
-    later = norm.merge_source(first, norm.normalise(bronze(spark, row | {"price": 174000, "name": "neuf", "published_at": None, "_collected_at": "2026-04-01"}), "l", p, NOW), p).collect()
+    first = norm.merge_source(None, norm.normalise(bronze(spark, row | {"_collected_at": "2026-03-01"}), "l", p, now()), p)
+    later = norm.merge_source(first, norm.normalise(bronze(spark, row | {"price": 174000, "name": "neuf", "published_at": None, "_collected_at": "2026-04-01"}), "l", p, now()), p).collect()
     assert len(later) == 1 and (later[0]["prix"], later[0]["titre"], later[0]["first_seen_at"], later[0]["published_at"]) == (174000.0, "neuf", dt.datetime(2026, 3, 1), dt.datetime(2026, 1, 1))
 
 
@@ -125,5 +126,5 @@ def test_merge_stream(spark, tmp_path):
 
 
 def test_append_many(spark):
-    a = append_bronze(None, bronze(spark, {"id": 1}), NOW)
-    assert append_bronze(a, bronze(spark, {"id": "x", "n": {"a": 1}}), NOW).filter("n is not null").count() == 1
+    a = append_bronze(None, bronze(spark, {"id": 1}), now())
+    assert append_bronze(a, bronze(spark, {"id": "x", "n": {"a": 1}}), now()).filter("n is not null").count() == 1
