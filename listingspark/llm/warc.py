@@ -1,7 +1,8 @@
 """WARC archives written and read by Spark's text source, with segmented records and chunked payloads.
 
-Records are separated by two line ends, so a reader that splits at ``CRLF CRLF WARC/1.1 CRLF`` gets one record a row from
-splittable files. Chunk borders of the transfer framing are set so that this string never stands inside a block.
+Records open with ``WARC/1.1 CRLF``, so a reader that splits there gets one record a row from splittable files. Chunk
+borders of the transfer framing are set so that this string never stands inside a block. Its first letter comes once in
+it, so that a reader can't take part of it for its start.
 Long blocks are written as segments: a first record and continuation records that name it as their origin.
 """
 
@@ -20,7 +21,7 @@ from listingspark.plans.shared import Workspace
 
 VERSION = b"WARC/1.1\r\n"
 #: What separates records for a reader.
-BORDER = "\r\n\r\nWARC/1.1\r\n"
+BORDER = VERSION.decode()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 CHUNK, SEGMENT = 8192, 32768
@@ -33,10 +34,11 @@ def sha1_base32(data: bytes) -> str:
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     """Chunked transfer framing; chunks also end inside any border string of the payload."""
+    border = BORDER.encode()
+    pieces = payload.split(border)
     out = []
-    for i, piece in enumerate(payload.split(BORDER.encode())):
-        data = piece if i == 0 else BORDER.encode()[4:] + piece
-        data = data + BORDER.encode()[:4] if i < payload.count(BORDER.encode()) else data
+    for i, piece in enumerate(pieces):
+        data = (border[4:] if i else b"") + piece + (border[:4] if i + 1 < len(pieces) else b"")
         for at in range(0, len(data), size):
             part = data[at : at + size]
             out.append(b"%x\r\n%s\r\n" % (len(part), part))
@@ -62,15 +64,7 @@ def head(fields: list[tuple[str, str]], length: int) -> bytes:
 
 
 def segments(block: bytes, size: int) -> list[bytes]:
-    """Cut so that no later piece starts like a record."""
-    out, at = [], 0
-    while len(block) - at > size:
-        to = at + size
-        while block.startswith(b"WARC/", to):
-            to -= 1
-        out.append(block[at:to])
-        at = to
-    return [*out, block[at:]]
+    return [block[at : at + size] for at in range(0, len(block), size)] or [block]
 
 
 def page_records(segment: int, chunk: int):
@@ -119,7 +113,7 @@ def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         out: list[dict] = []
         for value in batch["value"].to_pylist():
-            top, _, block = value.removeprefix(VERSION).partition(b"\r\n\r\n")
+            top, _, block = value.partition(b"\r\n\r\n")
             if not top.strip():
                 continue
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("utf-8", "replace").split("\r\n"))}
