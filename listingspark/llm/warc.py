@@ -95,17 +95,18 @@ def page_records(segment: int, chunk: int):
     return run
 
 
-def write_pages(pages: DataFrame, path: str, *, segment: int = SEGMENT, chunk: int = CHUNK) -> None:
+def write_pages(pages: DataFrame, path: str, *, segment: int = SEGMENT, chunk: int = CHUNK, compression: str = "gzip", most: int = 20_000) -> None:
     """A record for each row of pages(page_id, url, html) in WARC files under ``path``.
 
     Of the rows with equal payloads, those of the largest page_id are responses and the others revisit that page. Null
-    html is an empty payload. Null page_id: a response of its own without an id. Repeated rows give repeated records."""
+    html is an empty payload. Null page_id: a response of its own without an id. Repeated rows give repeated records. Files hold
+    ``most`` records, as one compressed file is read by one task; with ``compression="none"`` they are read in splits."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     df = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     winners = df.groupBy("digest").agg(F.max("page_id").alias("winner"), F.min("page_id").alias("least")).filter("least < winner").drop("least")
     rows = df.join(winners, "digest", "left").withColumn("row", F.expr("uuid()")).select("row", "page_id", "url", "html", "winner")
     records = rows.mapInArrow(page_records(segment, chunk), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
