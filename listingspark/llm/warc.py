@@ -59,7 +59,9 @@ def dechunk(body: bytes) -> bytes:
 
 
 def head(fields: list[tuple[str, str]], length: int) -> bytes:
-    lines = [f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields]
+    # a field is one line and doesn't end like a border
+    said = [(k, re.sub(r"WARC/1\.1$", "WARC/1%2E1", re.sub(r"[\r\n]+", " ", v).rstrip())) for k, v in fields]
+    lines = [f"{k}: {v}\r\n" for k, v in said]
     return VERSION + "".join(lines).encode("utf-8", "replace") + b"Content-Length: %d\r\n\r\n" % length
 
 
