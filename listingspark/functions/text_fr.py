@@ -170,3 +170,14 @@ def auction_status(text: Column, price: Column) -> Column:
 def days_between(a: Column, b: Column) -> Column:
     """Calendar days from a to b."""
     return F.datediff(b, a)
+
+
+def trade_kind(text: Column, sector: Column) -> Column:
+    """What a trade advert sells: the lease, the walls, a rental, or else the business."""
+    t, s = fold(text), fold(F.coalesce(sector, F.lit("")))
+    return (
+        F.when(t.rlike(r"location pure|a louer") & ~t.rlike(r"fonds"), "location")
+        .when(t.rlike(r"droit au bail|cession de bail|pas.de.porte"), "droit_au_bail")
+        .when((t.rlike(r"murs (?:commerciaux|loues|occupes|libres)|vente des murs") | s.rlike("murs")) & ~t.rlike(r"murs et (?:le )?fonds|fonds et (?:les )?murs"), "murs")
+        .otherwise("fonds_commerce")
+    )

@@ -261,7 +261,7 @@ def levels(df: DataFrame) -> DataFrame:
     best = F.greatest(*[c(f"score_{s}") for s in STRATEGIES])
     strategy = reduce(lambda a, s: when(c(f"score_{s}") == best, s).otherwise(a), reversed(STRATEGIES), lit(None).cast("string"))
     bonus = when(c("baisse_prix_pct") >= 10, 8).when(c("baisse_prix_pct") >= 5, 5).otherwise(0) + when(c("jours_en_ligne") <= 2, 3).otherwise(0)
-    df = df.withColumns({"strategie": strategy, "bonus": bonus, "score_global": F.least(lit(100.0), best + bonus)})
+    df = df.withColumns({"strategie": strategy, "bonus": bonus, "score_global": when(best.isNotNull(), F.least(lit(100.0), best + bonus))})
     level = (
         when((c("categorie") != "vente") & (c("segment") != "fonds"), "a_analyser")
         .when(c("prix_trop_bas") & ~c("segment").isin("terrain", "autre"), "a_verifier")
@@ -275,11 +275,52 @@ def level_of(score: Column) -> Column:
     return when(score >= 75, "excellente").when(score >= 55, "bonne").when(score >= 30, "correcte").otherwise("hors_cible")
 
 
+def reasons(df: DataFrame) -> DataFrame:
+    """motif_verification (the first ground for a check), risques_evaluation and signaux (all that apply)."""
+    dpe, home = F.upper(F.coalesce("dpe", lit(""))), c("segment") == "residentiel"
+    business = c("segment") == "fonds"
+    said = lambda p, text: when(true(p), lit(text) if isinstance(text, str) else text)
+    ground = F.coalesce(
+        said(F.coalesce("prix", lit(0.0)) <= 0, "Prix de vente nul ou absent"),
+        said(F.coalesce("surface_bati", lit(0.0)) <= 0, "Surface absente ou incohérente"),
+        said(home & (c("surface_bati") < 14), "Surface inférieure à 14 m²"),
+        said(c("transaction_atypique"), "Viager, nue-propriété ou parts"),
+        said(c("bien_non_habitable"), "Logement non habitable en l'état"),
+        said(c("non_disponible"), "Offre ou compromis en cours"),
+        said(home & (c("prix_compare") <= c("surface_bati") * c("median_eur_m2") * 0.55), "Décote supérieure à 45 %"),
+    )
+    risks = F.concat_ws(
+        " · ",
+        said(c("vente_encheres"), F.concat(lit("Vente aux enchères, prix final probable "), F.round("ratio_adjudication", 2).cast("string"), lit(" × mise à prix"))),
+        said(c("bien_occupe") & home, "Bien vendu occupé"),
+        said(c("residence_geree"), "Résidence gérée ou bail commercial"),
+        said(c("surface_atypique"), "Surface Carrez différente"),
+        said(c("travaux_probables"), "Travaux probables"),
+        said(c("procedure_copropriete"), "Procédure de copropriété en cours"),
+        said(percent(c("charges_copro_annuelles"), c("surface_bati")) > 35, "Charges de copropriété élevées"),
+        said(dpe == "G", "DPE G"),
+        said(dpe == "F", "DPE F"),
+        said((c("type_bien") == "maison") & c("surface_terrain").isNull(), "Terrain non renseigné"),
+        said(c("localisation_approximative"), "Localisation approximative"),
+        said(business & c("chiffre_affaires").isNull(), "Chiffre d'affaires non publié"),
+        said(business & (percent(c("ebe"), c("chiffre_affaires")) > 0.45), "EBE supérieur à 45 % du chiffre d'affaires"),
+        said(business & (c("poids_loyer_ca") > 0.12), "Loyer élevé au regard du chiffre d'affaires"),
+    )
+    signs = F.concat_ws(
+        " · ",
+        said(c("baisse_prix_pct") >= 1, F.concat(lit("Prix baissé de "), F.round("baisse_prix_pct", 1).cast("string"), lit(" %"))),
+        said(c("jours_en_ligne") <= 2, "Nouvelle annonce"),
+        said(c("loyer_reel"), "Loyer réel publié"),
+        said(c("vente_encheres"), "Enchère"),
+    )
+    return df.withColumns({"motif_verification": ground, "risques_evaluation": risks, "signaux": signs})
+
+
 def analyse_deals(inputs: DataFrame, as_of: Column, assumptions: Assumptions = Assumptions()) -> DataFrame:
     """The whole chain, and the groups of adverts that are one property."""
     from .duplicates import duplicate_groups, representatives
 
-    df = levels(scores(measures(rents_and_costs(flags(inputs), assumptions), as_of)))
+    df = reasons(levels(scores(measures(rents_and_costs(flags(inputs), assumptions), as_of))))
     eligible = c("active").eqNullSafe(False)
     df = df.withColumn("_rounded", F.round("surface_bati"))
     df = duplicate_groups(df, block=["type_bien", "code_postal", "_rounded"], value="prix", tie=["source", "external_id"], ratio=1 + assumptions.same_price, eligible=~eligible & (c("prix") > 0) & (c("surface_bati") > 0) & c("code_postal").isNotNull())

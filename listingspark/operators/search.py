@@ -178,3 +178,60 @@ def feed(df: DataFrame, columns: list[str], *, score: str, key: list[str], most:
 
 def excerpt(text: Column, n: int = 420) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, n)
+
+
+#: Tabs: criteria and order by name.
+PRESETS = {
+    "best": ({"score_min": 55}, "score"),
+    "discount": ({"strategy": "decote"}, "discount"),
+    "yield": ({"yield_min": 6}, "yield"),
+    "cashflow": ({"cashflow_positive": True}, "cashflow"),
+    "buildings": ({"segment": "immeuble"}, "score"),
+    "businesses": ({"segment": "fonds"}, "score"),
+    "auctions": ({"auction": True}, "newest"),
+}
+
+
+def preset(df: DataFrame, name: str, **more) -> DataFrame:
+    criteria, order = PRESETS[name]
+    return deal_sort(deal_filter(df, **criteria, **more), order)
+
+
+def new_deals(df: DataFrame, since: Column, score: float) -> DataFrame:
+    """Deals of at least this score seen first since then, the best first."""
+    return df.filter((c("score_global") >= score) & (c("first_seen_at") > since)).orderBy(c("score_global").desc(), "source", "external_id")
+
+
+def top_deals(df: DataFrame, n: int) -> DataFrame:
+    return deal_sort(df).limit(n)
+
+
+def pipeline_stats(silver: DataFrame) -> DataFrame:
+    """n, active, last_seen of each source."""
+    return silver.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("active").alias("active"), F.max("last_seen_at").alias("last_seen"))
+
+
+def deal_detail(deals: DataFrame, comparables: DataFrame, history: DataFrame, source: str, external_id: str) -> dict[str, DataFrame]:
+    """The tables of one listing's page: itself, its comparables, its copies by price, its price history."""
+    key = (c("source") == source) & (c("external_id") == external_id)
+    own = deals.filter(key)
+    block = [x for x in ("type_bien", "code_postal", "group") if x in deals.columns]
+    same = deals.withColumn("_size", F.round("surface_bati")).join(own.select(*block, F.round("surface_bati").alias("_size")), [*block, "_size"]).filter(~key)
+    return {"listing": own, "comparables": comparables.filter(key).orderBy("rank"), "copies": same.orderBy("prix", "source"), "history": history.filter(key).orderBy("observed_at")}
+
+
+def save_search(saved: DataFrame, row: DataFrame) -> DataFrame:
+    """saved(id, nom, filtres, …) with the row added or replaced; its filter must be of known criteria."""
+    for r in row.select("filtres").collect():
+        if unknown := dict(parse_qsl(r["filtres"])).keys() - CRITERIA.keys():
+            raise ValueError(f"unknown criteria: {sorted(unknown)}")
+    return saved.join(row.select("id"), "id", "left_anti").unionByName(row)
+
+
+def delete_search(saved: DataFrame, ids: list[str]) -> DataFrame:
+    return saved.filter(~c("id").isin(*ids))
+
+
+def saved_filters(saved: DataFrame) -> list[tuple[str, Column]]:
+    """(id, predicate) of each saved search, written by hand and few, for ``search_matches``."""
+    return [(r["id"], reduce(lambda a, kv: a & CRITERIA[kv[0]](kv[1]), parse_qsl(r["filtres"]), F.lit(True))) for r in saved.select("id", "filtres").collect()]

@@ -440,6 +440,80 @@ def financing_scenarios(spark, sf):
     return scoring.financing(df, scenarios).select("o_orderkey", "name", *[F.round(x, 2).alias(x) for x in ("cost", "instalment", "cash_flow")])
 
 
+ADVERTS = f"""{TRIMMED}, i AS (SELECT o.id, CASE o.p_type WHEN 'STANDARD' THEN 'appartement' WHEN 'ECONOMY' THEN 'maison' WHEN 'PROMO' THEN 'local_commercial' ELSE 'immeuble' END AS kind, o.price AS prix, o.size * 20 AS m2, o.p_size, o.discount,
+    substr('ABCDEFG', o.p_size % 7 + 1, 1) AS dpe, CASE o.p_size % 3 WHEN 0 THEN 300 WHEN 1 THEN 150 ELSE 0 END AS said, CASE WHEN o.p_size > 10 THEN o.p_size * 10.0 END AS land, n, q1 / (o.size * 20) AS q1, median / (o.size * 20) AS med, q3 / (o.size * 20) AS q3, last_day,
+    median_size * 20 AS ref_m2, mean_distance AS dist, 10.0 + o.p_size / 10.0 AS rent, CASE WHEN o.discount > 0.05 THEN o.price * 0.08::DOUBLE END AS declared, o.discount > 0.07 AS let FROM stats JOIN obs o USING (id)
+), s AS (SELECT *, CASE kind WHEN 'local_commercial' THEN 'murs' WHEN 'immeuble' THEN 'immeuble' ELSE 'residentiel' END AS seg, CASE WHEN kind = 'appartement' AND p_size % 5 + 1 <= 2 THEN 37.0 WHEN kind = 'appartement' THEN 72.0 WHEN kind = 'maison' THEN 92.0 ELSE m2 END AS usual,
+    CASE kind WHEN 'appartement' THEN 0.75 WHEN 'maison' THEN 0.8 ELSE 1.0 END AS bend FROM i
+), r AS (SELECT *, seg = 'residentiel' AND prix <= m2 * med * 0.55 AS low, CASE WHEN seg = 'murs' THEN rent * 0.9 * m2 ELSE rent * usual * pow(greatest(0.25, least(1.6, m2 / usual)), bend) * exp(ln(0.9) * 0.654) END AS low_rent,
+    CASE WHEN seg = 'murs' THEN 0 WHEN dpe = 'G' THEN m2 * 350 WHEN dpe = 'F' THEN m2 * 200 ELSE 0 END AS works, declared > 0 AND let AS own FROM s
+), k AS (SELECT *, coalesce(own, false) AS real, CASE WHEN own THEN declared / 12 WHEN seg <> 'murs' AND (prix / m2 < 300 OR m2 > CASE seg WHEN 'immeuble' THEN 1500 ELSE 400 END) THEN NULL WHEN seg = 'immeuble' THEN low_rent * 0.85 ELSE low_rent END AS kept, prix * 1.075 + works AS cost FROM r
+), m AS (SELECT *, kept * 12 * 11 / 12 AS cashed, kept * 1.2 AS tax, CASE WHEN kind = 'appartement' THEN m2 * 25 * 0.35 ELSE 0 END AS condo FROM k
+), d AS (SELECT *, cashed - tax - condo - 200 - cashed * 0.05 AS net, cost * 0.9 * (3.4 / 1200 / (1 - pow(1 + 3.4 / 1200, -240))) AS loan,
+    CASE WHEN NOT low THEN (prix + CASE WHEN seg = 'residentiel' THEN works ELSE 0 END) / (m2 * med * CASE WHEN seg = 'residentiel' AND let THEN 0.85 ELSE 1 END) - 1 END AS decote FROM m
+), e AS (SELECT *, 100 * net / cost AS yield, CASE WHEN low THEN 'indisponible' WHEN seg <> 'residentiel' THEN 'indicative'
+    WHEN n >= 10 AND dist <= 0.65 AND (q3 - q1) / med <= 0.28 AND ref_m2 BETWEEN m2 * 0.85 AND m2 * 1.15 AND last_day >= DATE '2000-01-01' AND NOT let AND dpe BETWEEN 'A' AND 'E' AND said >= 250 AND (kind <> 'maison' OR land IS NOT NULL) THEN 'fiable'
+    WHEN n >= 7 AND dist <= 1.05 AND (q3 - q1) / med <= 0.45 THEN 'indicative' ELSE 'fragile' END AS trust FROM d
+), f AS (SELECT *, CASE WHEN said < 120 THEN 0.8 ELSE 1.0 END AS short,
+    CASE WHEN decote IS NOT NULL AND seg = 'residentiel' THEN round(greatest(0, least(100, -100 * decote / 0.3)) * CASE trust WHEN 'fiable' THEN 1.0 WHEN 'indicative' THEN 0.75 ELSE 0.45 END * CASE WHEN kind = 'maison' AND land IS NULL THEN 0.85 ELSE 1 END * CASE WHEN said < 120 THEN 0.8 ELSE 1.0 END) END AS s_decote,
+    CASE WHEN seg <> 'murs' AND NOT low AND yield IS NOT NULL THEN round(least(CASE WHEN real THEN 100 ELSE 70 END, greatest(0, least(100, (yield - 3) / 5 * 100)) * CASE WHEN decote > 0 THEN greatest(0.35, 1 - decote) ELSE 1 END * CASE WHEN real THEN 1.0 WHEN n * 3 >= 30 THEN 0.85 ELSE 0.65 END * CASE WHEN said < 120 THEN 0.8 ELSE 1.0 END)) END AS s_yield,
+    CASE WHEN seg = 'murs' AND yield IS NOT NULL THEN round(greatest(0, least(100, (yield - 4) / 6 * 100)) * CASE WHEN real THEN 1.0 WHEN n * 3 >= 8 THEN 0.6 ELSE 0.45 END) END AS s_walls,
+    CASE WHEN 100 * discount / (1 + discount) >= 10 THEN 8 WHEN 100 * discount / (1 + discount) >= 5 THEN 5 ELSE 0 END AS bonus FROM e
+), g AS (SELECT *, greatest(coalesce(s_decote, -1), coalesce(s_yield, -1), coalesce(s_walls, -1)) AS best FROM f)
+SELECT id, round(decote, 6) AS decote, round(yield, 6) AS rendement_net, round(net / 12 - loan, 4) AS cashflow, trust AS confiance, s_decote AS score_decote, s_yield AS score_rendement, s_walls AS score_murs, CASE WHEN best >= 0 THEN least(100, best + bonus) END AS score_global,
+  CASE WHEN best < 0 THEN NULL WHEN s_walls = best THEN 'murs' WHEN s_yield = best THEN 'rendement' ELSE 'decote' END AS strategie,
+  CASE WHEN low THEN 'a_verifier' WHEN best < 0 THEN 'a_analyser' WHEN best + bonus >= 75 THEN 'excellente' WHEN best + bonus >= 55 THEN 'bonne' WHEN best + bonus >= 30 THEN 'correcte' ELSE 'hors_cible' END AS niveau FROM g"""
+
+
+@query(ADVERTS)
+def deal_analysis(spark, sf):
+    """The whole scoring chain over line items dressed as adverts: type from the part, surface from the quantity, rents from
+    the part's size, comparables as found."""
+    own = observations(spark, sf).filter("l_orderkey % 50 = 0").select("id", "p_type", "p_size", c("price").alias("prix"), (c("size") * 20).alias("surface_bati"), "discount")
+    df = stats(spark, sf).join(own, "id")
+    kind = F.when(c("p_type") == "STANDARD", "appartement").when(c("p_type") == "ECONOMY", "maison").when(c("p_type") == "PROMO", "local_commercial").otherwise("immeuble")
+    none = lambda kind: lit(None).cast(kind)
+    rent = lit(10.0) + c("p_size") / 10.0
+    inputs = df.select(
+        "id", lit("s").alias("source"), c("id").cast("string").alias("external_id"), lit("vente").alias("categorie"), kind.alias("type_bien"), "prix", "surface_bati", (c("p_size") % 5 + 1).alias("nb_pieces"), F.when(c("p_size") > 10, c("p_size") * 10.0).alias("surface_terrain"),
+        F.substring(lit("ABCDEFG"), c("p_size") % 7 + 1, lit(1)).alias("dpe"), F.when(c("p_size") % 3 == 0, F.repeat(lit("x"), lit(300))).when(c("p_size") % 3 == 1, F.repeat(lit("x"), lit(150))).alias("description"), lit("").alias("titre"), lit('{"a": 1}').alias("details_json"),
+        none("string").alias("segment"), none("string").alias("mode_vente"), none("double").alias("prix_adjuge"), lit(1.65).alias("ratio_adjudication"), lit(2.7).alias("multiple_ebe_reference"), lit(0.7).alias("multiple_ca_reference"),
+        c("n").alias("nb_ventes"), *[F.try_divide(x, "surface_bati").alias(f"{x}_eur_m2") for x in ("q1", "median", "q3")], c("last_day").alias("derniere_vente"), (c("median_size") * 20).alias("surface_mediane_reference"), c("mean_distance").alias("score_comparabilite"),
+        rent.alias("loyer_m2_mois"), (rent * 0.9).alias("loyer_m2_bas"), (rent * 1.1).alias("loyer_m2_haut"), (c("n") * 3).alias("nb_observations_loyer"), lit(0.6).alias("r2_loyer"),
+        F.when(c("discount") > 0.05, c("prix") * 0.08).alias("loyer_annuel_declare"), (c("discount") > 0.07).alias("bien_loue"), (c("prix") * (c("discount") + 1)).alias("prix_max_observe"),
+        *[none("double").alias(x) for x in ("chiffre_affaires", "ebe", "taxe_fonciere", "travaux_annonces", "charges_copro_annuelles", "lat")], none("date").alias("published_at"), lit("2001-01-01").cast("date").alias("first_seen_at"), lit(True).alias("active"), none("string").alias("code_postal"), none("int").alias("image_count"),
+    )
+    out = scoring.analyse_deals(inputs, lit(AS_OF).cast("date"))
+    return out.select(
+        "id", F.round("decote", 6).alias("decote"), F.round("rendement_net", 6).alias("rendement_net"), F.round("cashflow_mensuel", 4).alias("cashflow"), "confiance", "score_decote", "score_rendement", "score_murs", "score_global", "strategie", c("niveau_affaire").alias("niveau"),
+    )
+
+
+@query("""SELECT p_partkey::VARCHAR AS external_id, CASE WHEN p_size > 25 THEN 'location' ELSE 'vente' END AS categorie, CASE p_brand WHEN 'Brand#1' THEN 'bureau' WHEN 'Brand#2' THEN 'immeuble' ELSE 'autre' END AS type_bien,
+  CASE WHEN p_size <= 25 THEN p_retailprice END AS prix, CASE WHEN p_size > 25 THEN p_retailprice END AS loyer, p_size::DOUBLE AS surface_bati, p_name AS titre FROM part WHERE NOT (p_size > 25 AND p_brand IN ('Brand#1', 'Brand#2', 'x')) AND p_size <= 25""")
+def normalise_profile(spark, sf):
+    """Parts as bronze strings of a professional source, each seen twice; rentals other than of shops are dropped."""
+    from ..operators import normalise as norm
+
+    part = table(spark, sf, "part")
+    kind = F.when(c("p_brand") == "Brand#1", "bureau").when(c("p_brand") == "Brand#2", "immeuble").otherwise("villa")
+    b = part.select(c("p_partkey").cast("string").alias("id"), F.concat(F.when(c("p_size") > 25, "location ").otherwise("vente "), kind).alias("type_hint"), c("p_retailprice").cast("string").alias("price"), c("p_size").cast("string").alias("surface"), c("p_name").alias("name"), lit("2024-02-01").alias("_collected_at"))
+    older = b.withColumns({"price": lit("n.c."), "_collected_at": lit("2024-01-01")})
+    silver = norm.normalise(b.unionByName(older), "parts", norm.PROFILES["professional"], lit("2024-03-01").cast("timestamp"))
+    return norm.drop_rentals(silver).select("external_id", "categorie", "type_bien", "prix", "loyer", "surface_bati", "titre")
+
+
+@query()
+def finance_records(spark, sf):
+    """Finance figures of all documents and conversations' texts, taken as adverts of 200 000 euros."""
+    from ..functions.finance import extract_finance
+
+    docs = table(spark, sf, "documents").select(lit("documents").alias("source"), c("doc_id").cast("string").alias("external_id"), "text")
+    chats = table(spark, sf, "conversations").select(lit("conversations").alias("source"), F.concat_ws("-", "conv_id", "turn").alias("external_id"), "text")
+    df = docs.unionByName(chats).select("source", "external_id", lit("").alias("titre"), c("text").alias("description"), lit("{}").alias("details_json"), lit(200000.0).alias("prix"), lit("appartement").alias("type_bien"))
+    return extract_finance(df).drop("fingerprint")
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 

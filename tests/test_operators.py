@@ -227,3 +227,45 @@ def test_html_text(spark):
 def test_fix_scale(spark):
     df = spark.createDataFrame([(2e9, 1e8, 50), (2e8, 1e7, 3), (2e8, 1e7, 50)], "ca double, ebe double, staff int")
     assert [(r["ca"], r["ebe"]) for r in pages.fix_scale(df, "ca", "ebe", "staff").collect()] == [(2e6, 1e5), (2e5, 1e4), (2e8, 1e7)]
+
+
+def test_detail_is_wider(spark):
+    own = listings(spark).filter("external_id = 'apt-deal'").withColumns({"code_postal": F.lit("59100"), "lat": F.lit(50.63 + 0.12), "details_json": F.lit("approximative")})
+    as_of = F.lit(NOW).cast("date")
+    assert comparables.listing_comparables(own, sales(spark), as_of).count() == 0
+    assert comparables.detail_comparables(own, sales(spark), as_of).count() == 12
+
+
+def test_rent_matches(spark):
+    rents = spark.createDataFrame([("59350", "Lille", "59000", "appartement", "3+", 12.0), ("59351", "Autre", "59000", "appartement", "3+", 11.0), ("59352", "Tôt", None, "maison", "tous", 9.0)], "code_commune string, commune string, code_postal string, type_bien string, typologie string, loyer_m2 double")
+    rents = rents.withColumns({x: F.lit(None).cast("double") for x in ("loyer_m2_bas", "loyer_m2_haut", "r2")} | {"niveau": F.lit("commune"), "n": F.lit(40)})
+    own = listings(spark).withColumn("ville", F.when(F.col("type_bien") == "maison", "TOT").otherwise(F.col("ville")))
+    got = {r["external_id"]: r["loyer_m2_mois"] for r in comparables.rent_matches(own, rents).collect()}
+    assert got == {"apt-deal": 12.0, "market": 12.0, "house-deal": 9.0}
+
+
+def test_commercial_rents(spark):
+    seen = F.lit("2026-08-01").cast("date")
+    shops = spark.createDataFrame([(f"r{i}", "local_commercial", 1200.0 * (i + 1), 100.0, "59000", "Lille") for i in range(4)] + [("x", "local_commercial", 1e6, 100.0, "59000", "Lille")], "external_id string, type_bien string, loyer double, surface_bati double, code_postal string, ville string").withColumn("last_seen_at", seen)
+    own = spark.createDataFrame([("s", "1", "local_commercial", 80.0, "59100", "LILLE"), ("s", "2", "local_commercial", 10.0, "59000", "Lille")], "source string, external_id string, type_bien string, surface_bati double, code_postal string, ville string")
+    out = comparables.commercial_rents(own, shops, F.lit(NOW).cast("date")).collect()
+    assert [(r["external_id"], r["n"], r["median"]) for r in out] == [("1", 4, 30.0)]
+
+
+def test_reasons(spark):
+    r = scored(spark, [("lbc", "market", None, None, None, None, None, None, None, None, None, True, False, 3000.0)])["market"]
+    assert r["motif_verification"] is None and r["risques_evaluation"] == "Bien vendu occupé · Charges de copropriété élevées" and r["signaux"] == ""
+    assert "Terrain" not in scored(spark)["house-deal"]["risques_evaluation"]
+
+
+def test_searches_are_saved(spark):
+    saved = spark.createDataFrame([("a", "segment=immeuble")], "id string, filtres string")
+    two = search.save_search(saved, spark.createDataFrame([("b", "price_max=10")], "id string, filtres string"))
+    assert [i for i, _ in search.saved_filters(two)] == ["a", "b"] and search.delete_search(two, ["a"]).count() == 1
+    with pytest.raises(ValueError, match="unknown"):
+        search.save_search(saved, spark.createDataFrame([("b", "nix=1")], "id string, filtres string"))
+
+
+def test_trade_kind(spark):
+    said = {"Cession de bail, pas de porte": "droit_au_bail", "Vente des murs loués": "murs", "Murs et fonds à vendre": "fonds_commerce", "Location pure d'un local": "location", "Boulangerie, affaire saine": "fonds_commerce"}
+    assert {t: one(spark, text_fr.trade_kind(F.lit(t), F.lit(None).cast("string"))) for t in said} == said
