@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from listingspark.plans.shared import Workspace
 
+from .hot import hot_keys, salted_join
 from .tokens import SPACED, Words, mix, sliding_min, tokenize, windows
 
 PART = 16
@@ -167,12 +168,16 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, texts: bool = False) -> D
     rows = ws.write(rows.join(firsts, ["words", "n_words"], "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= size), F.lit(False))).drop("first", "words"), "copies")
     # parts in two documents or more
     parts = rows.filter("not copy and doc_id is not null").select(*KEY, F.explode("parts").alias("part"))
-    repeated = parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("part")
-    wanted = parts.join(repeated, "part").groupBy(*KEY).agg(F.collect_set("part").alias("parts"))
+    repeated = parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("part", "n")
+    repeated = ws.write(repeated, "repeated")
+    # no more parts or windows than words
+    total = rows.filter("not copy").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    wanted = salted_join(parts, repeated.select("part"), ["part"], hot_keys(repeated, ["part"], "n", total)).groupBy(*KEY).agg(F.collect_set("part").alias("parts"))
     some = ws.write(df.join(wanted, KEY).dropDuplicates(KEY), "candidates")
     found = some.select(*KEY, "text", "parts").mapInArrow(candidate_windows(size), f"doc_id {kind}, fp long, pos int, h long, g int")
-    least = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    later = found.join(least, ["h", "g"]).filter("doc_id > first")
+    least = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").drop("last")
+    least = ws.write(least, "least")
+    later = salted_join(found, least.drop("n"), ["h", "g"], hot_keys(least, ["h", "g"], "n", total)).filter("doc_id > first")
     places = later.groupBy(*KEY).agg(F.collect_list("pos").alias("places"))
     cut = some.select(*KEY, "text").join(places, KEY).mapInArrow(
         cut_out(size), f"doc_id {kind}, fp long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string"
