@@ -4,7 +4,8 @@ The texts' lines are numbered, and suffixes of the number sequences are ranked b
 first 2k lines of a suffix is the rank of its pair (rank of its first k lines, rank of the k lines that follow), a
 distributed sort of the distinct pairs. Suffixes whose prefix is unique can't share a longer one and leave at
 once, so a round handles only what still repeats. Suffixes of equal rank at the least run length are an interval of
-the suffix array with at least that longest common prefix; all of its suffixes but the first are later copies.
+the suffix array with at least that longest common prefix; all of its suffixes but the first are later copies. Runs of
+fewer lines count too where they reach a number of words, if one is given.
 """
 
 from __future__ import annotations
@@ -14,18 +15,20 @@ from pyspark.sql import functions as F
 
 from listingspark.plans.shared import Workspace, running_total
 
-from .text import has_word
+from .text import has_word, words
 
 KEY = ["doc_id", "fp"]
 AT = [*KEY, "pos"]
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
+def numbered_lines(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     """doc_id, fp (hash of the text, tells rows of equal doc_id apart), pos (among lines with a word), h, g (hashes
-    of the line; 96 bits together), at (index of the line in the text)."""
+    of the line; 96 bits together), at (index of the line in the text); with ``min_words`` also size, the line's words up
+    to that number."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: has_word(x["line"]))
     df = docs.filter("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(lines).alias("pos", "l"))
-    return df.select(*AT, F.xxhash64("l.line").alias("h"), F.hash("l.line").alias("g"), F.col("l.at").alias("at"))
+    size = [] if min_words is None else [F.least(F.size(words(F.col("l.line"))), F.lit(min_words)).alias("size")]
+    return df.select(*AT, F.xxhash64("l.line").alias("h"), F.hash("l.line").alias("g"), F.col("l.at").alias("at"), *size)
 
 
 def ranked(ws: Workspace, keyed: DataFrame, a: str, b: str) -> DataFrame:
@@ -42,48 +45,61 @@ def shifted(level: DataFrame, k: int) -> DataFrame:
     return level.join(later, AT)
 
 
-def suffix_intervals(ws: Workspace, lines: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
-    """(AT and rank of the suffixes that share their first ``min_lines`` lines with another; AT and run, the largest
-    power of two of lines that such a suffix shares with another, by doubling until nothing repeats)."""
-    level, k, out = ws.write(ranked(ws, lines, "h", "g"), "level1"), 1, None
+def suffix_intervals(ws: Workspace, lines: DataFrame, lengths: list[int]) -> tuple[dict[int, DataFrame], DataFrame]:
+    """(by each of ``lengths`` that any reach, AT and rank of the suffixes that share so many first lines with another;
+    AT and run, the largest power of two of lines that such a suffix shares with another, by doubling until nothing
+    repeats)."""
+    level, k, out = ws.write(ranked(ws, lines, "h", "g"), "level1"), 1, {}
     runs = []
     while not level.isEmpty():
         runs.append(level.select(*AT, F.lit(k).alias("run")))
-        if 2 * k > min_lines >= k:
-            out = level if min_lines == k else ws.write(ranked(ws, shifted(level, min_lines - k), "rank", "next"), "interval")
+        for n in lengths:
+            if 2 * k > n >= k:
+                out[n] = level if n == k else ws.write(ranked(ws, shifted(level, n - k), "rank", "next"), "interval")
         level = ws.write(ranked(ws, shifted(level, k), "rank", "next"), f"level{2 * k}")
         k *= 2
-    if out is None:
-        out = level
     reached = runs[0] if runs else level.select(*AT, F.lit(0).alias("run"))
     for more in runs[1:]:
         reached = reached.unionByName(more)
     return out, reached
 
 
-def repeated_lines(ws: Workspace, docs: DataFrame, min_lines: int) -> DataFrame:
+def later_copies(interval: DataFrame, n: int) -> DataFrame:
+    """KEY, pos and start of the lines in each later copy of a run of ``n`` lines."""
+    first = interval.groupBy("rank").agg(F.min(F.struct(*AT)).alias("first"))
+    later = interval.join(first, "rank").filter(F.struct(*AT) != F.col("first")).select(*KEY, F.col("pos").alias("start"))
+    return later.withColumn("pos", F.explode(F.sequence("start", F.col("start") + F.lit(n - 1))))
+
+
+def repeated_lines(ws: Workspace, docs: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
     """doc_id, fp, gone (sorted indexes of lines to delete), longest (lines of the longest repeated run that starts in
     the text, as a power of two), for the texts that lose lines."""
-    lines = ws.write(numbered_lines(docs), "lines")
-    interval, runs = suffix_intervals(ws, lines, min_lines)
-    first = interval.groupBy("rank").agg(F.min(F.struct(*AT)).alias("first"))
-    later = interval.join(first, "rank").filter(F.struct(*AT) != F.col("first")).select(*AT)
-    covered = later.select(*KEY, F.explode(F.sequence("pos", F.col("pos") + F.lit(min_lines - 1))).alias("pos")).distinct()
-    gone = covered.join(lines, AT).groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    lines = ws.write(numbered_lines(docs, min_words), "lines")
+    short = [] if min_words is None else list(range(1, min_lines))
+    intervals, runs = suffix_intervals(ws, lines, [*short, min_lines])
+    covered = runs.select(*AT).limit(0)
+    if min_lines in intervals:
+        covered = later_copies(intervals[min_lines], min_lines).select(*AT)
+    for n in (n for n in short if n in intervals):
+        copies = later_copies(intervals[n], n).join(lines.select(*AT, "size").distinct(), AT)
+        enough = copies.groupBy(*KEY, "start").agg(F.sum("size").alias("total"), F.collect_list("pos").alias("all")).filter(F.col("total") >= min_words)
+        covered = covered.unionByName(enough.select(*KEY, F.explode("all").alias("pos")))
+    gone = covered.distinct().join(lines, AT).groupBy(*KEY).agg(F.array_sort(F.collect_set("at")).alias("gone"))
     longest = runs.groupBy(*KEY).agg(F.max("run").alias("longest"))
     return ws.write(gone.join(longest, KEY, "left"), "gone")
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the text of later copies of runs of ``min_lines`` or more equal lines deleted, and the columns
-    _n_lines (lines with a word before), _n_removed and _longest_run.
+    _n_lines (lines with a word before), _n_removed and _longest_run. With ``min_words``, later copies of runs of fewer
+    lines (one is enough) that have so many words or more are deleted as well.
 
     Runs are whole lines that follow each other, lines without a word left out; those stay where they are. The first
     copy, by doc_id and place, stays; rows of equal doc_id and text are one document and lose the same lines. Null
     or empty texts, and rows without doc_id, stay as they are. Empty input: empty result. Other columns are kept, so
     they must not be named like the three new ones."""
     ws = Workspace(docs.sparkSession, "lines")
-    gone = repeated_lines(ws, docs, min_lines).select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), F.col("gone").alias("_gone"), F.col("longest").alias("_longest"))
+    gone = repeated_lines(ws, docs, min_lines, min_words).select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), F.col("gone").alias("_gone"), F.col("longest").alias("_longest"))
     # the table of deletions grows with the corpus, so that texts and deletions are dealt by key at every size
     df = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_fp"]), "left")
     # lines that stay lie between those that go: the text is cut there, in steps of the number of lines

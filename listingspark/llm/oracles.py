@@ -149,6 +149,14 @@ SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM documents s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id LEFT JOIN longest ON s.doc_id = longest.doc_id
 """
 
+#: LINES, and single lines of 50 words or more lose their later copies too.
+PASSAGES = LINES.replace(
+    "), cut AS (",
+    f"""  UNION SELECT run.doc_id, p AS pos FROM run JOIN first USING (k, h) JOIN b ON run.doc_id = b.doc_id AND p = pos
+  WHERE k = 1 AND run.doc_id * 10000000 + p <> first AND len({spaced("line")}) >= 50
+), cut AS (""",
+)
+
 
 def canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
@@ -196,6 +204,7 @@ ORACLES: dict[str, str] = {
     "op5_chat_round_trip": CHAT,
     "op6_near_duplicates": NEAR,
     "op7_line_dedup": LINES,
+    "op7_line_dedup_passages": PASSAGES,
     "op8_licence_scan": LICENCES,
     "op10_decontamination": LEAKS,
 }

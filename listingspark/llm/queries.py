@@ -40,11 +40,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+def line_digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_longest_run").alias("longest_run"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+def op7_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_line_dedup, and single lines of 50 words or more lose their later copies as well."""
+    return line_digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents"), min_words=50))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -60,4 +68,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op8_licence_scan, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op7_line_dedup_passages, op8_licence_scan, op9_secret_scan, op10_decontamination)}

@@ -313,6 +313,35 @@ def test_lines_of_one_text(spark):
     assert got == {1: ("a\n\nb", 4), 2: ("b\nz", 2)}
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lines_or_words(spark, docs, rows, least):
+    """Runs of fewer lines go where they have enough words: the corpus has a passage of 70 words between other lines."""
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["text"]) for r in lines.drop_repeated_lines(docs, min_lines=least, min_words=30).collect()}
+    want = line_dedup_or_words(rows, least, 30)
+    assert got == want and (least == 1 or want != brute.line_dedup(rows, least))
+
+
+def line_dedup_or_words(rows, min_lines, min_words):
+    at = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if brute.words(x)] for i, t, *_ in rows}
+    runs = {i: [(p, tuple(x for _, x in v[p : p + n])) for n in range(1, min_lines + 1) for p in range(len(v) - n + 1)] for i, v in at.items()}
+    first, out = {}, {}
+    for i in sorted(runs):
+        for p, run in runs[i]:
+            first.setdefault(run, (i, p))
+    for i, t, *_ in rows:
+        gone = {k for p, run in runs[i] if first[run] != (i, p) and (len(run) == min_lines or sum(len(brute.words(x)) for x in run) >= min_words) for k, _ in at[i][p : p + len(run)]}
+        out[i] = (len(at[i]), len(gone), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    return out
+
+
+def test_lines_or_words_of_repeated_rows(spark):
+    """Rows of equal doc_id and text lose the same lines, once."""
+    long = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (2, f"c\n{long}\nd")], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["_n_removed"]) for r in lines.drop_repeated_lines(df, min_words=50).orderBy("doc_id").collect()]
+    assert got == [(1, f"a\n{long}\nb", 0), (2, "c\nd", 1), (2, "c\nd", 1)]
+
+
 def test_lines_odd(odd):
     out = lines.drop_repeated_lines(odd)
     assert out.count() == odd.count() and out.agg(F.sum("_n_removed")).first()[0] == 0
