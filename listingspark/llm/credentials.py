@@ -28,8 +28,9 @@ CONTEXT = re.compile(
     r"[\"']?[\x20\t]*(?::=|[:=]|\x20is\x20)[\x20\t]*[\"']?([^\s\"'<>]{8,})",
     re.IGNORECASE | re.ASCII,
 )
-#: log10 of the guesses from which a value counts as a secret.
-LEAST_COST = 10.0
+#: log10 of the guesses from which a value counts as a secret: two less than 8 random characters need, the least length of
+#: a value, so that a stretch that looks like a word by chance doesn't hide one.
+LEAST_COST = 6.0
 
 # Common words of passwords, the most common first.
 WORDS = (
@@ -48,6 +49,28 @@ NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:
 # Letters that digits and signs stand for.
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
+# The letters that follow each letter in words of English, French, German and Spanish.
+FOLLOW = dict(
+    zip(
+        "abcdefghijklmnopqrstuvwxyz",
+        "bcdfghiklmnpqrstuvwyz aeiloruysb aehiklorstuyc aeioruydsgl abcdefgimlnopqrstuvwxy aeiflorut aeghilnorsuy aeiotruylnmw abcdefglmnopqrstvzk aeou aeinslyt abcdefikloptusvymg abeimopuyns acdefgiklnostuvyzj abcdefgiklmnoprstuvwy aehiloprstuy u abcdefgiklmnoprstuvyw acehiklmnopqstuwy aehiorstuylwcz abcdefgilmnprstvxyz aeiouyr aehionrsl aeitpc aeilmnopst aeiouzyt".split(),
+        strict=True,
+    )
+)
+#: log10 of the guesses for a word of a language that is not in the list; the most letters that one has.
+WORD_COST, WORD_LENGTH = 5.0, 24
+
+
+def word_ends(value: str, low: str, at: int) -> Iterator[int]:
+    """Ends of stretches of six letters or more from ``at`` that could be a word: one case after the first letter, or all
+    capitals, and letters that follow each other in words."""
+    end, n, capitals = at + 1, min(len(value), at + WORD_LENGTH), value[at : at + 2].isupper()
+    if not value[at].isalpha():
+        return
+    while end < n and value[end].isalpha() and value[end].isupper() == capitals and (low[end] in FOLLOW.get(low[end - 1], low[end]) or low[end] > "z"):
+        end += 1
+        if end - at >= 6:
+            yield end
 
 
 def guess_cost(value: str) -> float:
@@ -83,6 +106,8 @@ def guess_cost(value: str) -> float:
             if rank:
                 cased = math.log10(2) * (value[at:end] != low[at:end]) + math.log10(2) * (low[at:end] not in RANK)
                 best[end] = min(best[end], here + math.log10(rank + 1) + cased)
+        for end in word_ends(value, low, at):
+            best[end] = min(best[end], here + WORD_COST + math.log10(2) * (value[at:end] != low[at:end]))
         # a block that the text repeats at once costs its number of copies only
         for size in (2, 3, 4, 5, 6, 8):
             block, k = value[at : at + size], 1
@@ -111,9 +136,8 @@ def find_spans(text: str, least: float) -> tuple[list[tuple[int, int, int]], lis
         a, b = m.span(1)
         value = m[1].rstrip(".,;:!?)")
         b = a + len(value)
-        mixed = bool(re.search(r"\d", value)) + bool(re.search(r"[A-Za-z]", value)) + bool(re.search(r"[^A-Za-z0-9]", value)) >= 2
         before = bisect.bisect_left(starts, b)
-        if mixed and not (before and reach[before - 1] > a) and guess_cost(value) >= least:
+        if not (before and reach[before - 1] > a) and guess_cost(value) >= least:
             more.append((a, b))
     return base, more, weak
 

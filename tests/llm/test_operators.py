@@ -392,6 +392,21 @@ def test_guess_costs():
     assert cost("x" * 5) <= cost("x" * 5 + "q") <= cost("x" * 5) + 1
 
 
+def guessed(text):
+    return [text[a:b] for a, b in credentials.find_spans(text, credentials.LEAST_COST)[1]]
+
+
+@pytest.mark.parametrize("value", ["Xk9#vQ2z", "qzxvkjwplmrtyhgbnd", "83#1$0!9", "zq8xk2vw"])
+def test_random_values_of_any_alphabet_are_secrets(value):
+    for context in ("the passphrase is ", "pwd=", "private key: "):
+        assert guessed(context + value) == [value]
+
+
+def test_words_are_no_secrets():
+    for value in ("required", "understanding", "Verschlüsselung", "UTILISATEUR", "naturellement", "password2019", "qwertyuiop", "aaaaaaaaaaaa"):
+        assert guessed("the passphrase is " + value) == [], value
+
+
 def test_secrets_odd(odd):
     assert credentials.find_secrets(odd).count() == odd.count()
     assert credentials.find_secrets(odd.limit(0)).count() == 0
