@@ -22,12 +22,17 @@ from listingspark.plans.shared import ship_package
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Words that name a credential before a value; wider than the base pattern, and for values of any visible characters.
+#: Words that name a credential before a value, wider than the base pattern. After bearer a blank is enough, and a scheme
+#: may come before the value.
 CONTEXT = re.compile(
-    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|(?:access|private|signing|encryption)[ _-]?key|auth(?:orization)?|bearer)"
-    r"[\"']?[\x20\t]*(?::=|[:=]|\x20is\x20)[\x20\t]*[\"']?([^\s\"'<>]{8,})",
+    r"(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|(?:access|private|signing|encryption)[ _-]?key|auth(?:orization)?|bearer)"
+    r"[\"']?[\x20\t]*(?::=|[:=]|\x20is\x20)[\x20\t]*[\"']?|bearer[\x20\t]+[\"']?)(?:(?:bearer|basic|digest|token|api-?key)[\x20\t]+[\"']?)?",
     re.IGNORECASE | re.ASCII,
 )
+#: A value: visible characters up to a quote, a bracket, or a separator before another field's name.
+VALUE = re.compile(r"(?:(?![&;,][A-Za-z_][\w.-]*(?:\x20[\w.-]+)?[\"']?[=:])[^\s\"'<>])+", re.ASCII)
+#: The fewest characters of a value.
+SHORTEST = 8
 #: log10 of the guesses from which a value counts as a secret: two less than 8 random characters need, the least length of
 #: a value, so that a stretch that looks like a word by chance doesn't hide one.
 LEAST_COST = 6.0
@@ -132,13 +137,25 @@ def find_spans(text: str, least: float) -> tuple[list[tuple[int, int, int]], lis
     starts = [s for s, _, _ in base]
     reach = list(itertools.accumulate((e for _, _, e in base), max))
     more = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        value = m[1].rstrip(".,;:!?)")
-        b = a + len(value)
-        before = bisect.bisect_left(starts, b)
-        if not (before and reach[before - 1] > a) and guess_cost(value) >= least:
-            more.append((a, b))
+    named, end = list(CONTEXT.finditer(text)), 0
+    for k, m in enumerate(named):
+        a = m.end()
+        # from places inside a value the same end is met
+        if a >= end:
+            end = found.end() if (found := VALUE.match(text, a)) else a
+        b = end
+        # a context inside the value starts a value of its own
+        if k + 1 < len(named) and b - named[k + 1].end() >= SHORTEST:
+            b = max(a, named[k + 1].start())
+        b = a + len(text[a:b].rstrip(".,;:!?)&"))
+        # the parts that no base span covers
+        before = bisect.bisect_left(starts, a)
+        parts, at = [], max(a, reach[before - 1]) if before else a
+        for s, _, e in base[before : bisect.bisect_left(starts, b)]:
+            parts.append((at, s))
+            at = max(at, e)
+        parts.append((at, b))
+        more += [(x, y) for x, y in parts if y - x >= SHORTEST and guess_cost(text[x:y]) >= least]
     return base, more, weak
 
 
@@ -169,7 +186,7 @@ def find_secrets(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFram
 
     Returns doc_id, n_assign, n_access, n_hex (base spans by kind), base_sha256, spans (all as kind:start:end, code
     points, end exclusive), n_guess (spans that the guess cost adds: values of at least ``least_cost`` decimal digits of
-    guesses in a credential context that no base span touches) and n_weak (base assignments of lower cost, such as
+    guesses in a credential context, or the part of one that no base span covers) and n_weak (base assignments of lower cost, such as
     placeholders; they stay). One row per input row; null text counts as empty; repeated rows give repeated results;
     empty input: empty result. Other columns are ignored."""
     ship_package(docs.sparkSession)

@@ -407,6 +407,24 @@ def test_words_are_no_secrets():
         assert guessed("the passphrase is " + value) == [], value
 
 
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        ("Authorization: Bearer k9QxZ7vLm2RtY8wPq4", ["k9QxZ7vLm2RtY8wPq4"]),
+        ("bearer k9QxZ7vLm2RtY8wPq4.", ["k9QxZ7vLm2RtY8wPq4"]),
+        ("the bearer understands", []),
+        ("token=abcdefgh&pwd=Zk3xQ9vLm2Rt", ["Zk3xQ9vLm2Rt"]),
+        ("Server=a;pwd=Zk3xQ9#vLm2Rt;User ID=sa;x=1", ["Zk3xQ9#vLm2Rt"]),
+        ("pwd: Zk3xQ9#vLm2Rt,passphrase: tR8wPq4#1x", ["Zk3xQ9#vLm2Rt", "tR8wPq4#1x"]),
+        ("auth: pwd=Zk3xQ9#vLm2Rt", ["Zk3xQ9#vLm2Rt"]),
+        ("password=abcdefgh#Zk3xQ9vLm2Rt", ["#Zk3xQ9vLm2Rt"]),
+        ('pwd: "tr0ub4dor&3xK!q9"', ["tr0ub4dor&3xK!q9"]),
+    ],
+)
+def test_secrets_in_headers_and_lists(value, want):
+    assert guessed(value) == want
+
+
 def test_secrets_odd(odd):
     assert credentials.find_secrets(odd).count() == odd.count()
     assert credentials.find_secrets(odd.limit(0)).count() == 0
