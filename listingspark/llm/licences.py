@@ -7,6 +7,8 @@ notices that projects put in place of a licence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ KNOWN = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
 
+_BSD2 = dict(KNOWN)["BSD-2-Clause"]
+_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY"
+# Full texts besides KNOWN's, and the titles that files put before full texts.
+FULL = (*((a, b) for a, b in KNOWN if len(b) > 400), ("BSD-3-Clause", _BSD2.replace("THIS SOFTWARE IS PROVIDED BY", _ENDORSE)))
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "0BSD"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+}
+
+
+def variants() -> list[tuple[str, str]]:
+    """KNOWN, and each full text with each of its titles or none, with its list's numbers or with signs in their place."""
+    texts = [(name, form) for name, text in FULL for form in (text, re.sub(r"(?<=[:.] )\d\. ", "* ", text))]
+    return [*KNOWN, *((name, f"{title}\n{text}") for name, text in texts for title in ("", *TITLES[name]))]
+
+
 #: A copyright line: one that opens with the word or the sign and names a year or the sign, or reserves all rights.
 COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright\b[^\n]*\b(?:19|20)\d\d|copyright[ \t]*(?:\(c\)|©)|(?:\(c\)|©)[^\p{L}\n]*(?:19|20)\d\d|all rights reserved)[^\n]*$"
 
@@ -68,10 +90,10 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """digest, licence: a row for each known text, at most as many as the list has; equal texts give the first
-    identifier."""
-    rows = spark.createDataFrame(list(known), "licence string, text string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """digest, licence: a row for each known text (``variants`` if None), at most as many as the list has; equal texts give
+    the first identifier."""
+    rows = spark.createDataFrame(variants() if known is None else list(known), "licence string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 

@@ -359,6 +359,18 @@ def test_licences(spark):
     assert got[5] == (None, 2, "CC-BY-NC-4.0,MIT") and got[6] == (None, 0, "") and got[7] == (None, 0, "") and got[8] == ("MIT", 1, "MIT")
 
 
+def test_licences_with_titles_and_bullets(spark):
+    full, owner = dict(licences.FULL), "\n\nCopyright (c) 2020, Someone\n\n"
+    mit = dict(licences.KNOWN[:1])["MIT"]
+    star = full["BSD-2-Clause"].replace(" 1. ", "\n\n* ").replace(" 2. ", "\n\n* ")
+    data = [
+        (1, "MIT License" + owner + mit), (2, "The MIT License (MIT)" + owner + mit), (3, "ISC License" + owner + full["ISC"]), (4, "BSD 2-Clause License" + owner + full["BSD-2-Clause"]), (5, star),
+        (6, "BSD 3-Clause License" + owner + full["BSD-3-Clause"]), (7, "Some Other License" + owner + mit), (8, "MIT License"),
+    ]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: "BSD-2-Clause", 5: "BSD-2-Clause", 6: "BSD-3-Clause", 7: None, 8: None}
+
+
 def test_licences_odd(odd):
     assert licences.scan_licences(odd).count() == odd.count()
     assert licences.scan_licences(odd.limit(0)).count() == 0
