@@ -14,9 +14,11 @@ from pyspark.sql import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only in local mode, where that may be unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -59,6 +61,12 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_order(ws: Workspace, df: DataFrame, keys: list[str], name: str, number: str = "number") -> DataFrame:
+    """df written with ``number``, which grows in the order of the keys: the number of a row in sorted range partitions."""
+    n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    return ws.write(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(number, F.monotonically_increasing_id()), name)
+
+
 def running_total(ws: Workspace, df: DataFrame, order: list[str], amount: str | None, name: str) -> DataFrame:
     """``df`` with ``name`` = the sum of ``amount`` (rows if None) over all rows before this one in ``order``.
 
