@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.plans.shared import Workspace
@@ -104,11 +104,16 @@ def post(maps):
     return run
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A hash of the text and of whether doc_id is null."""
+    return F.xxhash64(text.cast("string"), doc_id.isNull())
+
+
 def index(ws: Workspace, docs: DataFrame, windows: DataFrame | None) -> DataFrame:
     """The written index: doc_id, k, fp, n_words, postings of each document; of all words if windows is None."""
     text, kind = F.col("text").cast("string"), dict(docs.dtypes)["doc_id"]
     key = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("k")
-    df = docs.select("doc_id", key, F.xxhash64(text, F.col("doc_id").isNull()).alias("fp"), text.alias("text"))
+    df = docs.select("doc_id", key, text_key(F.col("doc_id"), text).alias("fp"), text.alias("text"))
     maps = None if windows is None else docs.sparkSession.sparkContext.broadcast({n: np.packbits(x) for n, x in bitmaps(windows).items()})
     return ws.write(df.mapInArrow(post(maps), f"doc_id {kind}, k {kind}, fp long, n_words long, postings array<struct<pos:int,term:long>>"), "index")
 
@@ -151,8 +156,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, slop: int = 30,
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:
     """Words of each document that occurrences of benchmark windows cover, and the items they are from.
 
-    A window is ``size`` consecutive words of an item; an item of fewer words is one window. Returns doc_id, n_words,
-    n_hit, items (sorted as strings), hits (start and words of each occurrence); one row per input row.
+    A window is ``size`` consecutive words of an item; an item of fewer words is one window. Returns doc_id, fp
+    (``text_key``), n_words, n_hit, items (sorted as strings), hits (start and words of each occurrence); one row per input row.
 
     Null or empty text: no words, no hit. Rows of equal doc_id with different texts are looked up apart; repeated rows
     give repeated results. Items without words, and null item_ids, are in no list of items (words are hit all the
@@ -170,4 +175,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) ->
     hits = found.select(*KEY, "start", "n").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("hits"))
     out = indexed.drop("postings").join(covered, KEY, "left").join(named, KEY, "left").join(hits, KEY, "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), "hits")
+    return out.select("doc_id", "fp", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), "hits")

@@ -1,115 +1,181 @@
 """Line dedup by a suffix array over line-ID sequences.
 
-The texts' lines are numbered, and suffixes of the number sequences are ranked by prefix doubling: the rank of the
-first 2k lines of a suffix is the rank of its pair (rank of its first k lines, rank of the k lines that follow), a
-distributed sort of the distinct pairs. Suffixes whose prefix is unique can't share a longer one and leave at
-once, so a round handles only what still repeats. Suffixes of equal rank at the least run length are an interval of
-the suffix array with at least that longest common prefix; all of its suffixes but the first are later copies. Runs of
-fewer lines count too where they reach a number of words, if one is given.
+Lines with a word get numbers that grow by doc_id and place. A line that stands once in the corpus ends every repeated
+run, so the suffix array holds the suffixes of the stretches between such lines. Suffixes are ranked by prefix
+doubling, two doublings a round: the rank of the first 4k lines of a suffix is that of its four ranks of k lines, in the
+order of a distributed sort of the distinct keys. Rounds end when no two suffixes share more than the last one told apart.
+
+Neighbours of the sorted suffixes give the longest common prefixes. A prefix whose line before is equal too is part of a
+longer one, so only the others are measured: ranks tell the power of four that they reach, the rest is compared
+line by line (the lines so compared are n log n in all, as the prefixes that can't be extended to the left are). They
+are the maximal repeated runs. Their lines are deleted where an earlier copy stands: a line is in a later copy of a
+maximal run of ``min_lines`` lines or more if it is in one of that length, so that interval of the suffix array decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingspark.plans.shared import Workspace, running_total
+from listingspark.plans.shared import Workspace, in_order
 
 from .text import has_word, words
 
 KEY = ["doc_id", "fp"]
-AT = [*KEY, "pos"]
+#: Ranks are of so many pieces of the ranks before.
+PIECES = 4
 
 
-def numbered_lines(docs: DataFrame, min_words: int | None = None) -> DataFrame:
-    """doc_id, fp (hash of the text, tells rows of equal doc_id apart), pos (among lines with a word), h, g (hashes
-    of the line; 96 bits together), at (index of the line in the text); with ``min_words`` also size, the line's words up
-    to that number."""
+def line_lists(docs: DataFrame, need: int) -> DataFrame:
+    """doc_id, fp (hash of the text, tells rows of equal doc_id apart), lines: of those with a word h, g (hashes; 96 bits
+    together), at (index in the text) and size (words, counted only where ``need`` can be reached)."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: has_word(x["line"]))
-    df = docs.filter("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(lines).alias("pos", "l"))
-    size = [] if min_words is None else [F.least(F.size(words(F.col("l.line"))), F.lit(min_words)).alias("size")]
-    return df.select(*AT, F.xxhash64("l.line").alias("h"), F.hash("l.line").alias("g"), F.col("l.at").alias("at"), *size)
-
-
-def ranked(ws: Workspace, keyed: DataFrame, a: str, b: str) -> DataFrame:
-    """AT and rank of the suffixes whose key (a, b) occurs twice or more; the rank is the number of suffixes before
-    them in the order of the keys. Counts come first, so that a frequent key is one row of the sort."""
-    groups = keyed.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = running_total(ws, groups, [a, b], "n", "place").select(a, b, "place")
-    return keyed.join(order, [a, b]).select(*AT, F.col("place").alias("rank")).distinct()
-
-
-def shifted(level: DataFrame, k: int) -> DataFrame:
-    """AT, rank and next (the rank of the suffix k lines on), where both are still repeated."""
-    later = level.select(*KEY, (F.col("pos") - k).alias("pos"), F.col("rank").alias("next"))
-    return level.join(later, AT)
-
-
-def suffix_intervals(ws: Workspace, lines: DataFrame, lengths: list[int]) -> tuple[dict[int, DataFrame], DataFrame]:
-    """(by each of ``lengths`` that any reach, AT and rank of the suffixes that share so many first lines with another;
-    AT and run, the largest power of two of lines that such a suffix shares with another, by doubling until nothing
-    repeats)."""
-    level, k, out = ws.write(ranked(ws, lines, "h", "g"), "level1"), 1, {}
-    runs = []
-    while not level.isEmpty():
-        runs.append(level.select(*AT, F.lit(k).alias("run")))
-        for n in lengths:
-            if 2 * k > n >= k:
-                out[n] = level if n == k else ws.write(ranked(ws, shifted(level, n - k), "rank", "next"), "interval")
-        level = ws.write(ranked(ws, shifted(level, k), "rank", "next"), f"level{2 * k}")
-        k *= 2
-    reached = runs[0] if runs else level.select(*AT, F.lit(0).alias("run"))
-    for more in runs[1:]:
-        reached = reached.unionByName(more)
-    return out, reached
-
-
-def later_copies(interval: DataFrame, n: int) -> DataFrame:
-    """KEY, pos and start of the lines in each later copy of a run of ``n`` lines."""
-    first = interval.groupBy("rank").agg(F.min(F.struct(*AT)).alias("first"))
-    later = interval.join(first, "rank").filter(F.struct(*AT) != F.col("first")).select(*KEY, F.col("pos").alias("start"))
-    return later.withColumn("pos", F.explode(F.sequence("start", F.col("start") + F.lit(n - 1))))
-
-
-def repeated_lines(ws: Workspace, docs: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
-    """doc_id, fp, gone (sorted indexes of lines to delete), longest (lines of the longest repeated run that starts in
-    the text, as a power of two), for the texts that lose lines."""
-    lines = ws.write(numbered_lines(docs, min_words), "lines")
-    short = [] if min_words is None else list(range(1, min_lines))
-    intervals, runs = suffix_intervals(ws, lines, [*short, min_lines])
-    covered = runs.select(*AT).limit(0)
-    if min_lines in intervals:
-        covered = later_copies(intervals[min_lines], min_lines).select(*AT)
-    for n in (n for n in short if n in intervals):
-        copies = later_copies(intervals[n], n).join(lines.select(*AT, "size").distinct(), AT)
-        enough = copies.groupBy(*KEY, "start").agg(F.sum("size").alias("total"), F.collect_list("pos").alias("all")).filter(F.col("total") >= min_words)
-        covered = covered.unionByName(enough.select(*KEY, F.explode("all").alias("pos")))
-    gone = covered.distinct().join(lines, AT).groupBy(*KEY).agg(F.array_sort(F.collect_set("at")).alias("gone"))
-    longest = runs.groupBy(*KEY).agg(F.max("run").alias("longest"))
-    return ws.write(gone.join(longest, KEY, "left"), "gone")
-
-
-def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
-    """docs with the text of later copies of runs of ``min_lines`` or more equal lines deleted, and the columns
-    _n_lines (lines with a word before), _n_removed and _longest_run. With ``min_words``, later copies of runs of fewer
-    lines (one is enough) that have so many words or more are deleted as well.
+    size = lambda x: F.when(F.length(x) >= 2 * need - 1, F.size(words(x))).otherwise(F.lit(0)) if need else F.lit(0)
+    listed = F.transform(lines, lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), F.hash(x["line"]).alias("g"), x["at"].alias("at"), size(x["line"]).alias("size")))
+    return docs.filter("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), listed.alias("lines"))
+
+
+def numbered_lines(ws: Workspace, docs: DataFrame, need: int) -> DataFrame:
+    """gid (grows by doc_id, fp and place; neighbours in a text differ by 1), doc (gid of the text's first line), doc_id,
+    fp, h, g, at, size. Equal rows are one text."""
+    texts = ws.write(line_lists(docs, need), "texts")
+    n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_texts = texts.repartitionByRange(n, *KEY).dropDuplicates(KEY).sortWithinPartitions(*KEY)
+    rows = sorted_texts.select(*KEY, F.posexplode("lines").alias("pos", "l")).withColumn("gid", F.monotonically_increasing_id())
+    out = ws.write(rows.select("gid", (F.col("gid") - F.col("pos")).alias("doc"), *KEY, "l.*"), "lines")
+    ws.drop(texts)
+    return out
+
+
+def repeated_stretches(ws: Workspace, lines: DataFrame) -> DataFrame:
+    """The lines that stand twice or more, as suffixes: gid, doc, doc_id, fp, at, size, line (gid of the line's first copy),
+    seg (first gid of the stretch of such lines), rest (lines from here to its end), before (line before it there)."""
+    firsts = ws.write(lines.groupBy("h", "g").agg(F.min("gid").alias("line"), F.max("gid").alias("last")).filter("line < last").drop("last"), "firsts")
+    own = Window.partitionBy("doc").orderBy("gid")
+    df = lines.join(firsts, ["h", "g"]).drop("h", "g")
+    df = df.withColumns({"_run": F.col("gid") - F.row_number().over(own)})
+    whole = Window.partitionBy("doc", "_run")
+    df = df.withColumns({"seg": F.min("gid").over(whole), "rest": F.max("gid").over(whole) - F.col("gid") + 1, "before": F.lag("line").over(whole.orderBy("gid"))})
+    return ws.write(df.drop("_run"), "stretches")
+
+
+def suffix_array(ws: Workspace, stretches: DataFrame) -> DataFrame:
+    """gid, doc, seg, rest, before, path: the ranks of the first 1, 4, 16, ... lines of each suffix, told apart as far as
+    any two suffixes agree. Suffixes that are equal to the ends of their stretches keep equal ranks."""
+    own = Window.partitionBy("seg").orderBy("gid")
+    keys = [f"_{i}" for i in range(PIECES)]
+    state, k = stretches.select("gid", "doc", "seg", "rest", "before", F.array("line").alias("path")), 1
+    while True:
+        rank = F.element_at("path", -1)
+        pieces = state.withColumns({c: rank if i == 0 else F.lead(rank, i * k, -1).over(own) for i, c in enumerate(keys)})
+        order = in_order(ws, pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, f"order{k * PIECES}", "rank")
+        state = ws.write(pieces.join(order.drop("n"), keys).withColumn("path", F.concat("path", F.array("rank"))).drop("rank", *keys), f"ranks{k * PIECES}")
+        if not order.filter(f"n > 1 and {keys[-1]} <> -1").limit(1).count():
+            return state
+        k *= PIECES
+
+
+def neighbours(ws: Workspace, suffixes: DataFrame) -> DataFrame:
+    """The suffixes in order, each with the one before it (its columns with a p before their names)."""
+    said = ["gid", "doc", "seg", "rest", "before", "path"]
+    table = in_order(ws, suffixes.withColumn("_rank", F.element_at("path", -1)), ["_rank", "gid"], "sorted").withColumn("_part", F.shiftright("number", 33))
+    inside = table.withColumn("_p", F.lag(F.struct(*said)).over(Window.partitionBy("_part").orderBy("number")))
+    # the first of a partition follows the last of the partition before; there is a row for each partition
+    last = table.groupBy("_part").agg(F.max_by(F.struct(*said), "number").alias("_last"))
+    last = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))
+    both = inside.join(F.broadcast(last), "_part").withColumn("_p", F.coalesce("_p", "_last")).filter("_p is not null")
+    return both.select(*said, *[F.col("_p")[x].alias(f"p{x}") for x in said])
+
+
+def maximal_runs(ws: Workspace, stretches: DataFrame) -> DataFrame:
+    """gid, doc, pgid, pdoc, run: neighbours in the suffix array that agree in ``run`` lines and not in the line before."""
+    pairs = neighbours(ws, suffix_array(ws, stretches)).filter("path[0] = ppath[0] and not coalesce(before = pbefore, false)")
+    differ = F.array_position(F.transform("path", lambda x, i: x != F.get("ppath", i)), True)
+    base = F.pow(F.lit(PIECES), differ - 2).cast("int")
+    left = F.least("rest", "prest") - base
+    pairs = pairs.select("gid", "doc", "seg", "pgid", "pdoc", "pseg", F.when(differ == 0, F.col("rest").cast("int")).otherwise(base).alias("base"), F.when(differ == 0, 0).otherwise(F.least(left, base * (PIECES - 1))).cast("int").alias("more"))
+    pairs = ws.write(pairs, "pairs")
+    ids = stretches.groupBy("seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("gid", "line"))), lambda x: x["line"]).alias("ids"))
+    ids = ws.write(ids, "ids")
+    part = lambda c, s: F.slice("ids", (F.col(c) - F.col(s)).cast("int") + F.col("base") + 1, F.col("more"))
+    open_pairs = pairs.filter("more > 0").join(ids, "seg").withColumn("x", part("gid", "seg")).drop("ids")
+    open_pairs = open_pairs.join(ids.withColumnRenamed("seg", "pseg"), "pseg").withColumn("y", part("pgid", "pseg"))
+    agree = F.array_position(F.zip_with("x", "y", lambda a, b: a != b), True)
+    measured = open_pairs.select("gid", "doc", "pgid", "pdoc", (F.col("base") + F.when(agree == 0, F.col("more")).otherwise(agree - 1)).alias("run"))
+    return pairs.filter("more <= 0").select("gid", "doc", "pgid", "pdoc", F.col("base").alias("run")).unionByName(measured)
+
+
+def later_flag(ws: Workspace, df: DataFrame, n: int) -> DataFrame:
+    """df with ``_later{n}``: whether the ``n`` lines from this one on stand earlier too."""
+    if n == 1:
+        return df.withColumn("_later1", F.col("gid") > F.col("line"))
+    own = Window.partitionBy("seg").orderBy("gid")
+    keys = [f"_k{i}" for i in range(n)]
+    keyed = ws.write(df.withColumns({k: F.col("line") if i == 0 else F.lead("line", i).over(own) for i, k in enumerate(keys)}), "keyed")
+    full = keyed.filter(f"{keys[-1]} is not null").groupBy(*keys).agg(F.min("gid").alias("_first"), F.max("gid").alias("_last"))
+    firsts = ws.write(full.filter("_first < _last").drop("_last"), "interval")
+    return keyed.join(firsts, keys, "left").withColumn(f"_later{n}", F.coalesce(F.col("gid") > F.col("_first"), F.lit(False))).drop("_first", *keys)
+
+
+def lines_gone(ws: Workspace, stretches: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """doc, doc_id, fp, gone (sorted indexes of the lines to delete), for texts that have repeated lines."""
+    lengths = [*([] if min_words is None else range(1, min_lines)), min_lines]
+    df = reduce(lambda d, n: later_flag(ws, d, n), lengths, stretches)
+    listed = df.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.array_sort(F.collect_list(F.struct("gid", "at", "size", *[f"_later{n}" for n in lengths]))).alias("l"))
+    l = F.col("l")  # noqa: E741
+
+    def covers(x: Column, i: Column, n: int, d: int) -> Column:
+        """Whether a later copy of n lines begins d lines before x."""
+        at = F.get(l, i - d)
+        ok = (at["gid"] == x["gid"] - d) & at[f"_later{n}"]
+        if n < min_lines:
+            ok = ok & (reduce(lambda a, b: a + b, [F.get(l, i - d + e)["size"] for e in range(n)]) >= min_words)
+        return F.coalesce(ok, F.lit(False))
+
+    gone = F.filter(l, lambda x, i: reduce(lambda a, b: a | b, [covers(x, i, n, d) for n in lengths for d in range(n)]))
+    return listed.select("doc", *KEY, F.transform(gone, lambda x: x["at"]).alias("gone"))
+
+
+def repeated_lines(ws: Workspace, docs: DataFrame, min_lines: int, min_words: int | None, longest: bool) -> DataFrame:
+    """doc_id, fp, n_lines, gone and, with ``longest``, longest (lines of the longest repeated run), for all texts with lines."""
+    lines = numbered_lines(ws, docs, 0 if min_words is None else min_words if min_lines == 2 else 1)
+    stretches = repeated_stretches(ws, lines)
+    gone = lines_gone(ws, stretches, min_lines, min_words).drop(*KEY)
+    out = lines.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n_lines")).join(gone, "doc", "left")
+    if longest:
+        runs = ws.write(maximal_runs(ws, stretches), "runs")
+        both = runs.select("doc", "run").unionByName(runs.select(F.col("pdoc").alias("doc"), "run"))
+        out = out.join(both.groupBy("doc").agg(F.max("run").alias("longest")), "doc", "left")
+    return ws.write(out.drop("doc"), "gone")
+
+
+def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = 50, longest: bool = True, prefix: str = "_") -> DataFrame:
+    """docs with the text of later copies of repeated runs deleted: runs of ``min_lines`` equal lines or more, and runs of
+    fewer lines (one is enough) of ``min_words`` words or more; None: by lines alone. Adds n_lines (lines with a word before),
+    n_removed and, unless ``longest`` is false, longest_run (lines of the longest run that the text has in common with
+    another place, its own included; 0 for none), their names with ``prefix`` before.
 
     Runs are whole lines that follow each other, lines without a word left out; those stay where they are. The first
     copy, by doc_id and place, stays; rows of equal doc_id and text are one document and lose the same lines. Null
-    or empty texts, and rows without doc_id, stay as they are. Empty input: empty result. Other columns are kept, so
-    they must not be named like the three new ones."""
+    or empty texts, and rows without doc_id, stay as they are. Empty input: empty result. Other columns are kept,
+    whatever their names; choose a ``prefix`` that none of them begins with."""
     ws = Workspace(docs.sparkSession, "lines")
-    gone = repeated_lines(ws, docs, min_lines, min_words).select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), F.col("gone").alias("_gone"), F.col("longest").alias("_longest"))
-    # the table of deletions grows with the corpus, so that texts and deletions are dealt by key at every size
-    df = docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_fp"]), "left")
+    found = repeated_lines(ws, docs, min_lines, min_words, longest)
+    # texts and deletions are dealt by key at every size, as the table of deletions grows with the corpus
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("fp"))
+    df = rows.join(found.hint("merge"), KEY, "left")
+    text, gone = F.col("row")["text"], F.col("gone")
     # lines that stay lie between those that go: the text is cut there, in steps of the number of lines
-    df = df.withColumn("_lines", F.split(docs["text"], "\n"))
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
-    df = df.withColumn("_edges", F.when(F.col("_gone").isNotNull(), edges))
-    e = F.col("_edges")
-    parts = F.transform(F.slice(e, 2, F.size(e) - 1), lambda x, i: F.slice(F.col("_lines"), F.get(e, i) + 2, x - F.get(e, i) - 1))
-    kept = F.array_join(F.flatten(parts), "\n")
-    n_lines = F.size(F.filter("_lines", has_word))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)
-    out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return df.select(*out, F.greatest(n_lines, F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"), F.coalesce("_longest", F.lit(0)).cast("long").alias("_longest_run"))
+    pieces = F.when(F.size(gone) > 0, F.split(text, "\n"))
+    edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size("pieces")))
+    df = df.withColumn("pieces", pieces).withColumn("edges", F.when(F.col("pieces").isNotNull(), edges))
+    e = F.col("edges")
+    kept = F.transform(F.slice(e, 2, F.size(e) - 1), lambda x, i: F.slice(F.col("pieces"), F.get(e, i) + 2, x - F.get(e, i) - 1))
+    new = F.when(F.col("pieces").isNull(), text).otherwise(F.array_join(F.flatten(kept), "\n"))
+    own = F.when(F.col("doc_id").isNull() & text.isNotNull(), F.size(F.filter(F.split(text, "\n"), has_word)))
+    out = [new.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    number = lambda x, name: F.coalesce(x, F.lit(0)).cast("long").alias(prefix + name)
+    more = [number(F.coalesce("n_lines", own), "n_lines"), number(F.when(F.size(gone) > 0, F.size(gone)), "n_removed")]
+    return df.select(*out, *more, *([number(F.col("longest"), "longest_run")] if longest else []))

@@ -54,12 +54,13 @@ def water_fill(sources: DataFrame, max_copies: int = 3) -> DataFrame:
         level, capped = (total.t - r.c) / r.w, r.n
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | None = None, cycle: tuple[int, ...] = (5, 2, 1), weights: DataFrame | None = None, max_copies: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | None = None, cycle: tuple[int, ...] = (5, 2, 1), weights: DataFrame | None = None, max_copies: int = 3, seed: int = 17, rows: bool = False) -> DataFrame:
     """Copies of each document so that sources reach their target share of all words.
 
     docs: doc_id, source and the columns of ``size`` (default: words of ``text``) and ``preference`` (relative
     chance of a document, default 1). weights: (source, weight) or else the cycle. Returns doc_id, source, size,
-    source_size, target, copies, taken = copies * size; one row per input row.
+    source_size, target, copies, taken = copies * size; one row per input row. With ``rows`` it returns the columns of
+    docs and copies (in place of a column of that name), for the rows of one word and one copy or more.
 
     Null text: size 0, no copies drawn. Null source: a source of its own, last in order. Null preference: 1. Rows of
     equal doc_id are separate documents that share a random number. Empty input: empty result. Other columns of
@@ -69,8 +70,10 @@ def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | Non
     ws = Workspace(spark, "mix")
     size = word_count(F.col("text")) if size is None else size.cast("long")
     liked = F.lit(1.0) if preference is None else F.greatest(F.coalesce(preference.cast("double"), F.lit(1.0)), F.lit(0.0))
+    whole = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if rows else []
+    keep_rows, names = rows, [c for c in docs.columns if c != "copies"]
     rows = ws.write(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), liked.alias("liked"))
+        docs.select(*whole, docs["doc_id"], F.col("source").cast("string").alias("source"), size.alias("size"), liked.alias("liked"))
         .withColumn("key", source_key(F.col("source")))
         .withColumn("u", uniform(seed, F.col("doc_id")))
         .withColumn("row", F.monotonically_increasing_id()),
@@ -129,4 +132,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | Non
     )
     extra = taken.unionByName(fill).withColumn("extra", F.lit(1))
     copies = F.col("certain") + F.coalesce("extra", F.lit(0))
-    return held.join(extra, "row", "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = held.join(extra, "row", "left")
+    if keep_rows:
+        return out.filter("size > 0").select(*[F.col("doc")[c].alias(c) for c in names], copies.alias("copies")).filter("copies > 0")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

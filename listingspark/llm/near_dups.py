@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingspark.plans.shared import Workspace
+from listingspark.plans.shared import Workspace, in_order
 
 from .tokens import SPACED_LOWER, mix, tokenize, windows
 
@@ -67,7 +67,7 @@ def sketch(rows: np.ndarray, hashes: np.ndarray, n: int, t: int) -> np.ndarray:
 
 
 def summaries(shingle: int, bands: int, band_rows: int):
-    """doc_id, text -> doc_id, n (set size), s1, s2 (hash of the set), keys (of the bands; empty for an empty set)."""
+    """doc_id, fp, text -> doc_id, fp, n (set size), s1, s2 (hash of the set), keys (of the bands; empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,8 +86,8 @@ def summaries(shingle: int, bands: int, band_rows: int):
                 some = n > 0
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))],
-                    ["doc_id", "n", "s1", "s2", "keys"],
+                    [batch["doc_id"], batch["fp"], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))],
+                    ["doc_id", "fp", "n", "s1", "s2", "keys"],
                 )
 
     return run
@@ -107,26 +107,6 @@ def whole_sets(shingle: int):
     return run
 
 
-def linked(percent: int):
-    """a, b, x, y (the sets of a and b) -> a, b, shared where they are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared, ok = [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = (v.values.to_numpy().view(np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                k = int((q[at] == p).sum())
-                shared.append(k)
-                ok.append(100 * k >= percent * (len(p) + len(q) - k))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask), pa.array(shared, pa.int64()).filter(mask)], ["a", "b", "shared"])
-
-    return run
-
-
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """node, label (least node reachable) of edges(a, b): least labels of neighbours, then labels of labels, until
     nothing changes. Each round is written, so a lost executor costs one round."""
@@ -176,58 +156,69 @@ def prefix_pairs(ws: Workspace, left: DataFrame, sets: DataFrame, percent: int)
     return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs(a, b) whose sets are similar enough. The set of a travels to that of b, so name the end that many
+    pairs have in common b."""
+    x, y = (sets.select(F.col("cls").alias(c), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").filter(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 75, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Groups of documents linked by 100 * shared shingles >= percent * all shingles of the two.
 
-    Returns doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) and kept (doc_id is
-    component_id); one row per input row. Every link is confirmed on the full sets of hashed shingles.
+    Returns doc_id, fp (xxhash64 of the text), n_shingles, component_id (least doc_id reachable by links, itself
+    included) and kept (doc_id is component_id); one row per input row. Every link is confirmed on the full sets of hashed
+    shingles.
 
     Null or empty text, or one without words: empty set, linked with nothing. Fewer words than a shingle: the
-    whole sequence is one. Rows of equal doc_id with different texts are members of either's group under one doc_id;
-    their rows keep their own component_id. Null doc_id: in no group, component_id null and kept. Empty input: empty
+    whole sequence is one. Rows of equal doc_id with different texts are documents of their own, linked by their own
+    texts; repeated rows have equal results. Null doc_id: in no group, component_id null and kept. Empty input: empty
     result. Other columns are ignored."""
     ws = Workspace(docs.sparkSession, "near")
     kind = dict(docs.dtypes)["doc_id"]
-    df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = ws.write(df.mapInArrow(summaries(shingle, bands, band_rows), f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>"), "sketches")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cls"))
-    members = ws.write(rows.drop("keys").join(classes, ["s1", "s2", "n"], "left"), "members")
-    firsts = members.filter("doc_id = cls").select("cls", "s1", "s2", "n").distinct()
-    reps = rows.join(firsts.withColumnRenamed("cls", "doc_id"), ["doc_id", "s1", "s2", "n"]).dropDuplicates(["doc_id", "s1", "s2"])
-    banded = reps.select(F.col("doc_id").alias("cls"), "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    text = F.col("text").cast("string")
+    df = docs.select("doc_id", F.xxhash64(text).alias("fp"), text.alias("text"))
+    rows = ws.write(df.mapInArrow(summaries(shingle, bands, band_rows), f"doc_id {kind}, fp long, n long, s1 long, s2 long, keys array<long>"), "sketches")
+    # classes of equal sets, numbered in the order of their least doc_id, so that a least number has a least doc_id
+    same = ["s1", "s2", "n"]
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("first"), F.min_by("fp", "doc_id").alias("fp"))
+    classes = in_order(ws, classes, ["first", "s1", "s2"], "classes", "cls")
+    members = ws.write(rows.drop("keys").join(classes.select(*same, "cls"), same, "left"), "members")
+    own = classes.withColumnRenamed("first", "doc_id")
+    reps = ws.write(rows.join(own, ["doc_id", "fp", *same]).dropDuplicates(["cls"]).select("cls", "n", "keys"), "representatives")
+    banded = reps.select("cls", "n", F.explode("keys").alias("key"))
+    shared = ws.write(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     hits = ws.write(banded.join(shared, "key"), "hits")
+    ws.drop(reps, shared)
     # the star of a bucket is its class that meets the most others over all bands: the text that copies come from
     central = hits.groupBy("cls").agg(F.sum("size").alias("central"))
     mark = F.struct("central", F.xxhash64("cls").alias("mark"), F.col("cls").alias("star"), F.col("n").alias("star_n"))
-    chosen = hits.join(central, "cls").groupBy("key").agg(F.max(mark).alias("m")).select("key", "m.star", "m.star_n")
+    chosen = ws.write(hits.join(central, "cls").groupBy("key").agg(F.max(mark).alias("m")).select("key", "m.star", "m.star_n"), "chosen")
     buckets = ws.write(hits.join(chosen, "key").drop("size"), "buckets")
-    ws.drop(hits)
+    ws.drop(hits, chosen)
     sized = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pair = [F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")]
-    stars = buckets.filter((F.col("cls") != F.col("star")) & sized("n", "star_n")).withColumnRenamed("star", "other").select(*pair).distinct()
-    stars = ws.write(stars, "stars")
+    stars = ws.write(buckets.filter((F.col("cls") != F.col("star")) & sized("n", "star_n")).select(F.col("cls").alias("a"), F.col("star").alias("b")).distinct(), "stars")
     # full sets of the classes that share a bucket
-    wanted = buckets.select("cls").distinct()
-    sets = ws.write(df.join(wanted.withColumnRenamed("cls", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "text").mapInArrow(whole_sets(shingle), f"cls {kind}, items array<long>"), "sets")
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        x, y = (sets.select(F.col("cls").alias(c), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        return ws.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked(percent), f"a {kind}, b {kind}, shared long"), name)
-
-    links = confirm(stars, "links").select("a", "b")
+    wanted = own.join(buckets.select("cls").distinct(), "cls").select("doc_id", "fp", "cls")
+    sets = ws.write(df.join(wanted, ["doc_id", "fp"]).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(whole_sets(shingle), "cls long, items array<long>"), "sets")
+    links = ws.write(confirmed(stars, sets, percent), "links")
     labels = components(ws, links)
     # pairs of a bucket that are still apart: at least one of them is apart from the star
     apart = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     starred = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
     apart = ws.write(apart.join(starred, "star", "left").withColumn("out", F.col("label") != F.coalesce("star_label", "star")).select("key", "cls", "n", "label", "out"), "apart")
+    ws.drop(buckets, stars)
     mixed = apart.filter("out").select("key").distinct()
     left = ws.write(apart.join(mixed, "key", "left_semi").groupBy("cls", "n", "label").agg(F.max("out").alias("out")), "left")
+    ws.drop(apart)
     if left.limit(1).count():
         rest = ws.write(prefix_pairs(ws, left, sets, percent), "rest")
-        more = confirm(rest, "more").select("a", "b")
+        more = ws.write(confirmed(rest, sets, percent), "more")
         if more.limit(1).count():
             labels = components(ws, links.unionByName(more))
-    out = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-    component = F.coalesce("label", "cls", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = labels.join(classes.select(F.col("cls").alias("label"), F.col("first").alias("component")), "label").select(F.col("node").alias("cls"), "component")
+    alone = classes.select("cls", F.col("first").alias("own"))
+    out = members.join(alone.join(named, "cls", "left"), "cls", "left")
+    component = F.coalesce("component", "own", "doc_id")
+    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -126,37 +126,34 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN c ON w.doc_id = c.doc_id
 """
 
-LINES = """
-WITH l AS (
+LINES = f"""
+WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), b AS (
-  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
-), d AS (SELECT doc_id, list(line ORDER BY pos) AS ls FROM b GROUP BY doc_id
-), run AS (
-  SELECT doc_id, k, p, md5(array_to_string(list_slice(ls, p, p + k - 1), chr(10))) AS h
-  FROM (SELECT doc_id, ls, k, unnest(range(1, len(ls) - k + 2)) AS p FROM (SELECT *, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS k FROM d))
-), first AS (SELECT k, h, min(doc_id * 10000000 + p) AS first, count(*) AS n FROM run GROUP BY k, h
-), longest AS (SELECT doc_id, max(k) AS longest FROM run JOIN first USING (k, h) WHERE n > 1 GROUP BY doc_id
-), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 2)) AS pos FROM run JOIN first USING (k, h) WHERE k = 2 AND doc_id * 10000000 + p <> first
+  SELECT doc_id, i, line, md5(line) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), run AS (  -- each place with the runs of k lines from it that stand twice or more
+  SELECT doc_id, pos, 1 AS k, h FROM b WHERE h IN (SELECT h FROM b GROUP BY h HAVING count(*) > 1)
+  UNION ALL
+  SELECT doc_id, pos, k, h FROM (
+    SELECT run.doc_id, run.pos, k + 1 AS k, md5(run.h || b.h) AS h, count(*) OVER (PARTITION BY md5(run.h || b.h)) AS n
+    FROM run JOIN b ON run.doc_id = b.doc_id AND run.pos + k = b.pos
+  ) WHERE n > 1
+), longest AS (SELECT doc_id, max(k) AS longest FROM run GROUP BY doc_id
+), first AS (SELECT k, h, min(doc_id * 10000000 + pos) AS first FROM run WHERE k <= 2 GROUP BY k, h
+), gone AS (
+  SELECT doc_id, unnest(range(pos, pos + 2)) AS pos FROM run JOIN first USING (k, h) WHERE k = 2 AND doc_id * 10000000 + pos <> first
+  UNION SELECT run.doc_id, run.pos FROM run JOIN first USING (k, h) JOIN b ON run.doc_id = b.doc_id AND run.pos = b.pos
+  WHERE k = 1 AND run.doc_id * 10000000 + run.pos <> first AND len({spaced("line")}) >= 50
 ), cut AS (SELECT b.doc_id, b.i FROM b JOIN gone ON b.doc_id = gone.doc_id AND b.pos = gone.pos
 ), kept AS (
   SELECT l.doc_id, count(cut.i) AS n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE cut.i IS NULL) AS kept
   FROM l LEFT JOIN cut ON l.doc_id = cut.doc_id AND l.i = cut.i GROUP BY l.doc_id
-)
-SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
-  (CASE WHEN n_removed > 0 THEN longest ELSE 0 END)::BIGINT AS longest_run,
+), n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(longest, 0)::BIGINT AS longest_run,
   CASE WHEN s.text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
-FROM documents s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id LEFT JOIN longest ON s.doc_id = longest.doc_id
+FROM documents s LEFT JOIN n ON s.doc_id = n.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id LEFT JOIN longest ON s.doc_id = longest.doc_id
 """
 
-#: LINES, and single lines of 50 words or more lose their later copies too.
-PASSAGES = LINES.replace(
-    "), cut AS (",
-    f"""  UNION SELECT run.doc_id, p AS pos FROM run JOIN first USING (k, h) JOIN b ON run.doc_id = b.doc_id AND p = pos
-  WHERE k = 1 AND run.doc_id * 10000000 + p <> first AND len({spaced("line")}) >= 50
-), cut AS (""",
-)
-
 
 def canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
@@ -204,7 +201,7 @@ ORACLES: dict[str, str] = {
     "op5_chat_round_trip": CHAT,
     "op6_near_duplicates": NEAR,
     "op7_line_dedup": LINES,
-    "op7_line_dedup_passages": PASSAGES,
+    "op7_line_dedup_passages": LINES,
     "op8_licence_scan": LICENCES,
     "op10_decontamination": LEAKS,
 }

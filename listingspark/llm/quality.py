@@ -43,7 +43,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     places' spans added up, in n log n steps for a text of any length."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    df = docs.select(*keep, F.col("text").cast("string").alias("_text")).withColumn("_w", words(F.col("_text")))
+    df = docs.select(*keep, docs["text"].cast("string").alias("_text")).withColumn("_w", words(F.col("_text")))
     lines = F.filter(F.split(text, "\n"), has_word)
     df = df.select(
         *keep,
@@ -188,19 +188,33 @@ def decision(rules: list[Rule]) -> Column:
     return out
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
-    """Statistics, base test and verdict of each document, learned from labels(doc_id, quality 0 or 1).
-
-    Returns doc_id, the counts of ``text_statistics``, base_failed, rule (number of the rule that rejects, null for
-    none) and kept. Null text fails the base test. Repeated rows are judged alike. Labels without a document,
-    with null quality or given twice with different values (the lowest counts) do no harm; no labels: no rules.
-    Empty input: empty result. Other columns are ignored."""
+def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], learning: dict) -> DataFrame:
+    """keep (columns of docs, doc_id among them), the counts, base_failed, rule and kept."""
     ws = Workspace(docs.sparkSession, "quality")
-    stats = ws.write(text_statistics(docs, "doc_id"), "statistics")
+    stats = ws.write(text_statistics(docs, *keep), "statistics")
     names = [name for name, _, _ in RATIOS]
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     judged = stats.select("*", *ratios(), failed.alias("base_failed"))
-    rows = judged.filter("not base_failed").dropDuplicates(["doc_id"]).join(known, "doc_id").select("doc_id", *names, (F.col("quality") == 0).alias("_low"))
-    rules = learn_decision_list(rows, names, "_low", **learning)
+    rows = judged.filter("not base_failed").join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*names, "quality")).alias("r")).select("doc_id", "r.*")
+    rules = learn_decision_list(rows.select("doc_id", *names, (F.col("quality") == 0).alias("_low")), names, "_low", **learning)
     return judged.withColumn("rule", decision(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*names)
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """Statistics, base test and verdict of each document, learned from labels(doc_id, quality 0 or 1).
+
+    Returns doc_id, the counts of ``text_statistics``, base_failed, rule (number of the rule that rejects, null for
+    none) and kept. Null text fails the base test. Repeated rows are judged alike. A null doc_id is judged by the rules.
+    Labels without a document, with null quality or given twice with different values (the lowest counts) do no harm; of
+    texts that share a labelled doc_id the one of the least ratios is learned from; no labels: no rules.
+    Empty input: empty result. Other columns are ignored."""
+    return _judged(docs, labels, ["doc_id"], learning)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """The rows of docs that ``judge_quality`` keeps, each judged by its own text: one with null text goes, one with null
+    doc_id and a good text stays, repeated rows stay or go together. All columns are kept, whatever their names; empty
+    input: empty result. Rows travel with their statistics, so that no join has to bring them together again."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    return _judged(rows, labels, ["row", "doc_id"], learning).filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])

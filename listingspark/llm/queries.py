@@ -37,7 +37,7 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
 def line_digest(out: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_line_dedup, and single lines of 50 words or more lose their later copies as well."""
-    return line_digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents"), min_words=50))
+    """The former name of op7_line_dedup's rule: single lines of 50 words or more count as runs."""
+    return op7_line_dedup(spark, sf_dir)
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,4 +26,4 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, " \t\n\x0b\f\r", "")) > 0
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""

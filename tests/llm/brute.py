@@ -105,23 +105,36 @@ def near(rows, percent=75):
     return {i: (len(sets[i]), top(i), top(i) == i) for i in ids}
 
 
-def line_dedup(rows, min_lines=2):
+def line_dedup(rows, min_lines=2, min_words=None):
+    """Runs of ``min_lines`` lines lose their later copies, and those of fewer that have ``min_words`` words."""
     at = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if words(x)] for i, t, *_ in rows}
-    first = {}
-    for i in sorted(at):
-        for p in range(len(at[i]) - min_lines + 1):
-            first.setdefault(tuple(x for _, x in at[i][p : p + min_lines]), (i, p))
-    out = {}
+    lengths = [min_lines] if min_words is None else range(1, min_lines + 1)
+    runs = {i: [(p, tuple(x for _, x in v[p : p + n])) for n in lengths for p in range(len(v) - n + 1)] for i, v in at.items()}
+    first, out = {}, {}
+    for i in sorted(runs):
+        for p, run in runs[i]:
+            first.setdefault(run, (i, p))
     for i, t, *_ in rows:
-        gone = set()
-        for p in range(len(at[i]) - min_lines + 1):
-            if first[tuple(x for _, x in at[i][p : p + min_lines])] != (i, p):
-                gone.update(k for k, _ in at[i][p : p + min_lines])
-        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-        out[i] = (len(at[i]), len(gone), kept)
+        gone = {k for p, run in runs[i] if first[run] != (i, p) and (len(run) == min_lines or sum(len(words(x)) for x in run) >= min_words) for k, _ in at[i][p : p + len(run)]}
+        out[i] = (len(at[i]), len(gone), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
     return out
 
 
+def longest_runs(rows):
+    """((doc_id, lines), lines of the longest run that stands elsewhere too); rows of equal doc_id and text count once."""
+    texts = sorted({(i, t or "") for i, t, *_ in rows})
+    at = [[x for x in t.split("\n") if words(x)] for _, t in texts]
+    live, best, n = [(d, p) for d, v in enumerate(at) for p in range(len(v))], [0] * len(at), 1
+    while live:
+        seen = Counter(tuple(at[d][p : p + n]) for d, p in live)
+        live = [(d, p) for d, p in live if seen[tuple(at[d][p : p + n])] > 1]
+        for d, _ in live:
+            best[d] = n
+        n += 1
+        live = [(d, p) for d, p in live if p + n <= len(at[d])]
+    return [((i, len(v)), k) for (i, _), v, k in zip(texts, at, best, strict=True)]
+
+
 def leaks(rows, items, size=10):
     alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
     wins = defaultdict(set)

@@ -126,11 +126,44 @@ def test_quality_learns_held_out(spark):
     assert bad.filter("not kept").count() >= 0.8 * bad.count()
 
 
+def test_quality_verdicts(spark, rows):
+    """base_failed, rule and kept of the whole result, from the rules as plain comparisons."""
+    longer = [(i, f"{t or ''} " + " ".join(brute.words(rows[(k * 7) % len(rows)][1])), *r) for k, (i, t, *r) in enumerate(rows)]
+    docs = spark.createDataFrame(longer, brute.SCHEMA)
+    labels = spark.createDataFrame([(i, int(len(t) % 3 > 0)) for i, t, *_ in longer], "doc_id long, quality int")
+    seen, learn = [], quality.learn_decision_list
+
+    def keep(*a, **b):
+        seen.append(learn(*a, min_precision=0.4, min_cover=1, **b))
+        return seen[-1]
+
+    quality.learn_decision_list = keep
+    try:
+        out = quality.judge_quality(docs, labels).collect()
+    finally:
+        quality.learn_decision_list = learn
+    (rules,) = seen
+    assert rules and len(out) == len(longer)
+    texts = {i: t for i, t, *_ in longer}
+    for r in out:
+        n_words, chars, _, _, n_repeat = brute.statistics(texts[r["doc_id"]])
+        assert r["base_failed"] == (n_words < 50 or 100 * n_repeat > 50 * n_words)
+        value = {name: r[a] / r[b] if r[b] else 0.0 for name, a, b in quality.RATIOS}
+        covers = [k for k, rule in enumerate(rules, 1) if all((value[t.feature] >= t.threshold) == t.above for t in rule)]
+        assert r["rule"] == (covers[0] if covers else None) and r["kept"] == (not r["base_failed"] and not covers)
+    assert len({r["rule"] for r in out}) > 1 and len({r["base_failed"] for r in out}) == 2
+
+
 def test_quality_odd(odd, spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
-    out = quality.judge_quality(odd, labels)
-    assert out.count() == odd.count() and out.filter("text is null").count() == 0 if "text" in out.columns else True
-    assert quality.judge_quality(odd.limit(0), labels.limit(0)).count() == 0
+    out = quality.judge_quality(odd, labels).collect()
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    said = lambda i, t: (i, len(brute.words(t)), brute.statistics(t)[0] < 50 or 100 * brute.statistics(t)[4] > 50 * brute.statistics(t)[0])
+    assert sorted(((r["doc_id"], r["n_words"], r["base_failed"]) for r in out), key=str) == sorted((said(i, t) for i, t in texts), key=str)
+    assert all(r["kept"] == (not r["base_failed"]) and r["rule"] is None for r in out)
+    good = quality.good_documents(odd.unionByName(odd.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))), labels)
+    assert good.columns == odd.columns and sorted((r["doc_id"] or 0, r["row"]) for r in good.collect()) == [(0, 7), (4, 7)]
+    assert quality.judge_quality(odd.limit(0), labels.limit(0)).count() == 0 and quality.good_documents(odd.limit(0), labels).count() == 0
 
 
 # 3
@@ -249,7 +282,7 @@ def test_chats_odd(spark):
 
 # 6
 def test_near(docs, rows):
-    got = {r[0]: tuple(r)[1:] for r in near_dups.near_duplicates(docs).collect()}
+    got = {r[0]: tuple(r)[1:] for r in near_dups.near_duplicates(docs).drop("fp").collect()}
     want = brute.near(rows)
     assert got == want and sum(not x[2] for x in want.values()) > 3
 
@@ -300,13 +333,40 @@ def test_near_odd(odd):
     assert near_dups.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_one_id_with_two_texts(spark):
+    """Rows of one doc_id are linked by their own texts."""
+    w, v = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    df = spark.createDataFrame([(1, w), (1, v), (2, w + " z"), (3, v + " z"), (4, "u " + v)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df).collect())
+    assert got == [(1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 37, 1, False), (4, 37, 1, False)]
+
+
 # 7
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_lines(docs, rows, least):
-    got = {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["text"]) for r in lines.drop_repeated_lines(docs, min_lines=least).collect()}
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["text"]) for r in lines.drop_repeated_lines(docs, min_lines=least, min_words=None, longest=False).collect()}
     assert got == brute.line_dedup(rows, least)
 
 
+def test_longest_runs(spark, docs, rows):
+    """Exact lengths, of runs far longer than a round tells apart too."""
+    part = lambda a, b: "\n".join(f"line {i}" for i in range(a, b))
+    extra = [(1001, part(0, 90), "en", "s", 0), (1002, f"x\n{part(13, 80)}\ny", "en", "s", 0), (1003, f"{part(13, 60)}\nz\n{part(70, 200)}", "en", "s", 0), (1004, "same\n" * 37, "en", "s", 0), (1005, f"line 3\n{part(5, 26)}", "en", "s", 0), (1005, "another", "en", "s", 0)]
+    all_rows = [*rows, *extra]
+    out = lines.drop_repeated_lines(docs.unionByName(spark.createDataFrame(extra, brute.SCHEMA)))
+    got = {(r["doc_id"], r["_n_lines"]): r["_longest_run"] for r in out.collect()}
+    assert got == {k: n for k, n in brute.longest_runs(all_rows)} and max(got.values()) == 67
+
+
+def test_lines_clash(spark):
+    """Columns with the names of the operator's own, with dots too."""
+    own = ["_gone", "_lines", "_edges", "_doc", "_fp", "_longest", "fp", "gone", "row", "n_lines", "longest", "pieces", "edges", "gid", "doc", "line", "seg", "a.b", "_n_lines"]
+    df = spark.createDataFrame([(1, "a\nb"), (2, "a\nb\nc"), (None, "a\nb")], "doc_id long, text string").withColumns({c: F.lit(7) for c in own})
+    out = lines.drop_repeated_lines(df, prefix="__")
+    assert out.columns == [*df.columns, "__n_lines", "__n_removed", "__longest_run"]
+    assert sorted((r["doc_id"] or 0, r["text"], r["__n_lines"], r["__n_removed"], r["a.b"]) for r in out.collect()) == [(0, "a\nb", 2, 0, 7), (1, "a\nb", 2, 0, 7), (2, "c", 3, 2, 7)]
+
+
 def test_lines_of_one_text(spark):
     df = spark.createDataFrame([(1, "a\na\na\na\na\n\nb"), (2, "b\na\na\nz")], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["_longest_run"]) for r in lines.drop_repeated_lines(df).collect()}
@@ -317,28 +377,15 @@ def test_lines_of_one_text(spark):
 def test_lines_or_words(spark, docs, rows, least):
     """Runs of fewer lines go where they have enough words: the corpus has a passage of 70 words between other lines."""
     got = {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["text"]) for r in lines.drop_repeated_lines(docs, min_lines=least, min_words=30).collect()}
-    want = line_dedup_or_words(rows, least, 30)
+    want = brute.line_dedup(rows, least, 30)
     assert got == want and (least == 1 or want != brute.line_dedup(rows, least))
 
 
-def line_dedup_or_words(rows, min_lines, min_words):
-    at = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if brute.words(x)] for i, t, *_ in rows}
-    runs = {i: [(p, tuple(x for _, x in v[p : p + n])) for n in range(1, min_lines + 1) for p in range(len(v) - n + 1)] for i, v in at.items()}
-    first, out = {}, {}
-    for i in sorted(runs):
-        for p, run in runs[i]:
-            first.setdefault(run, (i, p))
-    for i, t, *_ in rows:
-        gone = {k for p, run in runs[i] if first[run] != (i, p) and (len(run) == min_lines or sum(len(brute.words(x)) for x in run) >= min_words) for k, _ in at[i][p : p + len(run)]}
-        out[i] = (len(at[i]), len(gone), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
-    return out
-
-
 def test_lines_or_words_of_repeated_rows(spark):
     """Rows of equal doc_id and text lose the same lines, once."""
     long = " ".join(f"w{k}" for k in range(50))
     df = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (2, f"c\n{long}\nd")], "doc_id long, text string")
-    got = [(r["doc_id"], r["text"], r["_n_removed"]) for r in lines.drop_repeated_lines(df, min_words=50).orderBy("doc_id").collect()]
+    got = [(r["doc_id"], r["text"], r["_n_removed"]) for r in lines.drop_repeated_lines(df).orderBy("doc_id").collect()]
     assert got == [(1, f"a\n{long}\nb", 0), (2, "c\nd", 1), (2, "c\nd", 1)]
 
 

@@ -46,7 +46,7 @@ def test_stages(spark, folder, tmp_path):
     good = {r["doc_id"] for r in verdict.filter("kept").collect()}
     assert judged == {i: x for i, x in start.items() if i in good}
     assert all(brute.statistics(x[1])[0] >= 50 for x in judged.values()) and len(judged) > 30
-    want = {i: (n, gone, t) for i, (n, gone, t) in brute.line_dedup(list(judged.values())).items() if gone == 0 or gone < n}
+    want = {i: (n, gone, t) for i, (n, gone, t) in brute.line_dedup(list(judged.values()), 2, 50).items() if gone == 0 or gone < n}
     assert {i: x[1] for i, x in lined.items()} == {i: t for i, (_, _, t) in want.items()}
     assert all(x[4] == len(x[1]) for x in lined.values()) and sum(gone > 0 for _, gone, _ in want.values()) > 0
     near = brute.near(list(lined.values()))
@@ -68,9 +68,37 @@ def test_run_is_the_stages(spark, folder):
     assert sorted(map(tuple, out.select("doc_id", "copies").collect())) == sorted(map(tuple, again.select("doc_id", "copies").collect()))
 
 
+def odd_table(spark):
+    good, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (None, good, "en", "s", 9), (2, "a " * 60, "en", None, 120), (3, "word " * 20000, "en", "s", 100000), (4, other, None, None, None), (4, other, None, None, None), (4, good + " x " + other, "en", "s", 9)]
+    return spark.createDataFrame(rows, brute.SCHEMA).withColumns({c: F.lit(5) for c in ("copies", "id", "fp", "row", "kept", "doc", "_gone", "_lines", "a.b")})
+
+
 def test_stages_on_odd_tables(spark, folder):
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a " * 60, "en", None, 120), (3, "word " * 20000, "en", "s", 100000)], brute.SCHEMA)
-    for df in (odd, odd.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, df.withColumn("copies0", F.lit(1)), folder)
-            assert out.count() <= df.count(), name
+    """Nulls, repeated rows, one doc_id with two texts and columns of the operators' own names."""
+    odd = odd_table(spark)
+    base = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        found = out.collect()
+        assert sorted(out.columns) == sorted(odd.columns) and all(r["a.b"] == r["_gone"] == 5 for r in found)
+        base[name] = sorted(((r["doc_id"], r["text"]) for r in found), key=str)
+        assert stage(spark, odd.limit(0), folder).count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    by = lambda *ks: sorted((rows[k] for k in ks), key=str)
+    assert base["quality rules"] == by(2, 5, 6, 7)
+    lined = [(i, t) for i, t in rows]
+    lined[7] = (4, rows[7][1])
+    assert base["line dedup"] == sorted(lined, key=str)
+    assert base["near-duplicates"] == by(*range(8)) and base["decontamination"] == by(*range(8))
+    assert set(base["mixing"]) <= set(rows) and {t for _, t in base["mixing"]} and (None, None) not in base["mixing"]
+
+
+def test_null_ids_are_judged_by_their_texts(spark, folder):
+    """A null doc_id with a benchmark passage goes; one with a clean text stays through all stages but the mix."""
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    clean = " ".join(f"q{k}" for k in range(80))
+    docs = spark.createDataFrame([(None, f"{clean} {leak}", "en", "s", 1), (None, clean, "en", "s", 1), (None, clean + "\n" + clean.upper(), "en", "s", 1)], brute.SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, folder)
+    assert sorted(r["text"] for r in docs.collect()) == sorted([clean, clean + "\n" + clean.upper()])
