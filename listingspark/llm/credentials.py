@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, and values in credential contexts judged by the cost of guessing them.
 
 The cost of a value is that of its cheapest segmentation into words, dates, repeats, keyboard walks and brute-force
-spans, found by dynamic programming from left to right in steps of the value's length.
+spans, found by dynamic programming from left to right. Places that already cost as much as a secret are not gone on
+from, so that a value of any length takes a few steps more than its first secret part.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import itertools
 import math
 import re
@@ -66,6 +68,10 @@ FOLLOW = dict(
 WORD_COST, WORD_LENGTH = 5.0, 24
 
 
+#: The longest block whose repetition is looked for; a longer one of cheap parts costs what these do.
+LONGEST_BLOCK = 64
+
+
 def word_ends(value: str, low: str, at: int) -> Iterator[int]:
     """Ends of stretches of six letters or more from ``at`` that could be a word: one case after the first letter, or all
     capitals, and letters that follow each other in words."""
@@ -78,58 +84,79 @@ def word_ends(value: str, low: str, at: int) -> Iterator[int]:
             yield end
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
-    n, low = len(value), value.lower()
+def period_end(value: str, at: int, size: int) -> int:
+    """The end of the longest stretch from ``at`` whose characters are those ``size`` places before, compared in slices that
+    double in length and then halve."""
+    end, step = at + size, 1
+    while step:
+        same = end + step <= len(value) and value[end : end + step] == value[end - size : end - size + step]
+        end += step if same else 0
+        step = step * 2 if same else step // 2
+    return end
+
+
+def walk_end(low: str, at: int) -> int:
+    end = at + 1
+    while end < len(low) and (low[end - 1], low[end]) in NEXT:
+        end += 1
+    return end
+
+
+def spans_from(value: str, low: str, plain: str, at: int, ranks: dict[str, int], longest: int) -> Iterator[tuple[int, float]]:
+    """(end, log10 of the guesses) of the spans that begin at a place. Walks and repeats are those that can't be made longer
+    on either side, so that each is followed once."""
+    yield at + 1, 1.0  # brute force: ten guesses a character
+    if m := DATE.match(value, at):
+        yield m.end(), math.log10(365 * 60) if m.end() - at > 4 else math.log10(60)
+    if not at or (low[at - 1], low[at]) not in NEXT:
+        end = walk_end(low, at)
+        if end - at >= 3:
+            yield end, math.log10(40 * (end - at))
+    for end in range(at + 3, min(len(value), at + longest) + 1):
+        rank = ranks.get(low[at:end]) or ranks.get(plain[at:end])
+        if rank:
+            yield end, math.log10(rank + 1) + math.log10(2) * (value[at:end] != low[at:end]) + math.log10(2) * (low[at:end] not in ranks)
+    for end in word_ends(value, low, at):
+        yield end, WORD_COST + math.log10(2) * (value[at:end] != low[at:end])
+    for size in range(1, min(LONGEST_BLOCK, (len(value) - at) // 2) + 1):
+        # a block that is repeated at once costs itself and the number of its copies
+        if value[at] != value[at + size] or (at and value[at - 1] == value[at + size - 1]):
+            continue
+        k = (period_end(value, at, size) - at) // size
+        if size == 1 and k >= 3:
+            yield at + k, math.log10(60 * k)
+        elif size > 1 and k > 1:
+            yield at + k * size, guess_cost(value[at : at + size], math.inf, ranks, longest) + math.log10(k)
+
+
+def guess_cost(value: str, limit: float = math.inf, ranks: dict[str, int] = RANK, longest: int = LONGEST) -> float:
+    """log10 of the guesses that the cheapest segmentation needs, or ``limit`` if that is not less; 0 for an empty value."""
+    low = value.lower()
+    if len(low) != len(value):
+        low = "".join(x if len(x) == 1 else c for c, x in zip(value, map(str.lower, value), strict=True))
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    # ways out of each place: (end, cost)
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for at in range(n):
-        if m := DATE.match(value, at):
-            dates.setdefault(at, []).append((m.end(), math.log10(365 * 60) if m.end() - at > 4 else math.log10(60)))
-    walk_from = repeat_from = 0
-    walks: dict[int, tuple[int, float]] = {}
-    repeats: dict[int, tuple[int, float]] = {}
-    for i in range(1, n + 1):
-        if i == n or (low[i - 1], low[i]) not in NEXT:
-            if i - walk_from >= 3:
-                walks[walk_from] = (i, math.log10(40 * (i - walk_from)))
-            walk_from = i
-        if i == n or value[i] != value[i - 1]:
-            if i - repeat_from >= 3:
-                repeats[repeat_from] = (i, math.log10(60 * (i - repeat_from)))
-            repeat_from = i
-    for at in range(n):
-        here = best[at]
-        # one more character by brute force: ten guesses a character
-        best[at + 1] = min(best[at + 1], here + 1.0)
-        for end, cost in (*dates.get(at, ()), *((walks[at],) if at in walks else ()), *((repeats[at],) if at in repeats else ())):
-            best[end] = min(best[end], here + cost)
-        for end in range(at + 3, min(n, at + LONGEST) + 1):
-            rank = RANK.get(low[at:end]) or RANK.get(plain[at:end])
-            if rank:
-                cased = math.log10(2) * (value[at:end] != low[at:end]) + math.log10(2) * (low[at:end] not in RANK)
-                best[end] = min(best[end], here + math.log10(rank + 1) + cased)
-        for end in word_ends(value, low, at):
-            best[end] = min(best[end], here + WORD_COST + math.log10(2) * (value[at:end] != low[at:end]))
-        # a block that the text repeats at once costs its number of copies only
-        for size in (2, 3, 4, 5, 6, 8):
-            block, k = value[at : at + size], 1
-            while len(block) == size and value.startswith(block, at + k * size):
-                k += 1
-            if k > 1:
-                best[at + k * size] = min(best[at + k * size], here + size + math.log10(k))
-    return best[n]
-
-
-def find_spans(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], int]:
+    best, places = {0: 0.0}, [0]
+    while places:
+        at = heapq.heappop(places)
+        here = best.pop(at)
+        if at == len(value):
+            return min(here, limit)
+        for end, cost in spans_from(value, low, plain, at, ranks, longest):
+            if here + cost < min(limit, best.get(end, math.inf)):
+                if end not in best:
+                    heapq.heappush(places, end)
+                best[end] = here + cost
+    return limit
+
+
+def find_spans(text: str, least: float, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], int]:
     """(base spans as (start, kind, end), spans that the costs add, base assignments of a cost below ``least``)."""
     base, weak = [], 0
+    longest = max(map(len, ranks), default=0)
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 8:
             base.append((m.start(), 0, m.end()))
-            weak += guess_cost(m[2]) < least
+            weak += guess_cost(m[2], least, ranks, longest) < least
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
@@ -155,19 +182,22 @@ def find_spans(text: str, least: float) -> tuple[list[tuple[int, int, int]], lis
             parts.append((at, s))
             at = max(at, e)
         parts.append((at, b))
-        more += [(x, y) for x, y in parts if y - x >= SHORTEST and guess_cost(text[x:y]) >= least]
+        more += [(x, y) for x, y in parts if y - x >= SHORTEST and guess_cost(text[x:y], least, ranks, longest) >= least]
     return base, more, weak
 
 
 KINDS = ("assign", "access", "hex", "guess")
 
 
-def scan(least: float):
+def scan(least: float, ranks):
+    """ranks: a broadcast of the words' ranks besides the list's; None for none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = RANK if ranks is None else ranks.value | RANK
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for text in batch["text"].to_pylist():
-                base, more, weak = find_spans(text or "", least)
+                base, more, weak = find_spans(text or "", least, known)
                 for k in range(3):
                     out[k].append(sum(kind == k for _, kind, _ in base))
                 said = lambda spans: ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
@@ -181,14 +211,23 @@ def scan(least: float):
     return run
 
 
-def find_secrets(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFrame:
+#: The most words of a table of ranks that go to the tasks: the lowest ranks, as the others cost like brute force.
+MOST_WORDS = 200_000
+
+
+def find_secrets(docs: DataFrame, *, least_cost: float = LEAST_COST, words: DataFrame | None = None) -> DataFrame:
     """Secrets in each whole text.
 
     Returns doc_id, n_assign, n_access, n_hex (base spans by kind), base_sha256, spans (all as kind:start:end, code
     points, end exclusive), n_guess (spans that the guess cost adds: values of at least ``least_cost`` decimal digits of
     guesses in a credential context, or the part of one that no base span covers) and n_weak (base assignments of lower cost, such as
-    placeholders; they stay). One row per input row; null text counts as empty; repeated rows give repeated results;
+    placeholders; they stay). words: (word, rank), lower-case words of three letters or more and their place among the
+    most common ones, used besides the built-in list, up to ``MOST_WORDS`` of them. One row per input row; null text counts as empty; repeated rows give repeated results;
     empty input: empty result. Other columns are ignored."""
     ship_package(docs.sparkSession)
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return df.mapInArrow(scan(least_cost), f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, n_weak long")
+    ranks = None
+    if words is not None:
+        few = words.filter("word is not null and rank is not null and length(word) >= 3").orderBy("rank", "word").limit(MOST_WORDS)
+        ranks = docs.sparkSession.sparkContext.broadcast({r["word"]: int(r["rank"]) for r in few.collect()})
+    return df.mapInArrow(scan(least_cost, ranks), f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, n_weak long")

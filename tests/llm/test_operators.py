@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -451,6 +453,60 @@ def test_guess_costs():
     assert cost("x" * 5) <= cost("x" * 5 + "q") <= cost("x" * 5) + 1
 
 
+def cheapest(value):
+    """The least cost over all ways to cut the value, each part judged by the definitions of its kinds."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(credentials.LEET)
+    step = lambda k: (low[k], low[k + 1]) in credentials.NEXT
+
+    def part(a, b):
+        size, costs = b - a, [float(b - a)]
+        if (m := credentials.DATE.match(value, a)) and m.end() == b:
+            costs.append(math.log10(365 * 60 if size > 4 else 60))
+        if size >= 3 and all(step(k) for k in range(a, b - 1)) and not (a and step(a - 1)) and not (b < n and step(b - 1)):
+            costs.append(math.log10(40 * size))
+        for text, worse in ((low[a:b], 1), (plain[a:b], 2)):
+            if text in credentials.RANK and (worse == 1 or low[a:b] not in credentials.RANK):
+                costs.append(math.log10((credentials.RANK[text] + 1) * worse * (2 if value[a:b] != low[a:b] else 1)))
+        if b in list(credentials.word_ends(value, low, a)):
+            costs.append(credentials.WORD_COST + math.log10(2) * (value[a:b] != low[a:b]))
+        for block in range(1, size // 2 + 1):
+            k = size // block
+            end = next((j for j in range(a + block, n) if value[j] != value[j - block]), n)
+            if k * block == size and end >= b and k == (end - a) // block and not (a and value[a - 1] == value[a - 1 + block]):
+                if block > 1:
+                    costs.append(cheapest(value[a : a + block]) + math.log10(k))
+                elif k >= 3:
+                    costs.append(math.log10(60 * k))
+        return min(costs)
+
+    cuts = [[0, *(k for k in range(1, n) if mask >> (k - 1) & 1), n] for mask in range(1 << max(0, n - 1))]
+    return min(sum(part(a, b) for a, b in zip(c, c[1:], strict=False)) for c in cuts) if n else 0.0
+
+
+def test_guess_costs_against_all_segmentations():
+    r = random.Random(4)
+    values = ["password", "pass123", "abcabcabc", "aaaab", "2019x", "P@ssw0rd1", "qwerty12", "aXaXaX", "hhhellooo", "1212121", "Secret9", "loveyou", "abababz"]
+    values += ["".join(r.choice("ab1q2wer@A") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    for value in values:
+        assert math.isclose(credentials.guess_cost(value), cheapest(value), abs_tol=1e-9), value
+        assert math.isclose(credentials.guess_cost(value, 3.0), min(3.0, cheapest(value)), abs_tol=1e-9), value
+
+
+def test_guess_costs_of_very_long_values():
+    began = time.perf_counter()
+    for value in ("a" * 10**6, "ab" * 500_000, "password" * 125_000, "abcdefg" * 140_000, "".join(chr(33 + i * 7919 % 90) for i in range(10**6)), "İ" * 10**6):
+        credentials.guess_cost(value, credentials.LEAST_COST)
+    assert credentials.guess_cost("abcdefg" * 9) < credentials.guess_cost("abcdefghijk" * 9) + 2 and credentials.guess_cost("xkqvzjw" * 9) == pytest.approx(7 + math.log10(9))
+    assert time.perf_counter() - began < 6
+
+
+def test_words_given_as_data(spark):
+    df = spark.createDataFrame([(1, "pwd: xkqvzjwyuh")], "doc_id long, text string")
+    words = spark.createDataFrame([("xkqvzjwyuh", 500), ("ab", 1), (None, 2)], "word string, rank long")
+    assert [credentials.find_secrets(df, words=w).first()["n_guess"] for w in (None, words)] == [1, 0]
+
+
 def guessed(text):
     return [text[a:b] for a, b in credentials.find_spans(text, credentials.LEAST_COST)[1]]
 
