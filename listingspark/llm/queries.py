@@ -26,12 +26,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.archive_round_trip(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for k, role in enumerate(("user", "assistant"))])))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.format_chats(turns.unionByName(extra)))
 

@@ -3,7 +3,8 @@
 Records open with ``WARC/1.1 CRLF``, so a reader that splits there gets one record a row from splittable files. Chunk
 borders of the transfer framing are set so that this string never stands inside a block. Its first letter comes once in
 it, so that a reader can't take part of it for its start.
-Long blocks are written as segments: a first record and continuation records that name it as their origin.
+Long blocks are written as segments: a first record and continuation records that name it as their origin. Files are
+compressed as a whole, by Spark's writer, and each part of the table begins with a warcinfo record.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,55 +62,80 @@ def dechunk(body: bytes) -> bytes:
 
 
 def head(fields: list[tuple[str, str]], length: int) -> bytes:
-    # a field is one line and doesn't end like a border
-    said = [(k, re.sub(r"WARC/1\.1$", "WARC/1%2E1", re.sub(r"[\r\n]+", " ", v).rstrip())) for k, v in fields]
-    lines = [f"{k}: {v}\r\n" for k, v in said]
+    lines = [f"{k}: {v}\r\n" for k, v in fields]
     return VERSION + "".join(lines).encode("utf-8", "replace") + b"Content-Length: %d\r\n\r\n" % length
 
 
+def uri_fields(url: str | None) -> list[tuple[str, str]]:
+    """The target URI; besides it, where a header line can't hold the url as it is, the url's own bytes."""
+    plain = url is not None and url == url.strip() and not re.search(r"[\x00-\x1f\x7f\u2028\u2029\x85]|WARC/1\.1$", url) and url != ""
+    if plain:
+        return [("WARC-Target-URI", url)]
+    safe = re.sub(r"WARC/1\.1$", "WARC/1%2E1", quote(url or "about:blank", safe="%/:?#[]@!$&'()*+,;=~-._"))
+    return [("WARC-Target-URI", safe), ("X-Target-URI-Base64", "null" if url is None else base64.b64encode(url.encode("utf-8", "surrogatepass")).decode() or "empty")]
+
+
+def uri_of(fields: dict[str, str]) -> str | None:
+    said = fields.get("x-target-uri-base64")
+    if said is None:
+        return fields.get("warc-target-uri")
+    return {"null": None, "empty": ""}[said] if said in ("null", "empty") else base64.b64decode(said).decode("utf-8", "surrogatepass")
+
+
+def record_id(page: int | None, digest: str, row: str) -> str:
+    """Of a response: from its page and payload, so that revisits can name it; a page without an id has its row's."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row if page is None else page}:{digest}')}>"
+
+
 def segments(block: bytes, size: int) -> list[bytes]:
     return [block[at : at + size] for at in range(0, len(block), size)] or [block]
 
 
-def page_records(segment: int, chunk: int):
+def page_records(segment: int, chunk: int, date: str):
     """row, page_id, url, html, winner -> record (bytes): a response or a revisit, in segments where it is long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = b"software: Spark text writer\r\nformat: WARC File Format 1.1\r\n"
+        records = [head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], len(said)) + said]
         for batch in batches:
-            records = []
             for row, page, url, html, winner in zip(*(batch[c].to_pylist() for c in ("row", "page_id", "url", "html", "winner")), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                own = f"<urn:record:{row}>"
-                base = [("WARC-Date", DATE), ("WARC-Target-URI", url or "about:blank"), ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}")]
+                digest = sha1_base32(payload)
+                base = [("WARC-Date", date), *uri_fields(url), ("WARC-Payload-Digest", f"sha1:{digest}")]
                 base += [("X-Page-Id", str(page))] if page is not None else []
-                if winner is not None and page != winner:
-                    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *base, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{winner}>")]
-                    records.append(head(fields, 0))
+                if winner is not None and page is not None and page != winner:
+                    own = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:uuid:{row}>")]
+                    records.append(head([*own, *base, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(winner, digest, row))], 0))
                     continue
                 block = HTTP + chunked(payload, chunk)
                 parts = segments(block, segment)
-                more = [("WARC-Segment-Number", "1")] if len(parts) > 1 else []
+                own = record_id(page, digest, row)
+                # rows that are repeated have records of equal ids; the row keeps their segments apart
+                more = [("WARC-Segment-Number", "1"), ("X-Row", row)] if len(parts) > 1 else []
                 records.append(head([("WARC-Type", "response"), ("WARC-Record-ID", own), *base, ("Content-Type", "application/http; msgtype=response"), *more], len(parts[0])) + parts[0])
                 for k, part in enumerate(parts[1:], 2):
-                    fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:record:{row}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k))]
+                    fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}:{row}:{k}')}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), ("X-Row", row)]
                     fields += [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
                     records.append(head(fields, len(part)) + part)
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+            records = []
 
     return run
 
 
-def write_pages(pages: DataFrame, path: str, *, segment: int = SEGMENT, chunk: int = CHUNK, compression: str = "gzip", most: int = 20_000) -> None:
+def write_pages(pages: DataFrame, path: str, *, segment: int = SEGMENT, chunk: int = CHUNK, compression: str = "gzip", most: int = 20_000, date: str = DATE) -> None:
     """A record for each row of pages(page_id, url, html) in WARC files under ``path``.
 
     Of the rows with equal payloads, those of the largest page_id are responses and the others revisit that page. Null
-    html is an empty payload. Null page_id: a response of its own without an id. Repeated rows give repeated records. Files hold
-    ``most`` records, as one compressed file is read by one task; with ``compression="none"`` they are read in splits."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    html is an empty payload, a null url is told from an empty one. Null page_id: a response of its own without an id. Repeated
+    rows give repeated records. Files hold ``most`` records, as one compressed file is read by one task; with
+    ``compression="none"`` they are read in splits. ``date`` stands in all records."""
+    ws, html = Workspace(pages.sparkSession, "warc"), F.coalesce(F.col("html").cast("string"), F.lit(""))
     df = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    winners = df.groupBy("digest").agg(F.max("page_id").alias("winner"), F.min("page_id").alias("least")).filter("least < winner").drop("least")
+    # written, so that a payload that most pages have is dealt among several tasks
+    winners = ws.write(df.groupBy("digest").agg(F.max("page_id").alias("winner"), F.min("page_id").alias("least")).filter("least < winner").drop("least"), "winners")
     rows = df.join(winners, "digest", "left").withColumn("row", F.expr("uuid()")).select("row", "page_id", "url", "html", "winner")
-    records = rows.mapInArrow(page_records(segment, chunk), "record binary")
+    records = rows.mapInArrow(page_records(segment, chunk, date), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
@@ -129,10 +157,11 @@ def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     "record_id": fields.get("warc-record-id"),
                     "type": fields.get("warc-type"),
                     "page_id": number("x-page-id"),
-                    "url": fields.get("warc-target-uri"),
+                    "url": uri_of(fields),
                     "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:"),
-                    "refers_to": int(m[1]) if (m := re.search(r"urn:page:(-?\d+)", fields.get("warc-refers-to", ""))) else None,
+                    "refers_to": fields.get("warc-refers-to"),
                     "origin": fields.get("warc-segment-origin-id"),
+                    "row": fields.get("x-row"),
                     "segment": number("warc-segment-number"),
                     "total": number("warc-segment-total-length"),
                     "block": block[:n],
@@ -141,12 +170,12 @@ def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(out, RECORD)
 
 
-RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
-RECORD_DDL = "record_id string, type string, page_id long, url string, digest string, refers_to long, origin string, segment long, total long, block binary"
+RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin", pa.string()), ("row", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+RECORD_DDL = "record_id string, type string, page_id long, url string, digest string, refers_to string, origin string, row string, segment long, total long, block binary"
 
 
 def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """record_id, page_id, url, digest, parts (of the block, by segment number), total -> the decoded payload."""
+    """record_id, page_id, url, digest, parts (of the block, by segment number), total -> the decoded payload and its length."""
     for batch in batches:
         out = []
         for parts, total, digest, record in zip(*(batch[c].to_pylist() for c in ("parts", "total", "digest", "record_id")), strict=True):
@@ -160,7 +189,7 @@ def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if digest and sha1_base32(payload) != digest:
                 raise ValueError(f"{record}: payload differs from its digest")
             out.append(payload)
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.binary()), pa.array([sha1_base32(p) for p in out], pa.string())], ["page_id", "url", "payload", "payload_digest"])
+        yield pa.RecordBatch.from_arrays([batch["record_id"], batch["page_id"], batch["url"], pa.array(out, pa.binary()), pa.array([len(p) for p in out], pa.int64()), pa.array([sha1_base32(p) for p in out], pa.string())], ["record_id", "page_id", "url", "payload", "payload_bytes", "payload_digest"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -171,25 +200,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, payload, payload_digest, record_type, refers_to of each page in the archives.
+    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of each page in the archives.
 
     Segments are grouped by origin, ordered by number and checked against the total length; chunked framing is decoded
     and the payload checked against its digest. A record's segments meet in one row, as its payload must. Revisits have
-    the payload of the response they refer to. Archives without records: empty result."""
-    records = read_records(spark, path)
+    the payload of the response whose record they name; who doesn't select ``payload`` moves none to them. A revisit of a
+    record that the archives lack has null payload and refers_to. Archives without records: empty result."""
+    records = read_records(spark, path).filter("type in ('response', 'continuation', 'revisit')")
     part = F.struct(F.coalesce("segment", F.lit(1).cast("long")).alias("segment"), "block")
     said = ["page_id", "url", "digest", "total"]
     whole = records.filter("type = 'response' and segment is null").select("record_id", *said, F.array(part).alias("parts"))
     cut = (
         records.filter("segment is not null")
-        .groupBy(F.coalesce("origin", "record_id").alias("record_id"))
+        .groupBy(F.coalesce("origin", "record_id").alias("record_id"), "row")
         .agg(*[F.max(c).alias(c) for c in said], F.array_sort(F.collect_list(part)).alias("parts"))
     )
     one = whole.unionByName(cut.select(*whole.columns)).select("record_id", "page_id", "url", "digest", "total", "parts")
-    responses = one.mapInArrow(payloads, "page_id long, url string, payload binary, payload_digest string")
-    first = responses.select(F.col("page_id").alias("refers_to"), "payload", "payload_digest").dropDuplicates(["refers_to", "payload_digest"])
-    revisits = records.filter("type = 'revisit'").select("page_id", "url", "refers_to", F.col("digest").alias("payload_digest")).join(first, ["refers_to", "payload_digest"], "left")
-    return responses.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.withColumn("record_type", F.lit("revisit")))
+    responses = one.mapInArrow(payloads, "record_id string, page_id long, url string, payload binary, payload_bytes long, payload_digest string")
+    first = responses.select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"), "payload", "payload_bytes").dropDuplicates(["named"])
+    revisits = records.filter("type = 'revisit'").select("page_id", "url", F.col("refers_to").alias("named"), F.col("digest").alias("payload_digest")).join(first, "named", "left").drop("named")
+    return responses.drop("record_id").select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.withColumn("record_type", F.lit("revisit")))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

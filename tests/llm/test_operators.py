@@ -214,13 +214,14 @@ def test_segments_join():
 
 def test_archives_read_back(spark):
     html = ["<p>a</p>", "<p>a</p>", "<p>b</p>" + BORDER + "x", None, "", "é" * 60000, BORDER * 500, "<p>a</p>"]
-    df = spark.createDataFrame([(i, f"http://x/{i}\r\nWARC/1.1", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    urls = ["http://x/\r\nWARC/1.1", "http://x/WARC/1.1", None, "", "http://x/é?a=%20&b=1 2 ", "\x85 \u2028", "http://x/ordinary", "a: b"]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string").repartition(3)
     got = {r["page_id"]: r for r in warc.archive_round_trip(df).collect()}
     assert len(got) == len(html)
     for i, h in enumerate(html):
         data = (h or "").encode()
         last = max(k for k, x in enumerate(html) if (x or "") == (h or ""))
-        assert bytes(got[i]["payload"]) == data and got[i]["payload_digest"] == brute.sha1_base32(data)
+        assert bytes(got[i]["payload"]) == data and got[i]["payload_digest"] == brute.sha1_base32(data) and got[i]["payload_bytes"] == len(data) and got[i]["url"] == urls[i]
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if last == i else ("revisit", last))
 
 
@@ -236,6 +237,17 @@ def test_archives_are_split_files_of_records(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_revisits_name_records_of_the_archive(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (None, "u", "same"), (3, "v", "x" * 5000), (3, "v", "x" * 5000)], "page_id long, url string, html string").repartition(2)
+    warc.write_pages(df, f"{tmp_path}/w", segment=1000)
+    records = warc.read_records(spark, f"{tmp_path}/w").collect()
+    ids = [r["record_id"] for r in records if r["type"] == "response"]
+    named = [r["refers_to"] for r in records if r["type"] == "revisit"]
+    assert len(named) == 1 and named[0] in ids and all(i.startswith("<urn:uuid:") for i in ids) and {"warcinfo"} <= {r["type"] for r in records}
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"], bytes(r["payload"])) for r in warc.read_pages(spark, f"{tmp_path}/w").collect()), key=str)
+    assert got == [(0, "response", None, 4, b"same"), (1, "revisit", 2, 4, b"same"), *[(2, "response", None, 4, b"same")] * 2, *[(3, "response", None, 5000, b"x" * 5000)] * 2]
+
+
 def test_lost_segment_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
     warc.write_pages(df, f"{tmp_path}/w", segment=1000)
