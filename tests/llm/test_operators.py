@@ -252,7 +252,7 @@ def test_lost_segment_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
     warc.write_pages(df, f"{tmp_path}/w", segment=1000)
     records = spark.read.option("lineSep", BORDER).text(f"{tmp_path}/w").collect()
-    for number in (2, sum(bool(r.value) for r in records)):
+    for number in (2, sum("Segment-Number" in r.value for r in records)):
         kept = [r.value for r in records if f"Segment-Number: {number}\r\n" not in r.value]
         out = f"{tmp_path}/w{number}"
         spark.createDataFrame([("WARC/1.1\r\n" + v.removesuffix("\r\n\r\n"),) for v in kept if v], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(out)
