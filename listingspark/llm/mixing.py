@@ -3,7 +3,8 @@
 A source's target is a number of words. Every document first gets its certain whole copies (the whole part of
 its expected copies). The rest is drawn without replacement: each document has an inclusion probability p
 and a random number u; documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` and taken from the smallest until
-the words still wanted are reached. One document of the best fitting size then fills the gap that is left.
+the words still wanted are reached. One document of a source, of the best fitting size, then fills the gap that is left;
+this one alone is not drawn by its odds.
 
 No source is gathered in one task. The cut in a source's ranking is found by zooming: sizes are summed into
 ``BINS`` bins of the rank, the bin holding the cut is divided again, until few documents are left in it.
@@ -88,7 +89,9 @@ def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | Non
     sources = ws.write(water_fill(ws.write(sums, "weighted"), max_copies), "targets")
 
     # certain whole copies, then the words still wanted
-    expected = F.when(F.col("liked_size") > 0, F.col("target") * F.col("liked") / F.col("liked_size")).otherwise(F.lit(0.0))
+    # a source that is full gives all it may, whatever is preferred
+    full = F.col("target") >= F.col("source_size") * F.lit(max_copies)
+    expected = F.when(F.col("liked_size") > 0, F.when(full, float(max_copies)).otherwise(F.col("target") * F.col("liked") / F.col("liked_size"))).otherwise(F.lit(0.0))
     expected = F.least(expected, F.lit(float(max_copies)))
     held = rows.join(sources.select("key", "source_size", "target", "liked_size"), "key").withColumn("expected", expected).withColumn("certain", F.floor("expected"))
     wanted = ws.write(

@@ -5,7 +5,7 @@ Without SQL: op2 (the rules are learned) and op9 (places of matches, guess costs
 
 from __future__ import annotations
 
-from .licences import COPYRIGHT, KNOWN, SPELLINGS
+from .licences import COPYRIGHT, DIGESTS, SPELLINGS, variants
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,11 +28,11 @@ def hex_number(text: str, digits: int) -> str:
 
 MIX = f"""
 WITH d AS (
-  SELECT doc_id, source, len({spaced("text")})::BIGINT AS size,
+  SELECT doc_id, source, len({spaced("text")})::BIGINT AS size, least(len({spaced("text")}), 1000) + 2000 AS liked,
     (({hex_number("md5('17:' || doc_id)", 13)})::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * liked)::DOUBLE AS liked_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
   FROM d GROUP BY source
 ), t AS (SELECT sum(source_size)::HUGEINT AS total FROM s
@@ -44,10 +44,10 @@ WITH d AS (
   SELECT (max(total) - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END))::DOUBLE / sum(CASE WHEN capped THEN 0 ELSE weight END)::DOUBLE AS level
   FROM s JOIN full_at ON s.source IS NOT DISTINCT FROM full_at.source, t
 ), g AS (
-  SELECT s.source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target
+  SELECT s.source, source_size, liked_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target
   FROM s JOIN full_at ON s.source IS NOT DISTINCT FROM full_at.source, level
 ), h AS (
-  SELECT d.*, source_size, target, least(CASE WHEN source_size > 0 THEN target * 1.0::DOUBLE / source_size::DOUBLE ELSE 0.0 END, 3.0::DOUBLE) AS expected
+  SELECT d.*, source_size, target, least(CASE WHEN source_size = 0 THEN 0.0 WHEN target >= 3 * source_size THEN 3.0 ELSE target * liked::DOUBLE / liked_size END, 3.0::DOUBLE) AS expected
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), c AS (SELECT *, floor(expected)::BIGINT AS certain FROM h
 ), w AS (
@@ -165,8 +165,10 @@ def canonical(text: str) -> str:
 
 LICENCES = f"""
 WITH known AS (
-  SELECT sha256({canonical("text")}) AS digest, min(licence) AS licence
-  FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in KNOWN)}) AS k(licence, text) GROUP BY 1
+  SELECT digest, min(licence) AS licence FROM (
+    SELECT sha256({canonical("text")}) AS digest, licence FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in variants())}) AS k(licence, text)
+    UNION ALL SELECT digest, licence FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in DIGESTS)}) AS g(licence, digest)
+  ) GROUP BY 1
 ), d AS (SELECT doc_id, text, sha256({canonical("text")}) AS text_digest FROM documents
 ), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
 ), n AS (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, credentials, decontaminate, licences, lines, mixing, near_dups, quality, substrings, warc
+from .text import word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Texts up to 1000 words are the likelier to be drawn the longer they are, by half at most."""
+    longer = F.least(word_count(F.col("text")), F.lit(1000)) + 2000
+    return mixing.mix(table(spark, sf_dir, "documents"), preference=longer)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,9 +163,12 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, texts: bool = False) -> D
     df = docs.select("doc_id", F.xxhash64(text).alias("fp"), text.alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = ws.write(df.mapInArrow(summaries(size), f"doc_id {kind}, fp long, n_words long, sha string, words long, parts array<long>"), "summaries")
-    # whole copies
-    firsts = rows.filter("doc_id is not null").groupBy("words", "n_words").agg(F.min("doc_id").alias("first"))
-    rows = ws.write(rows.join(firsts, ["words", "n_words"], "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= size), F.lit(False))).drop("first", "words"), "copies")
+    # whole copies: an earlier document has all their words in order, so each of their windows starts there too and one hash
+    # decides what window by window would come out the same. The texts that have copies are written, so that a text with
+    # very many is dealt among several tasks
+    firsts = rows.filter(f"doc_id is not null and n_words >= {size}").groupBy("words", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = ws.write(firsts.filter("first < last").drop("last"), "firsts")
+    rows = ws.write(rows.join(firsts, ["words", "n_words"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first", "words"), "copies")
     # parts in two documents or more
     parts = rows.filter("not copy and doc_id is not null").select(*KEY, F.explode("parts").alias("part"))
     repeated = parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("part", "n")

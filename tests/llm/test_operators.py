@@ -6,6 +6,7 @@ import math
 import random
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,21 @@ def test_mix_prefers(spark):
     assert 2.3 < liked / other < 3.7
 
 
+def test_inclusion_follows_probabilities(spark):
+    """600 sources of the same 24 documents: how often one is drawn once more than its certain copies is near its
+    probability, and ranking by odds is neither plain random order nor a threshold."""
+    liked = [1.0 + (j % 4) / 4 for j in range(24)]
+    data = [(1000 * k + j, "w " * 10, "en", f"s{k:03d}", 0) for k in range(600) for j in range(24)] + [(10**6, "w " * 28800, "en", "z", 0)]
+    df = spark.createDataFrame(data, brute.SCHEMA)
+    weights = spark.createDataFrame([(f"s{k:03d}", 1) for k in range(600)] + [("z", 0)], "source string, weight int")
+    out = mixing.mix(df, preference=F.when(F.col("doc_id") < 10**6, (F.col("doc_id") % 1000 % 4) / 4 + 1.0).otherwise(1.0), weights=weights)
+    target = (600 * 240 + 28800) / 600
+    share = [target * x / (10 * sum(liked)) for x in liked]
+    got = {r["j"]: r["c"] for r in out.filter("source <> 'z'").groupBy((F.col("doc_id") % 1000).alias("j")).agg(F.avg("copies").alias("c")).collect()}
+    assert min(share) < 1 < max(share) and all(abs(got[j] - share[j]) < 0.09 for j in range(24))
+    assert all(abs(r["t"] - target) <= 10 for r in out.filter("source <> 'z'").groupBy("source").agg(F.sum("taken").alias("t")).collect())
+
+
 def test_pareto_zoom_takes_the_smallest(spark, monkeypatch):
     """The same rows whether the cut is found at once or by zooming."""
     data = [(i, "w " * (1 + i % 5), "en", "ab"[i % 2], 0) for i in range(600)]
@@ -432,6 +448,20 @@ def test_licences_with_titles_and_bullets(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: "BSD-2-Clause", 5: "BSD-2-Clause", 6: "BSD-3-Clause", 7: None, 8: None}
 
 
+LONG_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="the texts are not on this machine")
+def test_long_licence_texts(spark):
+    """Whole texts in other clothes: comment marks, capitals, other line ends and links; changed ones are others."""
+    texts = {name: Path("/usr/share/common-licenses", f).read_text(encoding="utf-8") for f, name in LONG_TEXTS.items()}
+    data = [(name, "\n".join(f"# {x}" for x in t.split("\n")).upper(), name) for name, t in texts.items()]
+    data += [(name + "b", t.replace("http://", "https://").replace("\n", "\r\n"), name) for name, t in texts.items()] + [("other", texts["MPL-2.0"] + " not", None)]
+    df = spark.createDataFrame(data, "doc_id string, text string, want string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(df).collect()}
+    assert got == {i: want for i, _, want in data}
+
+
 def test_licences_odd(odd):
     assert licences.scan_licences(odd).count() == odd.count()
     assert licences.scan_licences(odd.limit(0)).count() == 0
