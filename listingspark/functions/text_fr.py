@@ -27,16 +27,18 @@ FLAGS = {
 }
 
 # Words of a property's type in folded texts.
-TYPES = {
-    "fonds_commerce": r"fonds? de commerce",
-    "local_commercial": r"local commercial|usage commercial|boutique|murs commerciaux",
-    "bureau": r"bureaux?\b",
-    "immeuble": r"immeuble|ensemble immobilier",
-    "appartement": r"appartement|studio|duplex|usage d.habitation",
-    "maison": r"maison|villa|pavillon|propriete",
-    "terrain": r"terrain|parcelle",
-    "autre": r"parking|garage|cave\b|emplacement",
-}
+TYPES = (
+    (r"fonds? de commerce|droit au bail", "fonds_commerce"),
+    (r"local (?:a usage )?d'habitation|chambre de service|\bchambres? independante", "appartement"),
+    (r"(?:batiment|immeuble|ensemble immobilier) a usage (?:commercial|industriel|professionnel|de bureaux?)", "local_commercial"),
+    (r"\bappartements?\b|\bstudios?\b|\bduplex\b|\btriplex\b|\blogements?\b|\bt[1-6]\b|\bf[1-6]\b", "appartement"),
+    (r"\bmaisons?\b|\bpavillons?\b|\bvillas?\b|\bproprietes?\b|\bfermes?\b|\blongeres?\b|\bmas\b|\bchalets?\b|\bbastides?\b|\bmoulin\b|\bchateau\b", "maison"),
+    (r"\bimmeubles?\b|\bbatiments?\b|ensemble immobilier", "immeuble"),
+    (r"\bterrains?\b|\bparcelles?\b|\bbois\b|\bvignes?\b|\bpres?\b|\bterres\b|\bforet\b", "terrain"),
+    (r"\bbureaux?\b|\bplateau de bureaux", "bureau"),
+    (r"\blocal\b|\blocaux\b|\bcommerces?\b|\bboutiques?\b|\bentrepots?\b|\bhangars?\b|\bateliers?\b|\bhotel\b|\brestaurant\b|murs commerciaux|\bcommercial\b|\bindustriel", "local_commercial"),
+    (r"\bparkings?\b|\bbox\b|\bgarages?\b|\bcaves?\b|\bemplacements?\b|\bstationnement", "autre"),
+)
 
 # Months.
 MONTHS = {"janvier": 1, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12}
@@ -106,7 +108,7 @@ def parse_date(text: Column) -> Column:
 def type_from_text(text: Column) -> Column:
     """The type whose word stands first; of words at one place the longest. 'autre' without any."""
     t = fold(text)
-    found = [F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), (-F.length(F.regexp_substr(t, F.lit(p)))).alias("longest"), F.lit(k).alias("kind")) for k, p in TYPES.items()]
+    found = [F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), (-F.length(F.regexp_substr(t, F.lit(p)))).alias("longest"), F.lit(k).alias("kind")) for p, k in TYPES]
     best = F.array_min(F.filter(F.array(*found), lambda x: x["at"] > 0))
     return F.coalesce(best["kind"], F.lit("autre"))
 
@@ -145,7 +147,7 @@ def auction_key(court: Column, day: Column, city: Column, reserve: Column) -> Co
 def department_of(postcode: Column) -> Column:
     head = F.substring(postcode, 1, 2)
     corsica = F.when(F.substring(postcode, 3, 3).try_cast("int") < 200, "2A").otherwise("2B")
-    return F.when(postcode.rlike(r"^9[78]"), F.substring(postcode, 1, 3)).when(head == "20", corsica).otherwise(head)
+    return F.when(head == "97", F.substring(postcode, 1, 3)).when(head == "20", corsica).otherwise(head)
 
 
 # Upper bounds of energy (kWh) and carbon (kg) a square metre and year for each letter.

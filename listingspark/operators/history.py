@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 
 def inventory_verdicts(runs: DataFrame, *, share: float = 0.7, days: int = 30) -> DataFrame:
-    """runs(source, run_at, url_count, complete) with ``accepted``: a complete, non-empty run of at least ``share`` of the
-    most that a complete run of the ``days`` before had."""
-    past = Window.partitionBy("source").orderBy(F.col("run_at").cast("timestamp").cast("long")).rangeBetween(-days * 86400, -1)
-    most = F.max(F.when(F.col("complete"), F.col("url_count"))).over(past)
-    return runs.withColumn("most", most).withColumn("accepted", F.coalesce(F.col("complete") & (F.col("url_count") > 0) & (F.col("url_count") >= share * F.coalesce("most", F.lit(0))), F.lit(False)))
+    """runs(source, run_at, url_count, complete) with ``most`` and ``accepted``: a complete, non-empty run of at least
+    ``share`` of the most that an accepted run of the ``days`` before had. Each verdict rests on those before it, so a
+    source's runs, of which there are a few a day, are gone through in order."""
+    run = F.struct("run_at", F.col("url_count").cast("long").alias("url_count"), F.coalesce("complete", F.lit(False)).alias("complete"))
+    span = F.make_dt_interval(F.lit(days))
+
+    def judge(done: Column, x: Column) -> Column:
+        recent = F.filter(done, lambda d: d["accepted"] & (d["run_at"] > x["run_at"] - span))
+        most = F.array_max(F.transform(recent, lambda d: d["url_count"]))
+        ok = x["complete"] & (x["url_count"] > 0) & (F.coalesce(most, F.lit(0)) * F.lit(share) <= x["url_count"])
+        return F.concat(done, F.array(F.struct(x["run_at"].alias("run_at"), x["url_count"].alias("url_count"), x["complete"].alias("complete"), most.alias("most"), F.coalesce(ok, F.lit(False)).alias("accepted"))))
+
+    kind = f"array<struct<run_at:{runs.schema['run_at'].dataType.simpleString()},url_count:bigint,complete:boolean,most:bigint,accepted:boolean>>"
+    listed = runs.groupBy("source").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    return listed.select("source", F.inline(F.aggregate("runs", F.array().cast(kind), judge)))
 
 
 def replace_inventory(inventory: DataFrame, snapshot: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -80,7 +90,10 @@ def advance(state: DataFrame, seen: DataFrame, key: str, at: str, complete: Colu
 
 
 def recent_entries(df: DataFrame, lastmod: str, as_of: Column, days: int = 365) -> DataFrame:
-    return df.filter(F.col(lastmod).isNull() | (F.col(lastmod) >= as_of - F.make_dt_interval(F.lit(days))))
+    """Entries of which the last change is not known (null or empty) or at most ``days`` old, the newest first."""
+    said = F.nullif(F.col(lastmod).cast("string"), F.lit(""))
+    at = said.try_cast("timestamp")
+    return df.filter(said.isNull() | (at >= as_of - F.make_dt_interval(F.lit(days)))).orderBy(at.desc_nulls_last())
 
 
 def interleave(df: DataFrame, group: str, order: list[Column], cap: int | None = None) -> DataFrame:
@@ -89,6 +102,11 @@ def interleave(df: DataFrame, group: str, order: list[Column], cap: int | None =
     return out if cap is None else out.orderBy("turn", group).limit(cap)
 
 
+def latest_runs(log: DataFrame, n: int) -> DataFrame:
+    """The ``n`` runs that began last: a report."""
+    return run_states(log).orderBy(F.desc("started"), "run_id").limit(n)
+
+
 def run_states(log: DataFrame) -> DataFrame:
     """The latest state of each run in an append-only log(run_id, at, status, rows, error); errors cut at 2000 characters."""
     return log.groupBy("run_id").agg(F.max_by(F.struct("status", "rows", F.substring("error", 1, 2000).alias("error")), "at").alias("s"), F.min("at").alias("started"), F.max("at").alias("at")).select("run_id", "started", "at", "s.*")

@@ -11,11 +11,26 @@ from pyspark.sql import types as T
 SALES = "id_mutation date_mutation nature_mutation valeur_fonciere code_departement code_commune code_postal nom_commune adresse_numero adresse_suffixe adresse_nom_voie adresse_code_voie id_parcelle type_local surface_reelle_bati nombre_pieces_principales surface_terrain longitude latitude".split()
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that are there; patterns count as there if they match any."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return [p for p in paths if len(path(p).getFileSystem(conf).globStatus(path(p)) or [])]
+
+
 def read_sales(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:
-    """Sales files with a header, all strings, columns by name, missing ones null. gz can't be split, so the rows are
-    dealt out again."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in SALES])
+    """Sales files with a header, all strings. Each file's columns are found by the names in its own header, missing ones are
+    null; files that aren't there are left out. gz can't be split, so the rows are dealt out again with ``partitions``."""
+    empty = spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in SALES]))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in existing(spark, paths):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+    # files of one header are one scan
+    parts = []
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+        df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema).csv(files)
+        parts.append(df.select(*[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in SALES]))
+    df = reduce(lambda a, b: a.unionByName(b), parts, empty)
     return df.repartition(partitions) if partitions else df
 
 
@@ -39,9 +54,30 @@ def read_inventory(spark: SparkSession, path: str, source: str, at) -> DataFrame
     return lines.select(F.lit(source).alias("source"), "url", at.alias("listed_at"))
 
 
-def publish_table(df: DataFrame, name: str) -> None:
-    """Replace a table: readers see the old files until the new ones are committed."""
-    df.write.mode("overwrite").saveAsTable(name)
+def publish_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """A new version of the table at ``path``: readers (``published``) see the last one whose write has ended, so a job that
+    fails changes nothing. The ``keep`` newest versions stay, for readers that began before; returns the new one's path."""
+    spark = df.sparkSession
+    jpath, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = jpath(path).getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in (fs.globStatus(jpath(f"{path}/v=*")) or []))
+    number = int(names[-1].removeprefix("v=")) + 1 if names else 0
+    df.write.parquet(f"{path}/v={number:012d}")
+    done = _versions(spark, path)
+    for old in done[: max(0, len(done) - keep)]:
+        fs.delete(jpath(old), True)
+    return f"{path}/v={number:012d}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    found = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath(f"{path}/v=*/_SUCCESS")) or []
+    return sorted(x.getPath().getParent().toString() for x in found)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a published table."""
+    return spark.read.parquet(_versions(spark, path)[-1])
 
 
 def bronze_schema(extra: dict[str, T.DataType] | None = None) -> T.StructType:
