@@ -27,7 +27,7 @@ AFTER = {
     "travaux_annonces": (r"travaux (?:a prevoir|estimes?|chiffres?|evalues?)(?: a)?", 50),
 }
 LET = r"vendu[es]? loue|actuellement loue|deja loue|bien loue|murs (?:loues|occupes)|locataires? en place|(?<!aucun )(?<!pas de )(?<!sans )bail (?:en cours|commercial en cours|3.6.9)|occupe par|investissement locatif cle en main|loyer (?:actuel|en place|percu)"
-BLOCK_OF_FLATS = r"immeuble de rapport|immeuble (?:entierement |integralement )?loue|vendu en bloc|vente en bloc|(?:ensemble|immeuble) (?:de|compose de|comprenant) (?:plusieurs|\d+) (?:appartements|logements|studios)"
+BLOCK_OF_FLATS = r"immeuble de rapport|immeuble (?:entierement |integralement )?loue|vendu en bloc|vente en bloc|immeuble (?:de|compose de|comprenant) \d+ (?:appartements|logements|studios)|(?:ensemble|immeuble) (?:de|compose de|comprenant) (?:plusieurs|\d+) (?:appartements|logements)"
 BUSINESS = r"fonds? de commerce|cession de fonds|vente (?:du|d.un) fonds|droit au bail|pas.de.porte|cession de bail|fonds a ceder|cede (?:son|le) fonds|licence (?:iv|4)|clientele|chiffre d.affaires|\bebe\b|affaire a reprendre|reprise d.activite"
 BUSINESS_TITLE = r"^vente (?:bar|restaurant|restauration|hotel|tabac|boulangerie|boucherie|coiffure|esthetique|pressing|epicerie|fleuriste|pizzeria|camping|commerce|fonds)"
 WALLS = r"murs (?:commerciaux|occupes|loues|libres|d.un|de la|du)|vente des murs|vendus? (?:avec|sans) (?:le )?fonds|investissement (?:locatif|murs)|locataire en place"
@@ -36,8 +36,8 @@ FARM = r"haras|equestre|ecurie|corps de ferme|exploitation agricole|batiment agr
 INDUSTRY = r"activite|entrepot|atelier|bureaux|industriel|logistique|stockage"
 
 
-def gap(window: int) -> str:
-    return rf"(?:(?!{OTHER_MONEY})[\s\S]){{0,{window}}}?"
+def gap(window: int, without: str = OTHER_MONEY) -> str:
+    return rf"(?:(?!{without})[\s\S]){{0,{window}}}?"
 
 
 def amount_after(text: Column, keyword: str, window: int = 90) -> Column:
@@ -52,7 +52,7 @@ def sentences(text: Column) -> Column:
 def declared_rent(text: Column, price: Column) -> Column:
     """Yearly rent: monthly amounts times twelve; without a unit whichever reading yields 2.5 to 20 percent of the price if
     only one does. Of the plausible ones (1.5 to 25 percent) the greatest, as totals come with their parts."""
-    found = F.flatten(F.transform(sentences(text), lambda s: F.regexp_extract_all(s, F.lit(rf"({RENT}{gap(90)}{MONEY}.{{0,25}})"), F.lit(1))))
+    found = F.flatten(F.transform(sentences(text), lambda s: F.regexp_extract_all(s, F.lit(rf"({RENT}{gap(90, OTHER_MONEY + '|marche')}{MONEY}.{{0,25}})"), F.lit(1))))
     usual = lambda x: F.try_divide(x, price).between(0.025, 0.20)
 
     def annual(said: Column) -> Column:
@@ -106,7 +106,7 @@ def extract_finance(listings: DataFrame) -> DataFrame:
     said["charges_copro_annuelles"] = F.coalesce(detail_number(d, "Montant des charges prévisionnelles annuelles moyen"), detail_number(d, "Charges mensuelles copro") * 12)
     structured = {k: F.when(detail_number(d, name) > 0, detail_number(d, name)) for k, name in STRUCTURED.items()}
     lots = first_of(t, r"(\d{1,2})\s+(?:lots|appartements|logements|studios)\b").try_cast("int")
-    let = t.rlike(LET) | F.coalesce(F.lower(json_text(d, "Occupé")) == "oui", F.lit(False))
+    let = t.rlike(LET) | F.coalesce(F.lower(json_text(d, "Occupé")).startswith("oui"), F.lit(False)) | F.coalesce(F.lower(d).contains("murs occupés"), F.lit(False))
     df = df.withColumns({k: F.coalesce(structured[k], said[k]) for k in STRUCTURED} | {"nb_lots": F.when(lots.between(2, 60), lots), "immeuble_rapport": t.rlike(BLOCK_OF_FLATS), "_let": let, "droit_au_bail": t.rlike(r"droit au bail|cession de bail")})
     business = c("type_bien") == "fonds_commerce"
     let = c("_let") | (~business & structured["loyer_annuel_declare"].isNotNull())

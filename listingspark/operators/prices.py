@@ -74,21 +74,25 @@ def clean_sales_commercial(detail: DataFrame) -> DataFrame:
     return in_ranges(sales.withColumn("prix_m2", F.try_divide("valeur_fonciere", "surface_bati")), COMMERCIAL)
 
 
-def trimmed_reference(sales: DataFrame, keys: list[str], value: str, day: str, as_of: Column, *, trim: tuple[float, float] = (0.01, 0.99), min_n: int = 5, months: int = 12) -> DataFrame:
+def trimmed_reference(sales: DataFrame, keys: list[str], value: str, day: str, as_of: Column, *, trim: tuple[float, float] = (0.01, 0.99), min_n: int = 5, months: int = 12, size: str | None = None, place: tuple[str, str] | None = None) -> DataFrame:
     """Statistics of ``value`` by key without its extremes: rows outside the trim quantiles of their key are left out,
-    and keys of fewer than ``min_n`` rows after that. Bounds are a row for each key and are joined back."""
+    and keys of fewer than ``min_n`` rows after that. Bounds are a row for each key and are joined back. The mean is taken
+    of the values to four places, exactly. size and place: columns whose median and means are added."""
     bounds = sales.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, trim))).alias("_b"))
     kept = sales.join(bounds, keys).filter(F.col(value).between(F.col("_b")[0], F.col("_b")[1]))
     out = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(day) >= F.add_months(as_of, -months)).alias("n_recent"),
         F.percentile(value, F.array(*map(F.lit, LEVELS.values()))).alias("_q"),
-        F.avg(value).alias("mean"),
+        F.avg(F.col(value).cast("decimal(20,4)")).cast("double").alias("mean"),
         F.stddev_samp(value).alias("deviation"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
+        *([F.median(size).alias("median_size")] if size else []),
+        *[F.avg(x).alias(x) for x in place or ()],
     )
-    return out.filter(F.col("n") >= min_n).select(*keys, "n", "n_recent", *[F.col("_q")[i].alias(c) for i, c in enumerate(LEVELS)], "mean", "deviation", "first_day", "last_day")
+    more = [*(["median_size"] if size else []), *(place or ())]
+    return out.filter(F.col("n") >= min_n).select(*keys, "n", "n_recent", *[F.col("_q")[i].alias(c) for i, c in enumerate(LEVELS)], "mean", "deviation", "first_day", "last_day", *more)
 
 
 def yearly_index(sales: DataFrame, keys: list[str], value: str, day: str, *, min_n: int = 150, bounds: tuple[float, float] = (0.8, 1.25)) -> DataFrame:

@@ -157,6 +157,8 @@ def rents_and_costs(df: DataFrame, a: Assumptions) -> DataFrame:
             "loyer_mensuel_estime": when(premises, c("loyer_m2_mois") * c("surface_bati")).otherwise(curve),
             "loyer_mensuel_bas": when(premises, c("loyer_m2_bas") * c("surface_bati")).otherwise(curve * spread("loyer_m2_bas")),
             "loyer_mensuel_haut": when(premises, c("loyer_m2_haut") * c("surface_bati")).otherwise(curve * spread("loyer_m2_haut")),
+            "loyer_mensuel_bas_officiel": c("loyer_m2_bas") * c("surface_bati"),
+            "loyer_mensuel_haut_officiel": c("loyer_m2_haut") * c("surface_bati"),
             "travaux_estimes": works,
             "loyer_reel": real,
         }
@@ -275,43 +277,73 @@ def level_of(score: Column) -> Column:
     return when(score >= 75, "excellente").when(score >= 55, "bonne").when(score >= 30, "correcte").otherwise("hors_cible")
 
 
+# Messages of checks, risks and signals.
+GROUNDS = {
+    "price": "Prix de vente nul ou absent",
+    "surface": "Surface absente ou incohérente",
+    "tiny": "Surface inférieure à 14 m² : parking, cave ou chambre de service probable",
+    "odd": "Viager, nue-propriété ou parts : comparaison directe non valable",
+    "uninhabitable": "Le bien n’est pas encore un logement habitable comparable aux ventes DVF résidentielles",
+    "taken": "L’annonce indique qu’une offre ou un compromis est déjà en cours",
+    "low": "Décote supérieure à 45 % : prix, état ou nature de la vente à contrôler",
+}
+RISKS = {
+    "auction": ("Vente aux enchères : prix final probable ≈ ", " × mise à prix (médiane des adjudications observées)"),
+    "occupied": "Bien vendu occupé",
+    "managed": "Résidence gérée ou bail commercial",
+    "carrez": "Surface Carrez différente de la surface annoncée",
+    "works": "Travaux probables",
+    "procedure": "Procédure de copropriété en cours",
+    "charges": "Charges de copropriété élevées",
+    "g": "DPE G : location interdite sans travaux",
+    "f": "DPE F : location interdite à partir de 2028",
+    "land": "Terrain non renseigné",
+    "place": "Localisation approximative",
+    "turnover": "Chiffre d’affaires non publié",
+    "ebe": "EBE supérieur à 45 % du chiffre d’affaires : à justifier par la liasse fiscale",
+    "rent": "Loyer élevé au regard du chiffre d’affaires",
+}
+SIGNALS = {"drop": ("Prix baissé de ", " %"), "new": "Nouvelle annonce", "rent": "Loyer réel publié", "auction": "Enchère"}
+
+
 def reasons(df: DataFrame) -> DataFrame:
     """motif_verification (the first ground for a check), risques_evaluation and signaux (all that apply)."""
     dpe, home = F.upper(F.coalesce("dpe", lit(""))), c("segment") == "residentiel"
     business = c("segment") == "fonds"
     said = lambda p, text: when(true(p), lit(text) if isinstance(text, str) else text)
+    around = lambda text, x: F.concat(lit(text[0]), x.cast("string"), lit(text[1]))
     ground = F.coalesce(
-        said(F.coalesce("prix", lit(0.0)) <= 0, "Prix de vente nul ou absent"),
-        said(F.coalesce("surface_bati", lit(0.0)) <= 0, "Surface absente ou incohérente"),
-        said(home & (c("surface_bati") < 14), "Surface inférieure à 14 m²"),
-        said(c("transaction_atypique"), "Viager, nue-propriété ou parts"),
-        said(c("bien_non_habitable"), "Logement non habitable en l'état"),
-        said(c("non_disponible"), "Offre ou compromis en cours"),
-        said(home & (c("prix_compare") <= c("surface_bati") * c("median_eur_m2") * 0.55), "Décote supérieure à 45 %"),
+        said(F.coalesce("prix", lit(0.0)) <= 0, GROUNDS["price"]),
+        said(F.coalesce("surface_bati", lit(0.0)) <= 0, GROUNDS["surface"]),
+        said(home & (c("surface_bati") < 14), GROUNDS["tiny"]),
+        said(c("transaction_atypique"), GROUNDS["odd"]),
+        said(c("bien_non_habitable"), GROUNDS["uninhabitable"]),
+        said(c("non_disponible"), GROUNDS["taken"]),
+        said(home & (c("prix_compare") <= c("surface_bati") * c("median_eur_m2") * 0.55), GROUNDS["low"]),
     )
     risks = F.concat_ws(
         " · ",
-        said(c("vente_encheres"), F.concat(lit("Vente aux enchères, prix final probable "), F.round("ratio_adjudication", 2).cast("string"), lit(" × mise à prix"))),
-        said(c("bien_occupe") & home, "Bien vendu occupé"),
-        said(c("residence_geree"), "Résidence gérée ou bail commercial"),
-        said(c("surface_atypique"), "Surface Carrez différente"),
-        said(c("travaux_probables"), "Travaux probables"),
-        said(c("procedure_copropriete"), "Procédure de copropriété en cours"),
-        said(percent(c("charges_copro_annuelles"), c("surface_bati")) > 35, "Charges de copropriété élevées"),
-        said(dpe == "G", "DPE G"),
-        said(dpe == "F", "DPE F"),
-        said((c("type_bien") == "maison") & c("surface_terrain").isNull(), "Terrain non renseigné"),
-        said(c("localisation_approximative"), "Localisation approximative"),
-        said(business & c("chiffre_affaires").isNull(), "Chiffre d'affaires non publié"),
-        said(business & (percent(c("ebe"), c("chiffre_affaires")) > 0.45), "EBE supérieur à 45 % du chiffre d'affaires"),
-        said(business & (c("poids_loyer_ca") > 0.12), "Loyer élevé au regard du chiffre d'affaires"),
+        said(c("vente_encheres"), around(RISKS["auction"], F.round("ratio_adjudication", 2))),
+        said(c("bien_occupe") & home, RISKS["occupied"]),
+        said(c("residence_geree"), RISKS["managed"]),
+        said(c("surface_atypique"), RISKS["carrez"]),
+        said(c("travaux_probables"), RISKS["works"]),
+        said(c("procedure_copropriete"), RISKS["procedure"]),
+        said(percent(c("charges_copro_annuelles"), c("surface_bati")) > 35, RISKS["charges"]),
+        said(dpe == "G", RISKS["g"]),
+        said(dpe == "F", RISKS["f"]),
+        said((c("type_bien") == "maison") & c("surface_terrain").isNull(), RISKS["land"]),
+        said(c("localisation_approximative"), RISKS["place"]),
+        said(business & c("chiffre_affaires").isNull(), RISKS["turnover"]),
+        said(business & (percent(c("ebe"), c("chiffre_affaires")) > 0.45), RISKS["ebe"]),
+        said(business & (c("poids_loyer_ca") > 0.12), RISKS["rent"]),
     )
     signs = F.concat_ws(
         " · ",
-        said(c("baisse_prix_pct") >= 1, F.concat(lit("Prix baissé de "), F.round("baisse_prix_pct", 1).cast("string"), lit(" %"))),
-        said(c("jours_en_ligne") <= 2, "Nouvelle annonce"),
-        said(c("loyer_reel"), "Loyer réel publié"),
-        said(c("vente_encheres"), "Enchère"),
+        said(c("baisse_prix_pct") >= 1, around(SIGNALS["drop"], F.round("baisse_prix_pct", 1))),
+        said(c("jours_en_ligne") <= 2, SIGNALS["new"]),
+        said(c("loyer_reel"), SIGNALS["rent"]),
+        said(c("vente_encheres"), SIGNALS["auction"]),
     )
     return df.withColumns({"motif_verification": ground, "risques_evaluation": risks, "signaux": signs})
 

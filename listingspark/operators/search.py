@@ -221,7 +221,7 @@ def pending_alerts(df: DataFrame, searches: list[tuple[str, Column]], state: Dat
 
 def french_number(x: Column, digits: int) -> Column:
     """Rounded, with a comma and without the zeros that end it, but for one digit after the comma."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d+?)0+$", "$1"), r"\.", ",")
+    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d+?)0+$", "$1"), r"\.", ","))
 
 
 # Columns of the export and their labels.

@@ -175,15 +175,17 @@ def clean_group_single(spark, sf):
 
 
 def reference_sql(keys: str) -> str:
-    return f"""WITH {OBS}, b AS (SELECT {keys}, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM obs GROUP BY {keys}
+    return f"""WITH {OBS.replace("obs AS (SELECT", "obs AS (SELECT s_nationkey / 3 + 40 AS lat, s_nationkey / 7 AS lng,")}, b AS (SELECT {keys}, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM obs GROUP BY {keys}
 ), k AS (SELECT obs.* FROM obs JOIN b USING ({keys}) WHERE price BETWEEN lo AND hi)
 SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE day >= TIMESTAMP '2000-06-01') AS n_recent, {", ".join(f"{half_up(f'quantile_cont(price, {q})', 6)} AS {x}" for x, q in prices.LEVELS.items())},
-  {half_up("avg(price) + 0.00000013::DOUBLE", 3)} AS mean, {half_up("stddev_samp(price) + 0.00000013::DOUBLE", 3)} AS deviation, min(day) AS first_day, max(day) AS last_day FROM k GROUP BY {keys} HAVING count(*) >= 5"""
+  ((sum(round(price * 10000)::HUGEINT) * 20000 + count(*)) // (2 * count(*)))::DOUBLE / 100000000 AS mean, {half_up("stddev_samp(price)", 3)} AS deviation, min(day) AS first_day, max(day) AS last_day,
+  median(size) AS median_size, {half_up("avg(lat)", 6)} AS lat, {half_up("avg(lng)", 6)} AS lng FROM k GROUP BY {keys} HAVING count(*) >= 5"""
 
 
 def reference(spark, sf, keys: list[str]) -> DataFrame:
-    df = prices.trimmed_reference(observations(spark, sf), keys, "price", "day", lit("2001-06-01").cast("date"))
-    return df.withColumns({x: F.round(x, 6) for x in prices.LEVELS} | {x: F.round(c(x) + 1.3e-7, 3) for x in ("mean", "deviation")})  # off the halves that means of cents fall on
+    obs = observations(spark, sf).withColumns({"lat": c("nation") / 3 + 40, "lng": c("nation") / 7})
+    df = prices.trimmed_reference(obs, keys, "price", "day", lit("2001-06-01").cast("date"), size="size", place=("lat", "lng"))
+    return df.withColumns({x: F.round(x, 6) for x in (*prices.LEVELS, "lat", "lng")} | {"deviation": F.round("deviation", 3)})
 
 
 @query(reference_sql("p_brand, p_type"))
@@ -239,11 +241,11 @@ def latest_per_key(spark, sf):
     return tables.latest_per_key(table(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.asc("event_id")])
 
 
-@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN user_id END AS id, CASE WHEN event_type <> 'view' THEN props END AS url, event_type FROM events WHERE event_type <> 'click'
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN user_id END AS id, CASE WHEN event_type <> 'view' THEN props END AS url, event_type FROM events
 ), i AS (SELECT *, coalesce('id:' || id, 'url:' || url) AS ident FROM e)
 SELECT event_id, id, url FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY ts, event_id) AS k FROM i WHERE ident IS NOT NULL) WHERE k = 1 UNION ALL SELECT event_id, id, url FROM i WHERE ident IS NULL""")
 def first_per_identity(spark, sf):
-    df = table(spark, sf, "events").filter("event_type <> 'click'").select("event_id", "ts", F.when(c("event_type") != "error", c("user_id")).alias("id"), F.when(c("event_type") != "view", c("props")).alias("url"))
+    df = table(spark, sf, "events").select("event_id", "ts", F.when(c("event_type") != "error", c("user_id")).alias("id"), F.when(c("event_type") != "view", c("props")).alias("url"))
     return tables.dedup_first(df, ["id", "url"], [F.asc("ts"), F.asc("event_id")]).select("event_id", "id", "url")
 
 
@@ -328,12 +330,21 @@ def activity_inventory(spark, sf):
     return history.activity(listings, inventory, lit("2024-01-31").cast("timestamp"), ttl_days={"error": 5}).select("event_id", "active")
 
 
-@query("""WITH r AS (SELECT event_type AS source, date_trunc('day', ts) AS run_at, count(*) AS url_count, max(value) > 30 AS complete FROM events GROUP BY 1, 2
-), m AS (SELECT *, max(CASE WHEN complete THEN url_count END) OVER (PARTITION BY source ORDER BY epoch(run_at)::BIGINT RANGE BETWEEN 864000 PRECEDING AND 1 PRECEDING) AS most FROM r)
-SELECT source, run_at, url_count, complete, complete AND url_count > 0 AND url_count >= 0.7 * coalesce(most, 0) AS accepted FROM m""")
+@query("""WITH RECURSIVE r AS (SELECT source, run_at, url_count, complete, row_number() OVER (PARTITION BY source ORDER BY run_at) AS k FROM (
+  SELECT event_type AS source, date_trunc('day', ts) AS run_at, count(*) AS url_count, max(value) > 30 AS complete FROM events WHERE dayofmonth(ts) % 3 > 0 OR user_id % 5 < dayofmonth(ts) % 4 GROUP BY 1, 2)
+), f AS (  -- run after run, with the runs accepted so far
+  SELECT source, k, run_at, url_count, complete, complete AND url_count > 0 AS accepted, CASE WHEN complete AND url_count > 0 THEN [{'at': run_at, 'n': url_count}] ELSE [] END AS trusted FROM r WHERE k = 1
+  UNION ALL
+  SELECT source, k, run_at, url_count, complete, ok, CASE WHEN ok THEN list_append(trusted, {'at': run_at, 'n': url_count}) ELSE trusted END FROM (
+    SELECT r.*, f.trusted, r.complete AND r.url_count > 0 AND coalesce(list_max(list_transform(list_filter(f.trusted, lambda x: x['at'] > r.run_at - INTERVAL 4 DAY), lambda x: x['n'])), 0) * 0.7 <= r.url_count AS ok FROM f JOIN r ON f.source = r.source AND r.k = f.k + 1)
+)
+SELECT source, run_at, url_count, complete, accepted FROM f""")
 def inventory_guard(spark, sf):
-    runs = table(spark, sf, "events").groupBy(c("event_type").alias("source"), F.date_trunc("day", "ts").alias("run_at")).agg(F.count(lit(1)).alias("url_count"), (F.max("value") > 30).alias("complete"))
-    return history.inventory_verdicts(runs, days=10).drop("most")
+    """A run a day for each kind of event, on some days a short one: it is held against accepted runs only."""
+    day = F.dayofmonth("ts")
+    seen = table(spark, sf, "events").filter((day % 3 > 0) | (c("user_id") % 5 < day % 4))
+    runs = seen.groupBy(c("event_type").alias("source"), F.date_trunc("day", "ts").alias("run_at")).agg(F.count(lit(1)).alias("url_count"), (F.max("value") > 30).alias("complete"))
+    return history.inventory_verdicts(runs, days=4).drop("most")
 
 
 @query("""WITH known AS (SELECT url FROM pages WHERE length(html) > 4000), tried AS (SELECT url FROM pages WHERE html LIKE '%style%' AND length(html) < 1500)
@@ -551,22 +562,24 @@ def city_search(spark, sf):
 SEARCHES = [("dear", "value > 30"), ("views", "event_type = 'view'"), ("cheap errors", "event_type = 'error' and value < 5")]
 
 
-@query("""WITH f AS (SELECT event_type, min(ts)::DATE AS first_day FROM events GROUP BY 1), s AS (SELECT * FROM (VALUES ('dear', TIMESTAMP '2024-01-28'), ('views', TIMESTAMP '2024-01-29'), ('cheap errors', TIMESTAMP '2023-12-31')) AS s(search, since))
+@query("""WITH f AS (SELECT event_type, min(ts) AS first_seen FROM events GROUP BY 1), s AS (SELECT * FROM (VALUES ('dear', TIMESTAMP '2024-01-28'), ('views', TIMESTAMP '2024-01-29'), ('cheap errors', TIMESTAMP '2023-12-31')) AS s(search, since))
 SELECT search, event_id FROM events JOIN f USING (event_type), s WHERE CASE search WHEN 'dear' THEN value > 30 WHEN 'views' THEN event_type = 'view' ELSE event_type = 'error' AND value < 5 END
-  AND ((ts > since AND ts::DATE > first_day) OR CASE WHEN value < 1 THEN ts + INTERVAL 2 DAY END > since)""")
+  AND ((ts >= since AND ts > first_seen + INTERVAL 1 DAY) OR CASE WHEN value < 1 THEN ts + INTERVAL 2 DAY END >= since)""")
 def saved_search_matches(spark, sf):
     df = table(spark, sf, "events").withColumn("last_drop", F.when(c("value") < 1, c("ts") + F.expr("interval 2 days")))
     state = spark.createDataFrame([("dear", "2024-01-28"), ("views", "2024-01-29"), ("cheap errors", "2023-12-31")], "search string, since string").withColumn("since", c("since").cast("timestamp"))
     return search.search_matches(df, [(n, F.expr(p)) for n, p in SEARCHES], state, source="event_type", first_seen="ts", last_drop="last_drop").select("search", "event_id")
 
 
-@query("""SELECT search, count(*) AS total, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-29') AS recent FROM events, (VALUES ('dear'), ('views'), ('cheap errors')) AS s(search)
-WHERE CASE search WHEN 'dear' THEN value > 30 WHEN 'views' THEN event_type = 'view' ELSE event_type = 'error' AND value < 5 END GROUP BY 1""")
+@query("""WITH f AS (SELECT event_type, min(ts) AS first_seen FROM events GROUP BY 1)
+SELECT s.search, count(event_id) AS total, count(*) FILTER (WHERE (ts >= TIMESTAMP '2024-01-29' AND ts > first_seen + INTERVAL 1 DAY) OR CASE WHEN value < 1 THEN ts + INTERVAL 2 DAY END >= TIMESTAMP '2024-01-29') AS recent
+FROM (VALUES ('dear'), ('views'), ('cheap errors')) AS s(search) LEFT JOIN (SELECT * FROM events JOIN f USING (event_type)) ON CASE search WHEN 'dear' THEN value > 30 WHEN 'views' THEN event_type = 'view' ELSE event_type = 'error' AND value < 5 END GROUP BY 1""")
 def search_counts(spark, sf):
-    return search.search_counts(table(spark, sf, "events"), [(n, F.expr(p)) for n, p in SEARCHES], lit("2024-01-31").cast("timestamp"), first_seen="ts")
+    df = table(spark, sf, "events").withColumn("last_drop", F.when(c("value") < 1, c("ts") + F.expr("interval 2 days")))
+    return search.search_counts(df, [(n, F.expr(p)) for n, p in SEARCHES], lit("2024-01-31").cast("timestamp"), source="event_type", first_seen="ts", last_drop="last_drop")
 
 
-@query(f"""WITH {OBS} SELECT id AS "Référence", p_type AS "Type", replace(printf('%.2f', price), '.', ',') AS "Prix", CASE WHEN flag = 'R' THEN 'oui' ELSE 'non' END AS "Retour" FROM obs ORDER BY price DESC, id LIMIT 5000""")
+@query(f"""WITH {OBS} SELECT id AS "Référence", p_type AS "Type", replace(regexp_replace(printf('%.2f', price), '(\\.\\d+?)0+$', '\\1'), '.', ',') AS "Prix", CASE WHEN flag = 'R' THEN 'oui' ELSE 'non' END AS "Retour" FROM obs ORDER BY price DESC, id LIMIT 5000""")
 def export_rows(spark, sf):
     df = observations(spark, sf).withColumn("back", c("flag") == "R")
     out = search.export_rows(df, {"id": "Référence", "p_type": "Type", "price": "Prix", "back": "Retour"}, order=[F.desc("price"), F.asc("id")])

@@ -6,6 +6,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,19 +15,33 @@ from pyspark.sql import functions as F
 #: Elements whose text isn't shown, and those that end a line.
 HIDDEN = "script|style|svg|noscript|template"
 BLOCKS = "p|div|li|ul|ol|br|tr|table|section|article|header|footer|h[1-6]|dd|dt|dl"
-#: Named entities of French pages.
-ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&euro;": "€", "&amp;": "&"}
 
 
-def html_to_text(page: Column) -> Column:
-    """Shown text: hidden elements and comments go, blocks end lines, entities are read, blanks are squeezed."""
+def without_tags(page: Column) -> Column:
+    """The page without hidden elements, comments and tags; blocks end lines, entities stay."""
     out = F.regexp_replace(page, rf"(?is)<({HIDDEN})\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t\r\x{A0}]+", " ")
+    return F.regexp_replace(out, r"<[^>]*>", " ")
+
+
+def entities_read(text: Column) -> Column:
+    """Named and numeric entities as their characters, each once; names and numbers of no character stay. The ampersand's
+    comes last, so that what it then begins is not read again."""
+    names = F.create_map(*[x for n, k in sorted(name2codepoint.items()) if n != "amp" for x in (F.lit(n), F.lit(chr(k)))])
+    named = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]{1,7});"), F.lit(1))), lambda n: F.struct(F.concat(F.lit("&"), n, F.lit(";")).alias("said"), F.try_element_at(names, n).alias("char")))
+    digits = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
+    code = lambda d: F.when(F.lower(d).startswith("x"), F.conv(F.substring(d, 2, 6), 16, 10)).otherwise(d).cast("int")
+    real = lambda k: (k > 0) & (k <= 0x10FFFF) & ~k.between(0xD800, 0xDFFF)
+    char = lambda k: F.when(real(k), F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32"))
+    numbered = F.transform(digits, lambda d: F.struct(F.concat(F.lit("&#"), d, F.lit(";")).alias("said"), char(code(d)).alias("char")))
+    read = F.aggregate(F.concat(named, numbered), text, lambda t, x: F.coalesce(F.replace(t, x["said"], x["char"]), t))
+    return F.replace(F.when(text.contains("&"), read).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+
+def html_to_text(page: Column) -> Column:
+    """Shown text: hidden elements and comments go, blocks end lines, entities are read, blanks are squeezed."""
+    out = F.regexp_replace(entities_read(without_tags(page)), r"[ \t\r\x{A0}]+", " ")
     return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
