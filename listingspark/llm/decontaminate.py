@@ -1,7 +1,7 @@
 """Benchmark decontamination by a positional inverted index.
 
 The index has a posting (term, document, place) for each word of the documents that a benchmark phrase could cover:
-words in a stretch whose neighbours all are neighbours in some benchmark window. That test uses bitmaps of a fixed
+words in a stretch whose neighbours all are neighbours in some benchmark window. That test uses bitmaps of a bounded
 size, which let no such word go. A window is then looked up from its rarest term: the postings of that term give the
 places where it could start, and the postings of its other terms, moved by their offsets, are intersected with them.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingspark.plans.shared import Workspace
@@ -20,8 +20,9 @@ from listingspark.plans.shared import Workspace
 from .tokens import ALNUM_LOWER, mix, tokenize
 
 SIZE = 10
-#: Bits of a bitmap; also the most that is ever broadcast for a window length.
-BITS = 1 << 22
+#: The least and the most bits of a bitmap; the most is also what is ever broadcast for a window length (4 MB). Between
+#: them it has 16 bits for each pair of words in the benchmark's windows, so that few pairs are taken for one by chance.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 #: A document: its doc_id (0 for null) and a hash of its text and of whether doc_id is null.
 KEY = ["k", "fp"]
 
@@ -47,25 +48,35 @@ def item_windows(size: int):
     return run
 
 
-def window_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n, terms -> n, bit: of each pair of neighbours; of the term itself in windows of one."""
-    for batch in batches:
-        n, bit = [], []
-        for k, terms in zip(batch["n"].to_pylist(), batch["terms"].to_pylist(), strict=True):
-            own = np.array(terms, np.int64).view(np.uint64)
-            bits = (pair_hashes(own) if k > 1 else mix(own, 23)) % np.uint64(BITS)
-            n += [k] * len(bits)
-            bit += bits.astype(np.int64).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(bit, pa.int64())], ["n", "bit"])
+def window_marks(size: int):
+    """n, terms -> n, bit (of ``size``): of each pair of neighbours; of the term itself in windows of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bit = [], []
+            for k, terms in zip(batch["n"].to_pylist(), batch["terms"].to_pylist(), strict=True):
+                own = np.array(terms, np.int64).view(np.uint64)
+                bits = (pair_hashes(own) if k > 1 else mix(own, 23)) % np.uint64(size)
+                n += [k] * len(bits)
+                bit += bits.astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(bit, pa.int64())], ["n", "bit"])
+
+    return run
+
+
+def bitmap_bits(pairs: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * pairs).bit_length()))
 
 
 def bitmaps(windows: DataFrame) -> dict[int, np.ndarray]:
-    """A bitmap for each window length that occurs (``size`` at most), of ``BITS`` bits whatever the benchmark's size."""
-    bits = windows.select("n", "terms").mapInArrow(window_marks, "n long, bit long")
+    """A bitmap for each window length that occurs (``size`` at most), of ``MOST_BITS`` at most whatever the benchmark's size.
+    Neighbouring windows share all but one of their pairs, so that there are about as many pairs as windows."""
+    size = bitmap_bits(windows.count())
+    bits = windows.select("n", "terms").mapInArrow(window_marks(size), "n long, bit long")
     words = bits.groupBy("n", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
     out: dict[int, np.ndarray] = {}
     for n, word, mask in words.toLocalIterator():
-        out.setdefault(n, np.zeros(BITS // 64, np.int64))[word] = mask
+        out.setdefault(n, np.zeros(size // 64, np.int64))[word] = mask
     return {n: np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool) for n, x in out.items()}
 
 
@@ -81,12 +92,13 @@ def post(maps):
                 w = tokenize(batch["text"], ALNUM_LOWER)
                 keep = np.full(len(w.hashes), tables is None)
                 for n, table in (tables or {}).items():
+                    bits = np.uint64(len(table))
                     if n == 1:
-                        keep |= table[(mix(w.hashes, 23) % np.uint64(BITS)).astype(np.int64)]
+                        keep |= table[(mix(w.hashes, 23) % bits).astype(np.int64)]
                         continue
                     if len(w.hashes) < n:
                         continue
-                    joined = table[(pair_hashes(w.hashes) % np.uint64(BITS)).astype(np.int64)] & (w.docs[1:] == w.docs[:-1])
+                    joined = table[(pair_hashes(w.hashes) % bits).astype(np.int64)] & (w.docs[1:] == w.docs[:-1])
                     # stretches of n words or more whose neighbours are all joined
                     edge = np.diff(np.concatenate([[0], joined.view(np.int8), [0]]))
                     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
@@ -135,22 +147,57 @@ def phrase_matches(ws: Workspace, indexed: DataFrame, windows: DataFrame) -> Dat
     return met.filter("met = n").drop("met")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, slop: int = 30, share: float = 0.8) -> DataFrame:
-    """doc_id, item_id, place, found: items of which at least ``share`` of the distinct terms stand within ``slop`` words
-    of a place of the item's rarest term, in any order. Uses a full index of the documents' words. Items without words, and
-    items whose rarest term no document has, match nothing; null texts have no words; rows without doc_id are left out."""
+def densest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, fp, item_id, need, span, postings (pos and term, any order) -> k, fp, item_id, place, found: the first stretch of
+    ``span`` words with the most different terms, where these are ``need`` or more."""
+    for batch in batches:
+        keep, place, found = [], [], []
+        for row, (need, span, said) in enumerate(zip(*(batch[c].to_pylist() for c in ("need", "span", "postings")), strict=True)):
+            said = sorted((x["pos"], x["term"]) for x in said)
+            inside: dict[int, int] = {}
+            best, at, low = 0, 0, 0
+            for pos, term in said:
+                inside[term] = inside.get(term, 0) + 1
+                while said[low][0] <= pos - span:
+                    inside[said[low][1]] -= 1
+                    if not inside[said[low][1]]:
+                        del inside[said[low][1]]
+                    low += 1
+                if len(inside) > best:
+                    best, at = len(inside), said[low][0]
+            if best >= need:
+                keep.append(row)
+                place.append(at)
+                found.append(best)
+        rows = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["k"].take(rows), batch["fp"].take(rows), batch["item_id"].take(rows), pa.array(place, pa.int64()), pa.array(found, pa.int64())], ["k", "fp", "item_id", "place", "found"])
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, slack: float = 2.0) -> DataFrame:
+    """doc_id, item_id, place, found: the items of which ``share`` or more of the distinct terms stand, in any order, in a
+    stretch of ``slack`` times as many words as the item has. place: the first word of the densest such stretch (the first
+    of equals), found: its different terms.
+
+    A set of so many terms holds one of the item's total - needed + 1 rarest terms in the corpus, so a document is looked at
+    for an item only if it has one of these and enough of the item's terms at all; an item of nothing but frequent words
+    meets many documents. Uses a full index of the documents' words. Items without words match nothing; null texts have
+    no words; rows without doc_id are left out; repeated rows, and rows of equal doc_id with different texts, count apart
+    only by their texts. Empty tables: empty result."""
     ws = Workspace(docs.sparkSession, "proximity")
     lists = postings(index(ws, docs.filter("doc_id is not null"), None)).distinct()
-    kind = dict(benchmark.dtypes)["item_id"]
-    terms = benchmark.select("item_id", "text").mapInArrow(item_windows(1 << 30), f"item_id {kind}, n long, terms array<long>").select("item_id", F.explode("terms").alias("term")).distinct()
-    length = lists.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
-    counted = ws.write(terms.join(length, "term", "left").fillna(0, ["f"]), "terms")
-    rarest = counted.filter("f > 0").groupBy("item_id").agg(F.min(F.struct("f", "term")).alias("m")).select("item_id", "m.term")
-    total = counted.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    anchors = lists.join(rarest, "term").select(*KEY, F.col("pos").alias("place"), "item_id")
-    near = anchors.join(counted.select("item_id", "term"), "item_id").join(lists, [*KEY, "term"]).filter(F.abs(F.col("pos") - F.col("place")) <= slop)
-    found = near.groupBy(*KEY, "item_id", "place").agg(F.countDistinct("term").alias("found")).join(total, "item_id")
-    return found.filter(F.col("found") >= F.col("total") * share).select(F.col("k").alias("doc_id"), "item_id", "place", "found")
+    kind, id_kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
+    words = benchmark.filter("item_id is not null").select("item_id", "text").mapInArrow(item_windows(1 << 30), f"item_id {kind}, n long, terms array<long>")
+    items = words.groupBy("item_id").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    items = ws.write(items.select("item_id", "terms", F.ceil(F.size("terms") * share).alias("need"), F.ceil(F.col("n") * slack).alias("span")), "items")
+    terms = items.select("item_id", "need", "span", F.size("terms").alias("total"), F.explode("terms").alias("term"))
+    used = ws.write(lists.join(terms.select("term").distinct(), "term"), "postings")
+    often = used.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+    ranked = terms.join(often, "term", "left").fillna(0, ["f"]).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("f", "term")))
+    anchors = ranked.filter("rank <= total - need + 1 and f > 0").select("item_id", "term")
+    pairs = used.join(anchors, "term").select(*KEY, "item_id").distinct()
+    said = used.join(terms, "term").join(pairs, [*KEY, "item_id"]).groupBy(*KEY, "item_id", "need", "span").agg(F.collect_list(F.struct("pos", "term")).alias("postings"), F.count_distinct("term").alias("have"))
+    found = said.filter("have >= need").drop("have").mapInArrow(densest, f"k {id_kind}, fp long, item_id {kind}, place long, found long")
+    return found.select(F.col("k").alias("doc_id"), "item_id", "place", "found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 7
     starred = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
     apart = ws.write(apart.join(starred, "star", "left").withColumn("out", F.col("label") != F.coalesce("star_label", "star")).select("key", "cls", "n", "label", "out"), "apart")
     ws.drop(buckets, stars)
-    mixed = apart.filter("out").select("key").distinct()
+    mixed = ws.write(apart.filter("out").select("key").distinct(), "mixed")
     left = ws.write(apart.join(mixed, "key", "left_semi").groupBy("cls", "n", "label").agg(F.max("out").alias("out")), "left")
     ws.drop(apart)
     if left.limit(1).count():

@@ -71,4 +71,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op7_line_dedup_passages, op8_licence_scan, op9_secret_scan, op10_decontamination)}
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which four fifths of the terms stand near each other in a document, in any order."""
+    return decontaminate.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op7_line_dedup_passages, op8_licence_scan, op9_secret_scan, op10_decontamination, op10_proximity)}

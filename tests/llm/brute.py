@@ -154,6 +154,23 @@ def leaks(rows, items, size=10):
     return out
 
 
+def near_terms(rows, items, share, slack):
+    """(doc_id, item_id) -> place and number of different terms of the densest stretch, where they are enough."""
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
+    out = {}
+    for item, text in items:
+        own = alnum(text)
+        if item is None or not own:
+            continue
+        need, span = -(-len(set(own)) * round(share * 100) // 100), -(-len(own) * round(slack * 100) // 100)
+        for i, t, *_ in rows:
+            at = [(p, x) for p, x in enumerate(alnum(t)) if x in set(own)]
+            best = max(((len({x for q, x in at if p <= q < p + span}), -p) for p, _ in at), default=(0, 0))
+            if best[0] >= need:
+                out[i, item] = (-best[1], best[0])
+    return out
+
+
 def sha1_base32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 

@@ -606,11 +606,16 @@ def test_leaks_odd(odd, spark):
     assert decontaminate.contamination(odd.limit(0), bench).count() == 0
 
 
-def test_proximity(spark):
-    df = spark.createDataFrame([(1, "red fox jumps over the lazy dog"), (2, "dog lazy the over jumps fox red"), (3, "red " + "x " * 100 + "fox jumps over the lazy dog"), (4, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, "Red fox jumps over the lazy dog"), (8, "nothing here")], "item_id long, text string")
-    out = decontaminate.proximity_matches(df, bench, slop=10, share=1.0)
-    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(1, 7), (2, 7)}
+def test_proximity(spark, rows):
+    """Against every stretch of every text: places, terms found and nothing else."""
+    r = random.Random(8)
+    items = [(k, " ".join(brute.words(rows[j][1])[:w])) for k, (j, w) in enumerate(((3, 12), (8, 25), (20, 40), (31, 8), (45, 120)))] + [(90, None), (91, "the"), (92, "nowhere w1 w2 w3 w4"), (None, "w1 w2")]
+    shuffled = [(1000 + k, "w5 Ü " * 7 + " ".join(r.sample(w := brute.words(t), len(w) - len(w) // 6)) + " tail", "en", "s", 0) for k, t in items[:5] if t]
+    docs = [*rows, *shuffled, (2000, None, None, None, None)]
+    out = decontaminate.proximity_matches(spark.createDataFrame(docs, brute.SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]): (x["place"], x["found"]) for x in out.collect()}
+    want = brute.near_terms(docs, items, 0.8, 2.0)
+    assert got == want and sum(i >= 1000 for i, _ in want) >= 3
 
 
 def test_words(spark):
