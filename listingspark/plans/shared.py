@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -61,7 +61,7 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_order(ws: Workspace, df: DataFrame, keys: list[str], name: str, number: str = "number") -> DataFrame:
+def in_order(ws: Workspace, df: DataFrame, keys: list[str | Column], name: str, number: str = "number") -> DataFrame:
     """df written with ``number``, which grows in the order of the keys: the number of a row in sorted range partitions."""
     n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     return ws.write(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(number, F.monotonically_increasing_id()), name)
