@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,21 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(to)
 
 
+_open: list[list[Workspace]] = []
+
+
+@contextmanager
+def made_here() -> Iterator[list[Workspace]]:
+    """The workspaces that calls inside open. Who has written what they wanted from an operator's lazy result can then
+    ``remove`` them; until then the result reads their tables."""
+    made: list[Workspace] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
 class Workspace:
     """A folder for one operator call. ``write`` cuts lineage with a Parquet table: it outlives lost executors,
     and its size is known to the optimizer, which then broadcasts it only below its own threshold."""
@@ -44,6 +61,8 @@ class Workspace:
         self.spark, self.n = spark, 0
         ship_package(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for made in _open:
+            made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -55,10 +74,16 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables of ``write`` that nothing reads any more."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._workspace_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._workspace_path)
+
+    def remove(self) -> None:
+        """Remove all tables of this call."""
+        self._delete(self.path)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_order(ws: Workspace, df: DataFrame, keys: list[str | Column], name: str, number: str = "number") -> DataFrame:
