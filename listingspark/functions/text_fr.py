@@ -49,6 +49,18 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(text, MARKED, PLAIN))
 
 
+def quick(pattern: str) -> str:
+    """The pattern behind a look at the letter that each of its alternatives begins with, so that other places of a text are
+    passed by at once; the pattern itself where one doesn't begin with a letter."""
+    firsts, depth, at = set(), 0, True
+    for x in pattern:
+        if at:
+            firsts.add(x)
+        depth += (x == "(") - (x == ")")
+        at = x == "|" and depth == 0
+    return f"(?=[{''.join(sorted(firsts))}])(?:{pattern})" if all("a" <= x <= "z" for x in firsts) else pattern
+
+
 def json_text(details: Column, key: str) -> Column:
     """Text at a top-level key; null for texts that aren't JSON."""
     return F.get_json_object(details, f"$['{key}']")

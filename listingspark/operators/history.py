@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import spread_rank
+
 
 def inventory_verdicts(runs: DataFrame, *, share: float = 0.7, days: int = 30) -> DataFrame:
     """runs(source, run_at, url_count, complete) with ``most`` and ``accepted``: a complete, non-empty run of at least
@@ -98,7 +100,7 @@ def recent_entries(df: DataFrame, lastmod: str, as_of: Column, days: int = 365)
 
 def interleave(df: DataFrame, group: str, order: list[Column], cap: int | None = None) -> DataFrame:
     """First rows of all groups, then second ones, and so on: ``turn`` is the place in the group. cap: of them the first."""
-    out = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    out = spread_rank(df, [group], order, "turn")
     return out if cap is None else out.orderBy("turn", group).limit(cap)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import spread_quantiles
+
 #: Quantiles of a reference row.
 LEVELS = {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9}
 
@@ -74,30 +76,39 @@ def clean_sales_commercial(detail: DataFrame) -> DataFrame:
     return in_ranges(sales.withColumn("prix_m2", F.try_divide("valeur_fonciere", "surface_bati")), COMMERCIAL)
 
 
-def trimmed_reference(sales: DataFrame, keys: list[str], value: str, day: str, as_of: Column, *, trim: tuple[float, float] = (0.01, 0.99), min_n: int = 5, months: int = 12, size: str | None = None, place: tuple[str, str] | None = None) -> DataFrame:
+def trimmed_reference(sales: DataFrame, keys: list[str], value: str, day: str, as_of: Column, *, trim: tuple[float, float] = (0.01, 0.99), min_n: int = 5, months: int = 12, size: str | None = None, place: tuple[str, str] | None = None, spread: bool = False) -> DataFrame:
     """Statistics of ``value`` by key without its extremes: rows outside the trim quantiles of their key are left out,
     and keys of fewer than ``min_n`` rows after that. Bounds are a row for each key and are joined back. The mean is taken
-    of the values to four places, exactly. size and place: columns whose median and means are added."""
-    bounds = sales.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, trim))).alias("_b"))
+    of the values to four places, exactly. size and place: columns whose median and means are added. spread: for few
+    keys of very many sales, whose quantiles are taken from sorted partitions; else a key's values are counted in one task."""
+    if spread:
+        bounds = spread_quantiles(sales, keys, value, list(trim)).select(*keys, F.col("q").alias("_b"))
+    else:
+        bounds = sales.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, trim))).alias("_b"))
     kept = sales.join(bounds, keys).filter(F.col(value).between(F.col("_b")[0], F.col("_b")[1]))
     out = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(day) >= F.add_months(as_of, -months)).alias("n_recent"),
-        F.percentile(value, F.array(*map(F.lit, LEVELS.values()))).alias("_q"),
+        *([] if spread else [F.percentile(value, F.array(*map(F.lit, LEVELS.values()))).alias("_q")]),
         F.avg(F.col(value).cast("decimal(20,4)")).cast("double").alias("mean"),
         F.stddev_samp(value).alias("deviation"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
-        *([F.median(size).alias("median_size")] if size else []),
+        *([F.median(size).alias("median_size")] if size and not spread else []),
         *[F.avg(x).alias(x) for x in place or ()],
     )
+    if spread:
+        out = out.join(spread_quantiles(kept, keys, value, list(LEVELS.values())).select(*keys, F.col("q").alias("_q")), keys)
+        if size:
+            out = out.join(spread_quantiles(kept, keys, size, [0.5]).select(*keys, F.col("q")[0].alias("median_size")), keys, "left")
     more = [*(["median_size"] if size else []), *(place or ())]
     return out.filter(F.col("n") >= min_n).select(*keys, "n", "n_recent", *[F.col("_q")[i].alias(c) for i, c in enumerate(LEVELS)], "mean", "deviation", "first_day", "last_day", *more)
 
 
 def yearly_index(sales: DataFrame, keys: list[str], value: str, day: str, *, min_n: int = 150, bounds: tuple[float, float] = (0.8, 1.25)) -> DataFrame:
     """ratio by key and year: the last year's median over that year's, clamped; years of few sales are left out."""
-    medians = sales.groupBy(*keys, F.year(day).alias("year")).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
+    known = sales.select(*keys, F.year(day).alias("year"), value).filter(F.col(value).isNotNull())
+    medians = spread_quantiles(known, [*keys, "year"], value, [0.5]).select(*keys, "year", F.col("q")[0].alias("median"), "n").filter(F.col("n") >= min_n)
     last = medians.groupBy(*keys).agg(F.max_by("median", "year").alias("last"))
     ratio = F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), F.try_divide("last", "median")))
     return medians.join(last, keys).select(*keys, "year", "n", "median", ratio.alias("ratio"))

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_fr import FLAGS, fold, json_text
+from ..functions.text_fr import FLAGS, fold, json_text, quick
+from .ranks import spread_quantiles
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def auction_ratio(listings: DataFrame, *, min_n: int = 20, bounds: tuple[float,
     """ratio: median of hammer price over reserve by type, from types with enough results."""
     ratio = F.try_divide("prix_adjuge", "prix")
     df = listings.filter("prix_adjuge > 0 and prix > 0 and mode_vente like 'enchere%'").withColumn("ratio", ratio).filter(c("ratio").between(*bounds))
-    return df.groupBy("type_bien").agg(F.median("ratio").alias("ratio"), F.count(lit(1)).alias("n")).filter(c("n") >= min_n)
+    return spread_quantiles(df, ["type_bien"], "ratio", [0.5]).filter(c("n") >= min_n).select("type_bien", c("q")[0].alias("ratio"), "n")
 
 
 def sector_multiples(deals: DataFrame, *, sector: str, price: str, ebe: str, turnover: str, bounds: tuple[float, float] = (0.5, 15.0)) -> DataFrame:
@@ -75,7 +76,13 @@ def sector_multiples(deals: DataFrame, *, sector: str, price: str, ebe: str, tur
     multiple = F.try_divide(price, ebe)
     df = deals.filter((c(ebe) > 0) & (c(price) > 0)).withColumns({"_m": multiple, "_sector": F.coalesce(sector, lit("*"))}).filter(c("_m").between(*bounds))
     df = df.withColumn("_t", when(c(turnover) > 0, F.try_divide(price, turnover)))
-    return df.groupingSets([["_sector"], []], "_sector").agg(F.median("_m").alias("multiple_ebe"), F.median("_t").alias("multiple_ca"), F.count(lit(1)).alias("n"), (F.grouping_id() > 0).alias("total")).withColumnRenamed("_sector", "sector")
+    # each row for its sector and for the total, its measures one below the other: grouping sets whose medians are spread
+    kinds = F.explode(F.array(F.struct(c("_sector").alias("sector"), lit(False).alias("total")), F.struct(lit(None).cast("string").alias("sector"), lit(True).alias("total")))).alias("g")
+    measures = F.explode(F.array(*[F.struct(lit(x).alias("name"), c(x).alias("value")) for x in ("_m", "_t")])).alias("m")
+    long = df.select(kinds, "_m", "_t").select("g.*", measures).select("sector", "total", "m.*")
+    found = spread_quantiles(long, ["sector", "total", "name"], "value", [0.5])
+    of = lambda name, x: F.max(when(c("name") == name, x))
+    return found.groupBy("sector", "total").agg(of("_m", c("q")[0]).alias("multiple_ebe"), of("_t", c("q")[0]).alias("multiple_ca"), of("_m", c("n")).alias("n")).select("sector", "multiple_ebe", "multiple_ca", "n", "total")
 
 
 def deal_inputs(listings: DataFrame, finance: DataFrame, comparables: DataFrame, rents: DataFrame, signals: DataFrame, multiples: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def flags(df: DataFrame) -> DataFrame:
     """Segment, text flags and the price that compares."""
     text = fold(F.concat_ws(" ", F.coalesce("titre", lit("")), F.coalesce("description", lit(""))))
     details = F.lower(F.coalesce("details_json", lit("")))
-    has = lambda name: c("_text").rlike(FLAGS[name])
+    has = lambda name: c("_text").rlike(quick(FLAGS[name]))
     kind = reduce(lambda a, kv: when(c("type_bien") == kv[0], kv[1]).otherwise(a), SEGMENTS.items(), lit("autre"))
     business = F.expr("try_cast(_business as double)")
     df = df.withColumns({"_text": text, "segment": F.coalesce("segment", kind), "_business": json_text(c("details_json"), "Prix du fonds"), "_nature": F.lower(F.coalesce(json_text(c("details_json"), "Nature"), lit("")))})

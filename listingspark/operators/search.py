@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text_fr import department_of, fold
+from .ranks import spread_quantiles
 
 c = F.col
 
@@ -132,9 +133,17 @@ def summary(df: DataFrame, **measures: Column) -> DataFrame:
     return df.agg(*[m.alias(name) for name, m in measures.items()])
 
 
+def with_medians(df: DataFrame, one: DataFrame, **medians: Column) -> DataFrame:
+    """``one`` (a row) with the medians of df's columns, of which no task holds all values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), x.cast("double").alias("value")) for n, x in medians.items()])).alias("m")).select("m.*")
+    found = spread_quantiles(long, ["name"], "value", [0.5])
+    row = found.agg(*[F.max(F.when(c("name") == n, c("q")[0])).alias(n) for n in medians])
+    return one.join(row, F.lit(True))
+
+
 def deal_summary(df: DataFrame) -> DataFrame:
     """Nine measures of the adverts that a filter left."""
-    return summary(
+    counts = summary(
         df,
         total=F.count(F.lit(1)),
         excellent=F.count_if(c("niveau_affaire") == "excellente"),
@@ -144,8 +153,8 @@ def deal_summary(df: DataFrame) -> DataFrame:
         average_discount=F.avg("decote"),
         price_drops=F.count_if(c("baisse_prix_pct") >= 1),
         new=F.count_if(c("jours_en_ligne") <= 2),
-        median_net_yield=F.median("rendement_net"),
     )
+    return with_medians(df, counts, median_net_yield=c("rendement_net"))
 
 
 def deal_tabs(df: DataFrame, **criteria) -> DataFrame:

@@ -77,7 +77,7 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
     obs = observations(spark, sf)
     distance = F.abs(F.ln(c("v_size") / c("size"))) * 4.0 + F.when(c("nation") == c("v_nation"), 0.0).otherwise(0.35) + F.datediff(lit(AS_OF).cast("date"), "v_day") / 365.25 * 0.08
     return comparables.nearest(
-        subjects(obs), pool(obs), subject_key=["id"], pool_key=["v_id"], on=[([("p_brand", "v_p_brand"), ("p_type", "v_p_type")], None)], where=c("id") != c("v_id"), distance=distance, k=15, band=("size", "v_size", 0.8, 1.2, 0.15)
+        subjects(obs), pool(obs), subject_key=["id"], pool_key=["v_id"], on=[([("p_brand", "v_p_brand"), ("p_type", "v_p_type")], None)], where=c("id") != c("v_id"), distance=distance, k=15, band=("size", "v_size", 0.8, 1.2, 0.05)
     )
 
 
@@ -184,7 +184,7 @@ SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE day >= TIMESTAMP '2000-06-0
 
 def reference(spark, sf, keys: list[str]) -> DataFrame:
     obs = observations(spark, sf).withColumns({"lat": c("nation") / 3 + 40, "lng": c("nation") / 7})
-    df = prices.trimmed_reference(obs, keys, "price", "day", lit("2001-06-01").cast("date"), size="size", place=("lat", "lng"))
+    df = prices.trimmed_reference(obs, keys, "price", "day", lit("2001-06-01").cast("date"), size="size", place=("lat", "lng"), spread=len(keys) == 1)
     return df.withColumns({x: F.round(x, 6) for x in (*prices.LEVELS, "lat", "lng")} | {"deviation": F.round("deviation", 3)})
 
 
@@ -536,10 +536,9 @@ def filter_sort_page(spark, sf):
 
 @query("""SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, round(avg(o_totalprice), 2) AS mean_price, median(o_totalprice) AS median_price, median(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS median_urgent, min(o_orderdate) AS first_day FROM orders""")
 def summary_counts(spark, sf):
-    return search.summary(
-        table(spark, sf, "orders"), total=F.count(lit(1)), finished=F.count_if(c("o_orderstatus") == "F"), mean_price=F.round(F.avg("o_totalprice"), 2), median_price=F.median("o_totalprice"),
-        median_urgent=F.median(F.when(c("o_orderpriority") == "1-URGENT", c("o_totalprice"))), first_day=F.min("o_orderdate"),
-    )
+    orders = table(spark, sf, "orders")
+    one = search.summary(orders, total=F.count(lit(1)), finished=F.count_if(c("o_orderstatus") == "F"), mean_price=F.round(F.avg("o_totalprice"), 2), first_day=F.min("o_orderdate"))
+    return search.with_medians(orders, one, median_price=c("o_totalprice"), median_urgent=F.when(c("o_orderpriority") == "1-URGENT", c("o_totalprice")))
 
 
 @query("SELECT count(*) FILTER (WHERE c_acctbal > 5000) AS rich, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery, count(*) FILTER (WHERE c_acctbal < 0) AS debtors FROM customer")
@@ -607,7 +606,7 @@ FLAG_SQL = ", ".join(f"regexp_matches(t, '{p}') AS {k}" for k, p in text_fr.FLAG
 @query(f"SELECT doc_id, {FLAG_SQL} FROM (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents)")
 def text_flags(spark, sf):
     df = table(spark, sf, "documents").withColumn("t", text_fr.fold(c("text")))
-    return df.select("doc_id", *[c("t").rlike(p).alias(k) for k, p in text_fr.FLAGS.items()])
+    return df.select("doc_id", *[c("t").rlike(text_fr.quick(p)).alias(k) for k, p in text_fr.FLAGS.items()])
 
 
 @query("""SELECT p_partkey, kind FROM (SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN 'maison' WHEN 'ECONOMY' THEN 'immeuble' WHEN 'PROMO' THEN 'autre' ELSE 'bureau' END AS kind FROM part)""")
