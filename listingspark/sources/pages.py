@@ -6,6 +6,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -102,10 +103,102 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(run, LISTING)
 
 
-def extract_state(pages: DataFrame, script_id: str) -> DataFrame:
-    """url and state (JSON) of the script element of this id; pages without it or with broken JSON have no row."""
-    body = F.regexp_extract("html", rf'(?is)<script[^>]*\bid="{re.escape(script_id)}"[^>]*>(.*?)</script>', 1)
-    return pages.select("url", F.trim(body).alias("state")).filter("state <> '' and try_parse_json(state) is not null")
+# Escapes of a transfer state, the ampersand's last.
+TRANSFER = (("&q;", '"'), ("&s;", "'"), ("&l;", "<"), ("&g;", ">"), ("&a;", "&"))
+# How an index-dereferenced payload marks values that aren't plain; wrappers pass their content on.
+WRAPPERS = ("Ref", "ShallowRef", "Reactive", "ShallowReactive", "NuxtError")
+
+
+def revived(payload: list, depth: int = 64):
+    """The tree of a payload in which a number inside a list or an object is the place of a value; the first value is the
+    root. Places that lead back to themselves, or deeper than ``depth``, are null."""
+
+    def at(place: int, open_places: tuple[int, ...]):
+        if not 0 <= place < len(payload) or place in open_places or len(open_places) >= depth:
+            return None
+        value, path = payload[place], (*open_places, place)
+        go = lambda x: at(x, path) if isinstance(x, int) and not isinstance(x, bool) else x
+        if isinstance(value, dict):
+            return {k: go(x) for k, x in value.items()}
+        if not isinstance(value, list):
+            return value
+        match value:
+            case ["Date", said, *_]:
+                return said
+            case ["EmptyRef", *_]:
+                return None
+            case ["Set", *items]:
+                return [go(x) for x in items]
+            case ["Map", *items]:
+                return {str(go(k)): go(x) for k, x in zip(items[::2], items[1::2], strict=False)}
+            case [str() as tag, inner, *_] if tag in WRAPPERS:
+                return go(inner)
+        return [go(x) for x in value]
+
+    return at(0, ())
+
+
+def indexed_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """url, state (of an index-dereferenced payload) -> url, state as plain JSON; what isn't such a payload has no row."""
+    for batch in batches:
+        rows = []
+        for url, state in zip(batch["url"], batch["state"], strict=True):
+            payload = read_json(state)
+            if isinstance(payload, list) and payload:
+                rows.append({"url": url, "state": json.dumps(revived(payload), ensure_ascii=False)})
+        yield pd.DataFrame(rows, columns=["url", "state"])
+
+
+def extract_state(pages: DataFrame, name: str, kind: str = "script") -> DataFrame:
+    """url and state (JSON) that a page holds under a name; pages without it or with broken JSON have no row. kind:
+
+    script: the text of the script element of this id. transfer: the same with a transfer state's escapes. indexed: the same,
+    its numbers followed to the values they stand for. attribute: the value of this attribute, entities read; a row for each
+    element that has it (properties that a page hands to a component too). layer: the object or list that is pushed to, or
+    assigned to, the variable of this name. chunks: texts that are pushed to a variable in parts, joined and given as {"text": …}."""
+    body = F.regexp_extract("html", rf'(?is)<script[^>]*\bid="{re.escape(name)}"[^>]*>(.*?)</script>', 1)
+    state = F.trim(body)
+    match kind:
+        case "transfer":
+            for said, char in TRANSFER:
+                state = F.replace(state, F.lit(said), F.lit(char))
+        case "attribute":
+            found = F.regexp_extract_all("html", F.lit(rf"""(?is)\s{re.escape(name)}=("[^"]*"|'[^']*')"""), F.lit(1))
+            state = F.explode(F.transform(found, lambda x: entities_read(F.substring(x, F.lit(2), F.length(x) - 2))))
+        case "layer":
+            found = F.regexp_extract_all("html", F.lit(rf"(?is)\b{re.escape(name)}(?:\.push\(|\s*=)\s*([\[{{].*?[\]}}])\s*\)?\s*;?\s*(?:</script>|\n)"), F.lit(1))
+            state = F.explode(found)
+        case "chunks":
+            found = F.regexp_extract_all("html", F.lit(rf'(?is){re.escape(name)}\.push\(\[1,("(?:[^"\\]|\\.)*+")\]\)'), F.lit(1))
+            said = F.transform(found, lambda x: F.from_json(F.concat(F.lit('{"t":'), x, F.lit("}")), "t string")["t"])
+            state = F.when(F.size(found) > 0, F.to_json(F.struct(F.array_join(said, "").alias("text"))))
+    out = pages.select("url", state.alias("state")).filter("state <> '' and try_parse_json(state) is not null")
+    return out.mapInPandas(indexed_state, "url string, state string") if kind == "indexed" else out
+
+
+def table_cells(pages: DataFrame, title: str) -> DataFrame:
+    """url, line, year, value of the first table after a title: lines are named by their first cell, and the years stand in
+    the table's bold cells in order. Cells that are no number are null."""
+    table = F.regexp_extract("html", rf"(?s){re.escape(title)}.*?<table[^>]*>(.*?)</table>", 1)
+    years = F.regexp_extract_all("table", F.lit(r"<b>\s*(\d{4})\s*</b>"), F.lit(1))
+    df = pages.select("url", table.alias("table")).filter("table <> ''").select("url", years.alias("years"), F.explode(F.split("table", r"<tr[^>]*>")).alias("row"))
+    df = df.select("url", "years", F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), html_to_text).alias("cells")).filter("size(cells) > 1")
+    df = df.select("url", F.col("cells")[0].alias("line"), "years", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("at", "cell"))
+    number = F.replace(F.regexp_replace("cell", r"[^\d,.-]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    return df.select("url", "line", F.coalesce(F.get("years", F.col("at")).cast("int"), F.col("at")).alias("year"), number.alias("value"))
+
+
+# Lines of the financial table and their keys in the details.
+FINANCIALS = {"CA": "Chiffre d'affaires", "EBE": "EBE", "Res. net": "Résultat net", "Marge brute": "Marge brute", "Res. exploit.": "Résultat d'exploitation", "Nb pers.": "Effectif"}
+
+
+def financial_table(pages: DataFrame, title: str = "Éléments chiffrés") -> DataFrame:
+    """url, key, value, year: each line of the financial table in the last year that has a figure. A result or EBE of 0 or
+    less has a key of its own, so that nothing divides by it."""
+    known = reduce(lambda a, kv: F.when(F.col("line") == kv[0], kv[1]).otherwise(a), FINANCIALS.items(), F.lit(None).cast("string"))
+    out = last_filled_year(table_cells(pages, title).withColumn("line", known).filter("line is not null"), ["url"])
+    negative = F.col("line").isin("EBE", "Résultat net") & (F.col("value") <= 0)
+    return out.select("url", F.when(negative, F.concat("line", F.lit(" négatif"))).otherwise(F.col("line")).alias("key"), "value", "year")
 
 
 def premises_listing(pages: DataFrame) -> DataFrame:

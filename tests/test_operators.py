@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +252,30 @@ def test_page_state(spark):
     assert len(r) == 1 and (r[0]["type_hint"], r[0]["price"], r[0]["yearly_rent"], r[0]["occupied"]) == ("vente local_commercial", 80000.0, 9600.0, "oui")
 
 
+STATES = [
+    ("transfer", "app-state", '<script id="app-state" type="application/json">{&q;a&q;: &q;x &a; y&q;}</script>', {"a": "x & y"}),
+    ("attribute", "data-estate", """<div data-estate="{&quot;price&quot;: 5, &quot;t&quot;: &quot;l&#233;&quot;}"></div><p data-estate='{"price": 6}'>""", [{"price": 5, "t": "lé"}, {"price": 6}]),
+    ("layer", "dataLayer", '<script>dataLayer.push({"id": 7, "in": {"b": [1]}});</script>', {"id": 7, "in": {"b": [1]}}),
+    ("layer", "window.state", '<script>window.state = [1, {"a": 2}];\n</script>', [1, {"a": 2}]),
+    ("chunks", "self.__next_f", r'<script>self.__next_f.push([1,"a \"b"])</script><script>self.__next_f.push([0])</script><script>self.__next_f.push([1,"\u00e9\n"])</script>', {"text": 'a "bé\n'}),
+    ("indexed", "DATA", '<script id="DATA">[{"ref": 1, "place": 2, "seen": 4, "me": 0, "set": 6, "map": 7, "wrap": 8}, "R1", {"city": 3}, "Lille", ["Date", "2026-01-01"], 12, ["Set", 1, 5], ["Map", 1, 5], ["Reactive", 2]]</script>', {"ref": "R1", "place": {"city": "Lille"}, "seen": "2026-01-01", "me": None, "set": ["R1", 12], "map": {"R1": 12}, "wrap": {"city": "Lille"}}),
+]
+
+
+@pytest.mark.parametrize("kind, name, html, want", STATES)
+def test_states(spark, kind, name, html, want):
+    df = spark.createDataFrame([("u", html), ("v", "<p>nothing</p>"), ("w", None), ("x", html.replace("{", "{{"))], "url string, html string")
+    got = [json.loads(r["state"]) for r in pages.extract_state(df, name, kind).filter("url = 'u'").collect()]
+    assert got == (want if kind == "attribute" else [want])
+    assert pages.extract_state(df, name, kind).filter("url in ('v', 'w')").count() == 0
+
+
+def test_financial_table(spark):
+    html = "<h2>Éléments chiffrés</h2><table><tr><td></td><td><b>2021</b></td><td><b> 2022 </b></td><td><b>2023</b></td></tr><tr><td>CA</td><td>100 000</td><td>120&nbsp;000,5 €</td><td> </td></tr><tr><td>EBE</td><td>5</td><td>-3 000</td><td></td></tr><tr><td>Res. net</td><td></td><td></td><td>7</td></tr><tr><td>Autre</td><td>1</td></tr></table>"
+    out = pages.financial_table(spark.createDataFrame([("u", html), ("v", "<table></table>"), ("w", None)], "url string, html string"))
+    assert sorted((r["url"], r["key"], r["value"], r["year"]) for r in out.collect()) == [("u", "Chiffre d'affaires", 120000.5, 2022), ("u", "EBE négatif", -3000.0, 2022), ("u", "Résultat net", 7.0, 2023)]
+
+
 def test_html_text(spark):
     html = "<html><head><style>p{}</style><script>var a='<p>';</script></head><body><p>Un&nbsp;prix : 5&euro;</p><!-- x --><div>deux   mots<br>fin</div></body></html>"
     assert one(spark, pages.html_to_text(F.lit(html))).split("\n") == ["Un prix : 5€", "deux mots", "fin"]
