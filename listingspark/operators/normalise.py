@@ -110,6 +110,20 @@ def drop_urls(silver: DataFrame, source: str, pattern: str) -> DataFrame:
     return silver.filter(~((c("source") == source) & F.coalesce(c("url").rlike(pattern), lit(False))))
 
 
+def impute_postcode(silver: DataFrame, sales: DataFrame, department: Column | None = None) -> DataFrame:
+    """Missing postcodes from the sales of the commune of that folded name: the most frequent one there, ties the least. A
+    department (of the details, say) narrows the choice; where it isn't known and several departments have such a commune,
+    the least department's is taken. sales: code_postal, commune."""
+    named = sales.filter("code_postal is not null").select(fold(F.trim("commune")).alias("_town"), F.substring("code_postal", 1, 2).alias("_dept"), c("code_postal").alias("_code"))
+    modes = latest_per_key(named.groupBy("_town", "_dept", "_code").count(), ["_town", "_dept"], [F.desc("count"), F.asc("_code")]).drop("count")
+    any_dept = modes.groupBy("_town").agg(F.min_by("_code", "_dept").alias("_any"))
+    known = lit(None).cast("string") if department is None else department
+    df = silver.withColumns({"_town": when(c("code_postal").isNull(), fold(F.trim("ville"))), "_dept": known})
+    df = df.join(modes, ["_town", "_dept"], "left").join(any_dept, "_town", "left")
+    code = F.coalesce("code_postal", when(c("_dept").isNotNull(), c("_code")).otherwise(c("_any")))
+    return df.withColumn("code_postal", code).select(*silver.columns)
+
+
 def auction_matches(silver: DataFrame, key: Column) -> DataFrame:
     """Pairs of one auction on two sites: equal keys, a row for each group with its listings."""
     return silver.filter("mode_vente is not null").withColumn("key", key).filter("key is not null").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("source", "external_id"))).alias("listings")).filter(F.size("listings") > 1)
