@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingspark.operators.ranks import running_by_key
 from listingspark.plans.shared import Workspace, running_total
 
 from .text import uniform, word_count
@@ -22,7 +23,8 @@ from .text import uniform, word_count
 BINS = 1024
 #: A cut interval is ranked row by row once it has no more rows than this in any source.
 FEW = 4096
-#: At most so many zooms; only rows with equal random numbers (repeated rows) can be left together then.
+#: At most so many zooms; only rows with equal random numbers (repeated rows) can be left together then, and are ranked
+#: over several partitions.
 ZOOMS = 4
 
 
@@ -106,6 +108,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | Non
         "ranked",
     )
     cut = ws.write(wanted.select("key", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.col("wanted").alias("need")), "cut")
+    most = 0
     for _ in range(ZOOMS):
         inside = drawn.join(cut, "key").filter("v >= lo and v < hi")
         bins = inside.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
@@ -123,8 +126,12 @@ def mix(docs: DataFrame, *, size: Column | None = None, preference: Column | Non
         if most <= FEW:
             break
     placed = drawn.join(cut, "key")
-    order = Window.partitionBy("key").orderBy("v", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter("v >= lo and v < hi").withColumn("upto", F.sum("size").over(order)).filter("upto <= need").select("row")
+    edge, order = placed.filter("v >= lo and v < hi"), ["v", "doc_id", "size", "row"]
+    if most <= FEW:
+        edge = edge.withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:  # very many rows of one random number
+        edge = running_by_key(ws, edge, ["key"], [F.col(x) for x in order], "size")
+    edge = edge.filter("upto <= need").select("row")
     taken = ws.write(placed.filter("v < lo").select("row").unionByName(edge), "taken")
     # one more document fills what is left
     got = drawn.join(taken, "row").groupBy("key").agg(F.sum("size").alias("got"))

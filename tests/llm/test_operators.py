@@ -98,6 +98,14 @@ def test_pareto_zoom_takes_the_smallest(spark, monkeypatch):
     assert collected(mixing.mix(df), "doc_id", "taken") == want
 
 
+def test_mix_of_one_row_many_times(spark, monkeypatch):
+    """Repeated rows share a random number, so that no zoom tells them apart."""
+    monkeypatch.setattr(mixing, "FEW", 5)
+    data = [(7, "w w", "en", "a", 0)] * 60 + [(k, "w w", "en", "b", 0) for k in range(10)]
+    out = mixing.mix(spark.createDataFrame(data, brute.SCHEMA)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target"), F.max("taken").alias("most")).collect()
+    assert len(out) == 2 and all(abs(r["t"] - r["target"]) <= 2 and r["most"] <= 6 for r in out)
+
+
 def test_mix_odd(odd, spark):
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.mix(odd.limit(0)).count() == 0
