@@ -50,7 +50,7 @@ def made_here() -> Iterator[list[Workspace]]:
     try:
         yield made
     finally:
-        _open.remove(made)
+        _open[:] = [x for x in _open if x is not made]
 
 
 class Workspace:
