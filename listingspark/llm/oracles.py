@@ -1,5 +1,5 @@
 """SQL equals of the operators' queries, for DuckDB. They are written from the definitions, without the operators'
-methods: windows are compared as texts, links are found by joining shingles, line runs by joining line texts.
+methods: windows are compared as texts, links are found by joining shingles, line runs grow line by line.
 
 Without SQL: op2 (the rules are learned) and op9 (places of matches, guess costs). Tests hold them against Python."""
 
