@@ -1,7 +1,7 @@
 """SQL equals of the operators' queries, for DuckDB. They are written from the definitions, without the operators'
 methods: windows are compared as texts, links are found by joining shingles, line runs grow line by line.
 
-Without SQL: op2 (the rules are learned) and op9 (places of matches, guess costs). Tests hold them against Python."""
+Without SQL: op2 (the rules are learned), op9 (places of matches, guess costs) and op12 (tokens). Tests hold them against Python."""
 
 from __future__ import annotations
 
@@ -111,18 +111,21 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-NEAR = f"""
+
+def near(shingle: int, percent: int, last: str) -> str:
+    """``last``: columns after component_id."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {spaced(folded("text"))} AS ws FROM documents
 ), sh AS (
-  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) AS k
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + {shingle - 1}), ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {shingle - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
 ), both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), link AS (
-  SELECT a, b FROM both_in JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+  SELECT a, b FROM both_in JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= {percent} * (x.n + y.n - shared)
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
 ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = w.doc_id AS kept
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id{last}
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN c ON w.doc_id = c.doc_id
 """
 
@@ -196,14 +199,34 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN item ON w.doc_id = item.doc_id
 """
 
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+JOINED = near(3, 90, ", min(w.doc_id) OVER (PARTITION BY (SELECT string_agg(k, ',' ORDER BY k) FROM sh WHERE sh.doc_id = w.doc_id), CASE WHEN n.n IS NULL THEN w.doc_id END) AS class_id")
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op3_substring_dedup": REPEATS,
     "op4_warc_segments": WARC,
     "op5_chat_round_trip": CHAT,
-    "op6_near_duplicates": NEAR,
+    "op6_near_duplicates": near(5, 75, ", component_id = w.doc_id AS kept"),
     "op7_line_dedup": LINES,
-    "op7_line_dedup_passages": LINES,
     "op8_licence_scan": LICENCES,
     "op10_decontamination": LEAKS,
+    "op11_hard_negatives": NEGATIVES,
+    "op13_ngram_join": JOINED,
 }

@@ -1,11 +1,11 @@
-"""The ten operators on their whole tables, with production parameters."""
+"""The operators on their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, credentials, decontaminate, licences, lines, mixing, near_dups, quality, substrings, warc
+from . import alignment, chat, credentials, decontaminate, hard_negatives, licences, lines, mixing, near_dups, ngram_join, quality, substrings, warc
 from .text import word_count
 
 
@@ -51,11 +51,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
-def op7_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The former name of op7_line_dedup's rule: single lines of 50 words or more count as runs."""
-    return op7_line_dedup(spark, sf_dir)
-
-
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -76,4 +71,19 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op7_line_dedup_passages, op8_licence_scan, op9_secret_scan, op10_decontamination, op10_proximity)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label is one more (of ten); anchors are the rows whose vec_id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents")).drop("fp")
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).drop("fp")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_substring_dedup, op4_warc_segments, op5_chat_round_trip, op6_near_duplicates, op7_line_dedup, op8_licence_scan, op9_secret_scan, op10_decontamination, op10_proximity, op11_hard_negatives, op12_token_alignment, op13_ngram_join)}
