@@ -55,7 +55,8 @@ def format_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFrame
     """Formatted conversations of turns(conv_id, turn, role, text).
 
     Returns conv_id, formatted, parsed (turns read back: array<struct<role, text>>) and loss (text under the loss
-    mask: what turns of ``loss_role`` say, unescaped, in order), round_trip (the turns read back equal the source).
+    mask: what turns of ``loss_role`` say, unescaped, in order), round_trip (the turns read back equal the source; a
+    conversation of which they don't ends the job, so it is always true).
     Turns are ordered by turn, ties by role, then text, null turns first. Null role or text: empty. Null conv_id: a
     conversation of its own. Repeated rows are turns of their own. Empty input: empty result. Other columns are
     ignored. A conversation is one row of the result, so its turns meet in one task; conversations spread evenly."""
@@ -76,7 +77,9 @@ def format_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFrame
     df = df.withColumn("parsed", parse(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return df.select("conv_id", "formatted", "parsed", loss.alias("loss"), (source == F.col("parsed")).alias("round_trip"))
+    same = source == F.col("parsed")
+    checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("not read back as it was: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    return df.select("conv_id", checked.alias("formatted"), "parsed", loss.alias("loss"), same.alias("round_trip"))
 
 
 def chat_digest(chats: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ run, so the suffix array holds the suffixes of the stretches between such lines.
 doubling, two doublings a round: the rank of the first 4k lines of a suffix is that of its four ranks of k lines, in the
 order of a distributed sort of the distinct keys. Rounds end when no two suffixes share more than the last one told apart.
 
-Neighbours of the sorted suffixes give the longest common prefixes. A prefix whose line before is equal too is part of a
-longer one, so only the others are measured: ranks tell the power of four that they reach, the rest is compared
-line by line (the lines so compared are n log n in all, as the prefixes that can't be extended to the left are). They
-are the maximal repeated runs. Their lines are deleted where an earlier copy stands: a line is in a later copy of a
-maximal run of ``min_lines`` lines or more if it is in one of that length, so that interval of the suffix array decides.
+Neighbours of the sorted suffixes give the longest common prefixes. Suffixes that agree in n lines or more are an interval
+of the array, cut off where the prefix that neighbours share is shorter. In each interval the first copy, by doc_id and
+place, stays; the lines with which the other suffixes of the interval begin are deleted. Any line of a later copy of a
+maximal run of ``min_lines`` lines or more is among the first ``min_lines`` of such a suffix, so these intervals decide.
+
+A prefix whose line before is equal too is part of a longer one; the others are the maximal repeated runs. Their lengths
+are measured where they are asked for: ranks tell the power of four that they reach, the rest is compared line by
+line (n log n lines in all, as these prefixes can't be extended to the left).
 """
 
 from __future__ import annotations
@@ -49,24 +52,25 @@ def numbered_lines(ws: Workspace, docs: DataFrame, need: int) -> DataFrame:
     return out
 
 
-def repeated_stretches(ws: Workspace, lines: DataFrame) -> DataFrame:
+def repeated_stretches(ws: Workspace, lines: DataFrame, min_lines: int) -> DataFrame:
     """The lines that stand twice or more, as suffixes: gid, doc, doc_id, fp, at, size, line (gid of the line's first copy),
-    seg (first gid of the stretch of such lines), rest (lines from here to its end), before (line before it there)."""
+    seg (first gid of the stretch of such lines), rest (lines from here to its end), before (line before it there), head
+    (its first ``min_lines`` lines, null beyond its end)."""
     firsts = ws.write(lines.groupBy("h", "g").agg(F.min("gid").alias("line"), F.max("gid").alias("last")).filter("line < last").drop("last"), "firsts")
     own = Window.partitionBy("doc").orderBy("gid")
     df = lines.join(firsts, ["h", "g"]).drop("h", "g")
     df = df.withColumns({"_run": F.col("gid") - F.row_number().over(own)})
     whole = Window.partitionBy("doc", "_run")
-    df = df.withColumns({"seg": F.min("gid").over(whole), "rest": F.max("gid").over(whole) - F.col("gid") + 1, "before": F.lag("line").over(whole.orderBy("gid"))})
+    df = df.withColumns({"seg": F.min("gid").over(whole), "rest": F.max("gid").over(whole) - F.col("gid") + 1, "before": F.lag("line").over(whole.orderBy("gid")), "head": F.array("line", *[F.lead("line", i).over(whole.orderBy("gid")) for i in range(1, min_lines)])})
     return ws.write(df.drop("_run"), "stretches")
 
 
 def suffix_array(ws: Workspace, stretches: DataFrame) -> DataFrame:
-    """gid, doc, seg, rest, before, path: the ranks of the first 1, 4, 16, ... lines of each suffix, told apart as far as
+    """gid, doc, seg, rest, before, head, path: the ranks of the first 1, 4, 16, ... lines of each suffix, told apart as far as
     any two suffixes agree. Suffixes that are equal to the ends of their stretches keep equal ranks."""
     own = Window.partitionBy("seg").orderBy("gid")
     keys = [f"_{i}" for i in range(PIECES)]
-    state, k = stretches.select("gid", "doc", "seg", "rest", "before", F.array("line").alias("path")), 1
+    state, k = stretches.select("gid", "doc", "seg", "rest", "before", "head", F.array("line").alias("path")), 1
     while True:
         rank = F.element_at("path", -1)
         pieces = state.withColumns({c: rank if i == 0 else F.lead(rank, i * k, -1).over(own) for i, c in enumerate(keys)})
@@ -77,21 +81,48 @@ def suffix_array(ws: Workspace, stretches: DataFrame) -> DataFrame:
         k *= PIECES
 
 
-def neighbours(ws: Workspace, suffixes: DataFrame) -> DataFrame:
-    """The suffixes in order, each with the one before it (its columns with a p before their names)."""
-    said = ["gid", "doc", "seg", "rest", "before", "path"]
-    table = in_order(ws, suffixes.withColumn("_rank", F.element_at("path", -1)), ["_rank", "gid"], "sorted").withColumn("_part", F.shiftright("number", 33))
+def in_array_order(ws: Workspace, suffixes: DataFrame) -> DataFrame:
+    """The suffixes written in order, with number (grows in that order) and _part (the partition that they are in)."""
+    return in_order(ws, suffixes.withColumn("_rank", F.element_at("path", -1)), ["_rank", "gid"], "sorted").drop("_rank").withColumn("_part", F.shiftright("number", 33))
+
+
+def neighbours(table: DataFrame, said: list[str]) -> DataFrame:
+    """The suffixes, each with the one before it in order as _p (null for the first of all): its columns ``said``."""
     inside = table.withColumn("_p", F.lag(F.struct(*said)).over(Window.partitionBy("_part").orderBy("number")))
     # the first of a partition follows the last of the partition before; there is a row for each partition
     last = table.groupBy("_part").agg(F.max_by(F.struct(*said), "number").alias("_last"))
     last = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))
-    both = inside.join(F.broadcast(last), "_part").withColumn("_p", F.coalesce("_p", "_last")).filter("_p is not null")
-    return both.select(*said, *[F.col("_p")[x].alias(f"p{x}") for x in said])
-
-
-def maximal_runs(ws: Workspace, stretches: DataFrame) -> DataFrame:
+    return inside.join(F.broadcast(last), "_part").withColumn("_p", F.coalesce("_p", "_last")).drop("_last")
+
+
+def later_copies(ws: Workspace, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """gid and, for each n of lengths, _later{n}: whether the suffix is in an interval of n common lines or more of which
+    another is the first by gid.
+
+    An interval is known by the number of its first suffix. One that reaches over partitions is put together from the
+    first and last pieces of each, which are as many rows as partitions; no interval is in one task."""
+    shared = lambda n: (F.slice("head", 1, n) == F.slice(F.col("_p")["head"], 1, n)) & (F.col("rest") >= n) & (F.col("_p")["rest"] >= n)
+    upto = Window.partitionBy("_part").orderBy("number")
+    begins = {f"_s{n}": F.max(F.when(~F.coalesce(shared(n), F.lit(False)), F.col("number"))).over(upto) for n in lengths}
+    df = marked = ws.write(neighbours(table, ["head", "rest"]).withColumns(begins).select("gid", "_part", *begins), "intervals")
+    for n in lengths:
+        s = F.col(f"_s{n}")
+        pieces = marked.groupBy("_part", s.alias("s")).agg(F.min("gid").alias("least"))
+        ends = pieces.groupBy("_part").agg(F.max("s").alias("last"), F.max_by("least", "s").alias("last_least"), F.max(F.when(F.col("s").isNull(), F.col("least"))).alias("open_least"))
+        ends = ws.write(ends.withColumn("open", F.max("last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))), "ends")
+        over = ends.select(F.col("open").alias("_start"), F.col("open_least").alias("_over")).unionByName(ends.select(F.col("last").alias("_start"), F.col("last_least").alias("_over")))
+        over = over.filter("_over is not null").groupBy("_start").agg(F.min("_over").alias("_over"))
+        df = df.join(F.broadcast(ends.select("_part", "open")), "_part").withColumn("_start", F.coalesce(s, "open")).drop("open")
+        df = df.withColumn("_own", F.min("gid").over(Window.partitionBy("_part", "_start"))).join(F.broadcast(over), "_start", "left")
+        df = df.withColumn(f"_later{n}", F.col("gid") > F.least("_own", "_over")).drop("_start", "_own", "_over")
+    return df.drop("_part", *begins)
+
+
+def maximal_runs(ws: Workspace, stretches: DataFrame, table: DataFrame) -> DataFrame:
     """gid, doc, pgid, pdoc, run: neighbours in the suffix array that agree in ``run`` lines and not in the line before."""
-    pairs = neighbours(ws, suffix_array(ws, stretches)).filter("path[0] = ppath[0] and not coalesce(before = pbefore, false)")
+    said = ["gid", "doc", "seg", "rest", "before", "path"]
+    both = neighbours(table, said).filter("_p is not null").select(*said, *[F.col("_p")[x].alias(f"p{x}") for x in said])
+    pairs = both.filter("path[0] = ppath[0] and not coalesce(before = pbefore, false)")
     differ = F.array_position(F.transform("path", lambda x, i: x != F.get("ppath", i)), True)
     base = F.pow(F.lit(PIECES), differ - 2).cast("int")
     left = F.least("rest", "prest") - base
@@ -107,22 +138,9 @@ def maximal_runs(ws: Workspace, stretches: DataFrame) -> DataFrame:
     return pairs.filter("more <= 0").select("gid", "doc", "pgid", "pdoc", F.col("base").alias("run")).unionByName(measured)
 
 
-def later_flag(ws: Workspace, df: DataFrame, n: int) -> DataFrame:
-    """df with ``_later{n}``: whether the ``n`` lines from this one on stand earlier too."""
-    if n == 1:
-        return df.withColumn("_later1", F.col("gid") > F.col("line"))
-    own = Window.partitionBy("seg").orderBy("gid")
-    keys = [f"_k{i}" for i in range(n)]
-    keyed = ws.write(df.withColumns({k: F.col("line") if i == 0 else F.lead("line", i).over(own) for i, k in enumerate(keys)}), "keyed")
-    full = keyed.filter(f"{keys[-1]} is not null").groupBy(*keys).agg(F.min("gid").alias("_first"), F.max("gid").alias("_last"))
-    firsts = ws.write(full.filter("_first < _last").drop("_last"), "interval")
-    return keyed.join(firsts, keys, "left").withColumn(f"_later{n}", F.coalesce(F.col("gid") > F.col("_first"), F.lit(False))).drop("_first", *keys)
-
-
-def lines_gone(ws: Workspace, stretches: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+def lines_gone(stretches: DataFrame, later: DataFrame, lengths: list[int], min_words: int | None) -> DataFrame:
     """doc, doc_id, fp, gone (sorted indexes of the lines to delete), for texts that have repeated lines."""
-    lengths = [*([] if min_words is None else range(1, min_lines)), min_lines]
-    df = reduce(lambda d, n: later_flag(ws, d, n), lengths, stretches)
+    df, min_lines = stretches.join(later, "gid"), lengths[-1]
     listed = df.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.array_sort(F.collect_list(F.struct("gid", "at", "size", *[f"_later{n}" for n in lengths]))).alias("l"))
     l = F.col("l")  # noqa: E741
 
@@ -141,11 +159,13 @@ def lines_gone(ws: Workspace, stretches: DataFrame, min_lines: int, min_words: i
 def repeated_lines(ws: Workspace, docs: DataFrame, min_lines: int, min_words: int | None, longest: bool) -> DataFrame:
     """doc_id, fp, n_lines, gone and, with ``longest``, longest (lines of the longest repeated run), for all texts with lines."""
     lines = numbered_lines(ws, docs, 0 if min_words is None else min_words if min_lines == 2 else 1)
-    stretches = repeated_stretches(ws, lines)
-    gone = lines_gone(ws, stretches, min_lines, min_words).drop(*KEY)
+    stretches = repeated_stretches(ws, lines, min_lines)
+    table = in_array_order(ws, suffix_array(ws, stretches))
+    lengths = [*([] if min_words is None else range(1, min_lines)), min_lines]
+    gone = lines_gone(stretches, later_copies(ws, table, lengths), lengths, min_words).drop(*KEY)
     out = lines.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n_lines")).join(gone, "doc", "left")
     if longest:
-        runs = ws.write(maximal_runs(ws, stretches), "runs")
+        runs = ws.write(maximal_runs(ws, stretches, table), "runs")
         both = runs.select("doc", "run").unionByName(runs.select(F.col("pdoc").alias("doc"), "run"))
         out = out.join(both.groupBy("doc").agg(F.max("run").alias("longest")), "doc", "left")
     return ws.write(out.drop("doc"), "gone")

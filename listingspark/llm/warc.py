@@ -1,8 +1,9 @@
 """WARC archives written and read by Spark's text source, with segmented records and chunked payloads.
 
-Records open with ``WARC/1.1 CRLF``, so a reader that splits there gets one record a row from splittable files. Chunk
-borders of the transfer framing are set so that this string never stands inside a block. Its first letter comes once in
-it, so that a reader can't take part of it for its start.
+Records open with ``WARC/1.1 CRLF``, so a reader that splits there gets one record a row from splittable files. Chunks
+of the transfer framing end inside any ``WARC/1.1`` of the payload, so no block that is written here holds that string,
+whatever follows it there (the framing's and the record's own line ends among it). Archives of other writers may
+hold it in their blocks: the reader goes by Content-Length and joins what such a string has parted.
 Long blocks are written as segments: a first record and continuation records that name it as their origin. Files are
 compressed as a whole, by Spark's writer, and each part of the table begins with a warcinfo record.
 """
@@ -36,12 +37,12 @@ def sha1_base32(data: bytes) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer framing; chunks also end inside any border string of the payload."""
-    border = BORDER.encode()
-    pieces = payload.split(border)
+    """Chunked transfer framing; chunks also end inside any version string of the payload, so that none holds one."""
+    version = VERSION.strip()
+    pieces = payload.split(version)
     out = []
     for i, piece in enumerate(pieces):
-        data = (border[4:] if i else b"") + piece + (border[:4] if i + 1 < len(pieces) else b"")
+        data = (version[4:] if i else b"") + piece + (version[:4] if i + 1 < len(pieces) else b"")
         for at in range(0, len(data), size):
             part = data[at : at + size]
             out.append(b"%x\r\n%s\r\n" % (len(part), part))
@@ -139,35 +140,47 @@ def write_pages(pages: DataFrame, path: str, *, segment: int = SEGMENT, chunk: i
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
-def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """value (bytes between borders) -> the record's named fields and its block, cut to its declared length."""
-    for batch in batches:
-        out: list[dict] = []
-        for value in batch["value"].to_pylist():
-            top, _, block = value.partition(b"\r\n\r\n")
-            if not top.strip():
-                continue
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("utf-8", "replace").split("\r\n"))}
-            n = int(fields["content-length"])
-            if len(block) < n:
-                raise ValueError(f"record {fields.get('warc-record-id')} is shorter than declared")
-            number = lambda k, f=fields: int(f[k]) if f.get(k) else None
-            out.append(
-                {
-                    "record_id": fields.get("warc-record-id"),
-                    "type": fields.get("warc-type"),
-                    "page_id": number("x-page-id"),
-                    "url": uri_of(fields),
-                    "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:"),
-                    "refers_to": fields.get("warc-refers-to"),
-                    "origin": fields.get("warc-segment-origin-id"),
-                    "row": fields.get("x-row"),
-                    "segment": number("warc-segment-number"),
-                    "total": number("warc-segment-total-length"),
-                    "block": block[:n],
-                }
-            )
-        yield pa.RecordBatch.from_pylist(out, RECORD)
+def parse_records(border: bytes):
+    """value (bytes between borders) -> the record's named fields and its block, cut to its declared length. A block that holds
+    the border comes in several values, which are joined until the declared length is reached."""
+
+    def parsed(fields: dict[str, str], block: bytes) -> dict:
+        number = lambda k: int(fields[k]) if fields.get(k) else None
+        return {
+            "record_id": fields.get("warc-record-id"),
+            "type": fields.get("warc-type"),
+            "page_id": number("x-page-id"),
+            "url": uri_of(fields),
+            "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:"),
+            "refers_to": fields.get("warc-refers-to"),
+            "origin": fields.get("warc-segment-origin-id"),
+            "row": fields.get("x-row"),
+            "segment": number("warc-segment-number"),
+            "total": number("warc-segment-total-length"),
+            "block": block,
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, parts, missing = {}, [], 0
+        for batch in batches:
+            out: list[dict] = []
+            for value in batch["value"].to_pylist():
+                if missing > 0:
+                    parts += [border, value]
+                    missing -= len(border) + len(value)
+                else:
+                    top, _, block = value.partition(b"\r\n\r\n")
+                    if not top.strip():
+                        continue
+                    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("utf-8", "replace").split("\r\n"))}
+                    parts, missing = [block], int(fields["content-length"]) - len(block)
+                if missing <= 0:
+                    out.append(parsed(fields, b"".join(parts)[: int(fields["content-length"])]))
+            yield pa.RecordBatch.from_pylist(out, RECORD)
+        if missing > 0:
+            raise ValueError(f"record {fields.get('warc-record-id')} is shorter than declared")
+
+    return run
 
 
 RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin", pa.string()), ("row", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
@@ -192,21 +205,23 @@ def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["record_id"], batch["page_id"], batch["url"], pa.array(out, pa.binary()), pa.array([len(p) for p in out], pa.int64()), pa.array([sha1_base32(p) for p in out], pa.string())], ["record_id", "page_id", "url", "payload", "payload_bytes", "payload_digest"])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives. A block must not hold the border string, as in archives of this writer; a
-    record that is shorter than it declares ends the job."""
-    raw = spark.read.option("lineSep", BORDER).text(path)
-    return raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse_records, RECORD_DDL)
+def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """One row per record of the archives, of this writer or another, of one ``version``. Files compressed record by record or as
+    a whole are read by one task each; others in splits, unless a block holds the border, which this writer keeps out.
+    A record that is shorter than it declares ends the job."""
+    border = f"{version}\r\n"
+    raw = spark.read.option("lineSep", border).text(path)
+    return raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse_records(border.encode()), RECORD_DDL)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of each page in the archives.
 
     Segments are grouped by origin, ordered by number and checked against the total length; chunked framing is decoded
     and the payload checked against its digest. A record's segments meet in one row, as its payload must. Revisits have
     the payload of the response whose record they name; who doesn't select ``payload`` moves none to them. A revisit of a
     record that the archives lack has null payload and refers_to. Archives without records: empty result."""
-    records = read_records(spark, path).filter("type in ('response', 'continuation', 'revisit')")
+    records = read_records(spark, path, version).filter("type in ('response', 'continuation', 'revisit')")
     part = F.struct(F.coalesce("segment", F.lit(1).cast("long")).alias("segment"), "block")
     said = ["page_id", "url", "digest", "total"]
     whole = records.filter("type = 'response' and segment is null").select("record_id", *said, F.array(part).alias("parts"))
