@@ -38,23 +38,40 @@ SIGNS = 8
 _U = np.uint64
 
 
+def set_sums(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each of the n sets."""
+    size = np.bincount(rows, minlength=n)
+    first = np.concatenate([[0], np.cumsum(size)])
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes, k), dtype=_U)]) for k in (11, 12)]
+        s1, s2 = (x[first[1:]] - x[first[:-1]] for x in sums)
+    return size, s1.view(np.int64), s2.view(np.int64)
+
+
 def outlines(shingle: int):
-    """doc_id, fp, text -> doc_id, fp, n (set size), s1, s2 (hash of the set), some (the n-grams of the fixed part)."""
+    """doc_id, fp, text -> doc_id, fp, n (set size), s1, s2 (hash of the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sums = set_sums(*shingle_sets(batch["text"], shingle), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["fp"], *map(pa.array, sums)], ["doc_id", "fp", "n", "s1", "s2"])
+
+    return run
+
+
+def fixed_part(shingle: int):
+    """text -> h, s1: the n-grams of the fixed part, with the hash of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows, hashes = shingle_sets(batch["text"], shingle)
-                n = np.bincount(rows, minlength=batch.num_rows)
-                first = np.concatenate([[0], np.cumsum(n)])
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes, k), dtype=_U)]) for k in (11, 12)]
-                    s1, s2 = (x[first[1:]] - x[first[:-1]] for x in sums)
+                _, s1, _ = set_sums(rows, hashes, batch.num_rows)
                 part = mix(hashes, 77) % _U(PART) == 0
-                ends = np.searchsorted(rows[part], np.arange(batch.num_rows + 1)).astype(np.int32)
-                some = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[part].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["fp"], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), some], ["doc_id", "fp", "n", "s1", "s2", "some"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(s1[rows[part]])], ["h", "s1"])
 
     return run
 
@@ -130,18 +147,19 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     ws = Workspace(docs.sparkSession, "join")
     kind, text = dict(docs.dtypes)["doc_id"], F.col("text").cast("string")
     df = docs.select("doc_id", F.xxhash64(text).alias("fp"), text.alias("text"))
-    rows = ws.write(df.mapInArrow(outlines(shingle), f"doc_id {kind}, fp long, n long, s1 long, s2 long, some array<long>"), "outlines")
+    rows = ws.write(df.mapInArrow(outlines(shingle), f"doc_id {kind}, fp long, n long, s1 long, s2 long"), "outlines")
     # classes of equal sets, numbered in the order of their least doc_id, so that a least number has a least doc_id
     same = ["s1", "s2", "n"]
     classes = rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("first"), F.min_by("fp", "doc_id").alias("fp"))
     classes = in_order(ws, classes, ["first", "s1", "s2"], "classes", "cls")
-    members = ws.write(rows.drop("some").join(classes.select(*same, "cls"), same, "left"), "members")
+    members = ws.write(rows.join(classes.select(*same, "cls"), same, "left"), "members")
     own = classes.withColumnRenamed("first", "doc_id")
-    reps = rows.join(own, ["doc_id", "fp", *same]).dropDuplicates(["cls"]).select("cls", F.explode("some").alias("h"))
-    alone = reps.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("cls").alias("cls")).filter("f = 1")
-    alone = ws.write(alone.groupBy("cls").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    # n-grams of one set alone: copies have the same hash of their set
+    part = df.filter("doc_id is not null").select("text").mapInArrow(fixed_part(shingle), "h long, s1 long")
+    alone = part.groupBy("h").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).filter("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
+    alone = ws.write(alone, "alone")
     ws.drop(rows)
-    hopeful = ws.write(own.join(alone, "cls", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("cls", "doc_id", "fp", "n"), "hopeful")
+    hopeful = ws.write(own.join(alone, "s1", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("cls", "doc_id", "fp", "n"), "hopeful")
     sets = ws.write(df.join(hopeful.drop("n"), ["doc_id", "fp"]).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(whole_sets(shingle), "cls long, items array<long>"), "sets")
     items = sets.select("cls", F.explode("items").alias("h"))
     # written, so that an n-gram of very many sets is dealt among several tasks
