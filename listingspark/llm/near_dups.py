@@ -220,5 +220,5 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 7
     named = labels.join(classes.select(F.col("cls").alias("label"), F.col("first").alias("component")), "label").select(F.col("node").alias("cls"), "component")
     alone = classes.select("cls", F.col("first").alias("own"))
     out = members.join(alone.join(named, "cls", "left"), "cls", "left")
-    component = F.coalesce("component", "own", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "own", "doc_id"))
     return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -400,6 +400,13 @@ def test_near_odd(odd):
     assert near_dups.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_null_ids_are_in_no_group(spark):
+    """Also where a text of theirs is in a group."""
+    w = " ".join(f"w{k}" for k in range(40))
+    out = near_dups.near_duplicates(spark.createDataFrame([(None, w), (5, w), (6, w + " z"), (None, w + " z y")], "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in out.collect()), key=str) == [(5, 5, True), (6, 5, False), (None, None, True), (None, None, True)]
+
+
 def test_near_one_id_with_two_texts(spark):
     """Rows of one doc_id are linked by their own texts."""
     w, v = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
