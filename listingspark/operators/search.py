@@ -42,7 +42,9 @@ def predicate(**criteria) -> Column:
     if "include_duplicates" not in v:
         parts.append(c("rang_doublon") == 1)
     if "q" in v:
-        parts.append(reduce(lambda a, b: a | b, [F.coalesce(c(x).ilike(f"%{v['q']}%"), F.lit(False)) for x in ("titre", "description", "ville")]))
+        # a backslash stands for itself
+        like = "%" + v["q"].replace("\\", "\\\\") + "%"
+        parts.append(reduce(lambda a, b: a | b, [F.coalesce(c(x).ilike(like), F.lit(False)) for x in ("titre", "description", "ville")]))
     for name, column in LISTS.items():
         if name in v:
             parts.append(c(column).isin(*([v[name]] if isinstance(v[name], str) else v[name])))
