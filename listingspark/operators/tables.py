@@ -80,6 +80,17 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], policy: dict
     return a.join(b, keys, "full_outer").select(*keys, *[value(c).alias(c) for c in columns])
 
 
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], values: dict[str, Column], order: list[Column] | None = None) -> DataFrame:
+    """A new snapshot of ``target`` in which rows with a row of ``source`` have the values: expressions of the target's columns and
+    of the source's, whose names have ``new_`` before them. order: which of a key's rows in source counts; without it
+    keys must be unique there, or the target's rows are doubled. Other rows, and null keys, stay as they are."""
+    one = source if order is None else latest_per_key(source, keys, order)
+    more = [c for c in source.columns if c not in keys]
+    both = target.join(one.select(*keys, *[F.col(c).alias(f"new_{c}") for c in more], F.lit(True).alias("_met")), keys, "left")
+    updated = {c: F.when(F.col("_met"), v.cast(target.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c, v in values.items()}
+    return both.select(*[updated.get(c, F.col(c)) for c in target.columns])
+
+
 def apply_policy(df: DataFrame, drop: Column) -> DataFrame:
     """Rows that ``drop`` is not true for."""
     return df.filter(~F.coalesce(drop, F.lit(False)))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import percolator
+from ..operators import comparables, percolator, sketches, upkeep
+from ..operators.tables import update_from as updated
+from ..sources import buckets
 from .adverts import DEALS, FOLDED_CITY, deals
-from .catalogue import query, table
+from .catalogue import AS_OF, LINES, NEAR, OBS, lines, observations, pool, query, subjects, table
+from .shared import Workspace
 
 c, lit = F.col, F.lit
 
@@ -56,3 +59,91 @@ def percolator_counts(spark, sf):
 SELECT search, external_id FROM pair JOIN f USING (source) WHERE {RECENT.format(at="(TIMESTAMP '2001-05-01' + (search % 3)::INTEGER * INTERVAL 1 MONTH)")}""")
 def percolator_alerts(spark, sf):
     return percolator.percolator_alerts(deals(spark, sf), customers_searches(spark, sf), keep=["external_id"])
+
+
+# --- comparables kept up ---------------------------------------------------------------------------------------------
+
+BATCHES = 3
+
+
+def search_near(asked, offered):
+    """The search of ``comparables_topk``."""
+    distance = F.abs(F.ln(c("v_size") / c("size"))) * 4.0 + F.when(c("nation") == c("v_nation"), 0.0).otherwise(0.35) + F.datediff(lit(AS_OF).cast("date"), "v_day") / 365.25 * 0.08
+    return comparables.nearest(asked, offered, subject_key=["id"], pool_key=["v_id"], on=[([("p_brand", "v_p_brand"), ("p_type", "v_p_type")], None)], where=c("id") != c("v_id"), distance=distance, k=15, band=("size", "v_size", 0.8, 1.2, 0.05))
+
+
+@query(f"""{NEAR}, upto AS (SELECT near.*, v_id % {BATCHES} AS batch, b FROM near, (SELECT unnest(range({BATCHES})) AS b) WHERE v_id % {BATCHES} <= b
+), first AS (SELECT * FROM upto QUALIFY row_number() OVER (PARTITION BY id, b ORDER BY distance, v_id) <= 15
+), touched AS (SELECT id, count(DISTINCT b) AS touched FROM first WHERE batch = b GROUP BY id)
+SELECT id, v_id, rank, round(distance, 6) AS distance, touched::INTEGER AS touched FROM ranked JOIN touched USING (id)""")
+def comparables_in_batches(spark, sf):
+    """The pool comes in three batches; the result is that of one search in all, with how many batches changed a subject."""
+    ws, obs = Workspace(spark, "batches"), observations(spark, sf)
+    asked, offered = ws.write(subjects(obs), "subjects"), ws.write(pool(obs), "pool")
+    kept = None
+    for b in range(BATCHES):
+        batch = offered.filter(c("v_id") % BATCHES == b)
+        kept = ws.write(upkeep.first_nearest(asked, batch, search_near) if kept is None else upkeep.add_to_nearest(kept, asked, batch, search_near, subject_key=["id"], pool_key=["v_id"], k=15), "kept")
+    return kept.select("id", "v_id", "rank", F.round("distance", 6).alias("distance"), "touched")
+
+
+@query(f"""{NEAR}, stays AS (SELECT * FROM near WHERE v_id % 7 <> 3
+), again AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, v_id) AS r FROM stays
+), hit AS (SELECT DISTINCT id FROM ranked WHERE v_id % 7 = 3)
+SELECT id, v_id, r AS rank, round(distance, 6) AS distance, CASE WHEN hit.id IS NULL THEN 1 ELSE 2 END AS touched FROM again LEFT JOIN hit USING (id) WHERE r <= 15""")
+def comparables_without_gone(spark, sf):
+    """A seventh of the sales are taken back: subjects that held one of them are searched again."""
+    ws, obs = Workspace(spark, "gone"), observations(spark, sf)
+    asked, offered = ws.write(subjects(obs), "subjects"), ws.write(pool(obs), "pool")
+    kept = ws.write(upkeep.first_nearest(asked, offered, search_near), "kept")
+    out = upkeep.drop_from_nearest(kept, asked, offered, offered.filter("v_id % 7 = 3"), search_near, subject_key=["id"], pool_key=["v_id"])
+    return out.select("id", "v_id", "rank", F.round("distance", 6).alias("distance"), "touched")
+
+
+# --- tables merged in part -------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS first_order, sum(o_totalprice) AS total FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1
+), b AS (SELECT o_custkey AS k, max(o_orderkey) AS first_order, CASE WHEN o_custkey % 2 = 0 THEN sum(o_totalprice) END AS total FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey % 5 = 0 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.first_order, b.first_order) AS first_order, round(coalesce(b.total, a.total), 2) AS total FROM a FULL JOIN b ON a.k = b.k""")
+def merge_in_buckets(spark, sf):
+    """A table in buckets, a batch upserted into those it touches (the first order is kept, a null total too), read again."""
+    orders, path = table(spark, sf, "orders"), f"{Workspace(spark, 'buckets').path}/customers"
+    by = lambda d: d.groupBy(c("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("first_order"), F.sum("o_totalprice").alias("total"))
+    buckets.merge_buckets(spark, path, by(orders.filter("o_orderkey % 3 = 0")), ["k"], 16)
+    batch = by(orders.filter("o_orderkey % 3 = 1 and o_custkey % 5 = 0")).withColumn("total", F.when(c("k") % 2 == 0, c("total")))
+    buckets.merge_buckets(spark, path, batch, ["k"], 16, {"first_order": "insert", "total": "keep"})
+    return buckets.read_buckets(spark, path).select("k", "first_order", F.round("total", 2).alias("total"))
+
+
+@query(f"""WITH {LINES}, r AS (SELECT * FROM line WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber) = 1)
+SELECT o_orderkey, o_custkey, CASE WHEN l_orderkey IS NULL THEN o_orderstatus ELSE 'R' END AS o_orderstatus, round(CASE WHEN l_orderkey IS NULL THEN o_totalprice ELSE o_totalprice - l_extendedprice END, 2) AS o_totalprice FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
+def update_from(spark, sf):
+    """Orders updated from the last of their lines that came back."""
+    back = lines(spark, sf).filter("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate", "l_extendedprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    out = updated(orders, back, ["o_orderkey"], {"o_orderstatus": lit("R"), "o_totalprice": c("o_totalprice") - c("new_l_extendedprice")}, [F.desc("l_shipdate"), F.asc("l_linenumber")])
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+# --- references from sketches ----------------------------------------------------------------------------------------
+
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+SPAN = 36
+
+
+@query(f"""WITH {OBS}, w AS (SELECT * FROM obs WHERE day >= DATE '{AS_OF}'::DATE - INTERVAL {SPAN} MONTH AND day < date_trunc('month', DATE '{AS_OF}') AND (year(day) * 12 + month(day)) >= year(DATE '{AS_OF}') * 12 + month(DATE '{AS_OF}') - {SPAN})
+SELECT p_brand, count(*) AS n, round(avg(price), 2) AS mean, min(price) AS least, max(price) AS most, {", ".join(f"true AS ok{i}" for i in range(len(PROBS)))}, true AS ok_nation FROM w GROUP BY p_brand""")
+def sketched_reference(spark, sf):
+    """Sketches by brand and month, written for the years up to one, then for the rest, and merged over three years: the ranks
+    of their quantiles are within 1 % of those asked for, numbers of nations within 5 %."""
+    obs, path = observations(spark, sf), f"{Workspace(spark, 'sketches').path}/months"
+    last = int(AS_OF[:4]) * 12 + int(AS_OF[5:7]) - 1
+    for months in (range(last - 240, last - 12), range(last - 12, last + 1)):
+        sketches.add_months(spark, path, obs, ["p_brand"], "price", "day", months, ["nation"])
+    got = sketches.merged_reference(spark.read.parquet(path), ["p_brand"], lit(AS_OF).cast("date"), SPAN, PROBS)
+    window = obs.withColumn("m", sketches.month_of(c("day"))).filter(c("m").between(last - SPAN, last - 1))
+    ranks = [F.count_if(c("price") < c("q")[i]).alias(f"below{i}") for i in range(len(PROBS))] + [F.count_if(c("price") <= c("q")[i]).alias(f"upto{i}") for i in range(len(PROBS))]
+    seen = window.join(got.select("p_brand", "q"), "p_brand").groupBy("p_brand").agg(*ranks, F.count_distinct("nation").alias("nations"))
+    ok = [((c(f"below{i}") <= (p + 0.01) * c("n")) & (c(f"upto{i}") >= (p - 0.01) * c("n"))).alias(f"ok{i}") for i, p in enumerate(PROBS)]
+    return got.join(seen, "p_brand").select("p_brand", "n", F.round("mean", 2).alias("mean"), "least", "most", *ok, (F.abs(c("n_nation") - c("nations")) <= 0.05 * c("nations")).alias("ok_nation"))
