@@ -150,7 +150,8 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     rows = ws.write(df.mapInArrow(outlines(shingle), f"doc_id {kind}, fp long, n long, s1 long, s2 long"), "outlines")
     # classes of equal sets, numbered in the order of their least doc_id, so that a least number has a least doc_id
     same = ["s1", "s2", "n"]
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("first"), F.min_by("fp", "doc_id").alias("fp"))
+    texts = rows.filter("n > 0 and doc_id is not null").groupBy(*same, "doc_id", "fp").agg(F.count(F.lit(1)).alias("times"))
+    classes = texts.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min_by(F.struct("fp", "times"), "doc_id").alias("t")).select(*same, "first", "t.*")
     classes = in_order(ws, classes, ["first", "s1", "s2"], "classes", "cls")
     members = ws.write(rows.join(classes.select(*same, "cls"), same, "left"), "members")
     own = classes.withColumnRenamed("first", "doc_id")
@@ -159,8 +160,13 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     alone = part.groupBy("h").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).filter("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
     alone = ws.write(alone, "alone")
     ws.drop(rows)
-    hopeful = ws.write(own.join(alone, "s1", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("cls", "doc_id", "fp", "n"), "hopeful")
-    sets = ws.write(df.join(hopeful.drop("n"), ["doc_id", "fp"]).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(whole_sets(shingle), "cls long, items array<long>"), "sets")
+    hopeful = ws.write(own.join(alone, "s1", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("cls", "doc_id", "fp", "n", "times"), "hopeful")
+    # one text of each class; only rows that are repeated have to be brought together for that
+    named = lambda p: df.join(hopeful.filter(p).select("cls", "doc_id", "fp"), ["doc_id", "fp"]).select("cls", "text")
+    one = named("times = 1")
+    if hopeful.filter("times > 1").limit(1).count():
+        one = one.unionByName(named("times > 1").dropDuplicates(["cls"]))
+    sets = ws.write(one.mapInArrow(whole_sets(shingle), "cls long, items array<long>"), "sets")
     items = sets.select("cls", F.explode("items").alias("h"))
     # written, so that an n-gram of very many sets is dealt among several tasks
     often = ws.write(items.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequencies")
@@ -169,6 +175,14 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     ws.drop(often)
     lists = ws.write(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("h"), "lists")
     hits = ws.write(postings.join(lists, "h"), "hits")
+    compared = ws.write(sets.join(hits.select("cls").distinct(), "cls", "left_semi"), "compared")
+    ws.drop(postings, sets)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough; sets of no pair stay where they are."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        return confirmed(pairs, compared.join(ends, "cls", "left_semi"), percent)
+
     labels, links, done = None, None, None
     free = hits.select("h", "cls", "n", F.col("cls").alias("label"), F.lit(True).alias("out"))
     for _ in range(stars):
@@ -183,7 +197,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
         pairs = met.select(F.least("cls", "star").alias("a"), F.greatest("cls", "star").alias("b")).distinct()
         pairs = ws.write(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        found = ws.write(confirmed(pairs, sets, percent), "links")
+        found = ws.write(verified(pairs), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(ws, links)
         starred = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
@@ -202,7 +216,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
         met = x.join(y, on & long_enough(F.col("x.n"), F.col("y.n"), percent) & may_be_similar("x", "y", percent))
         pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         pairs = ws.write(pairs.join(done, ["a", "b"], "left_anti"), "rest")
-        more = ws.write(confirmed(pairs, sets, percent), "more")
+        more = ws.write(verified(pairs), "more")
         if more.limit(1).count():
             labels = components(ws, links.unionByName(more))
     named = labels.join(classes.select(F.col("cls").alias("label"), F.col("first").alias("component")), "label").select(F.col("node").alias("cls"), "component")
