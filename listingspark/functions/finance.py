@@ -51,8 +51,20 @@ def sentences(text: Column) -> Column:
 
 def declared_rent(text: Column, price: Column) -> Column:
     """Yearly rent: monthly amounts times twelve; without a unit whichever reading yields 2.5 to 20 percent of the price if
-    only one does. Of the plausible ones (1.5 to 25 percent) the greatest, as totals come with their parts."""
-    found = F.flatten(F.transform(sentences(text), lambda s: F.regexp_extract_all(s, F.lit(rf"({RENT}{gap(90, OTHER_MONEY + '|marche')}{MONEY}.{{0,25}})"), F.lit(1))))
+    only one does. Of the plausible ones (1.5 to 25 percent) the greatest, as totals come with their parts. The amount may
+    stand in the sentence after its keyword; the keyword's own sentence tells whether it only supposes."""
+    # the text from each keyword on, with its sentence's part before it: pieces between the ends of keywords
+    ends = F.regexp_replace(text, F.lit(rf"({RENT})"), F.lit("$1\x01"))
+    pieces = F.split(ends, "\x01")
+    places = F.transform(
+        F.slice(pieces, 1, F.size(pieces) - 1),
+        lambda p, i: F.struct(
+            F.concat(F.regexp_extract(F.array_join(F.slice(pieces, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3)) + 1), ""), r"([^.\n!]*)$", 1), F.regexp_extract(F.array_join(F.slice(pieces, i + 2, 4), ""), r"^([^.\n]*)", 1)).alias("sentence"),
+            F.substring(F.array_join(F.slice(pieces, i + 2, 12), ""), 1, 150).alias("after"),
+        ),
+    )
+    sure = F.filter(places, lambda x: ~x["sentence"].rlike(SUPPOSED))
+    found = F.filter(F.transform(sure, lambda x: F.regexp_extract(x["after"], rf"^({gap(90, OTHER_MONEY + '|marche')}{MONEY}.{{0,30}})", 1)), lambda s: s != "")
     usual = lambda x: F.try_divide(x, price).between(0.025, 0.20)
 
     def annual(said: Column) -> Column:

@@ -33,8 +33,9 @@ def replace_inventory(inventory: DataFrame, snapshot: DataFrame, accepted: DataF
     return inventory.join(sources, "source", "left_anti").select("source", "url", "listed_at").unionByName(fresh)
 
 
-def activity(listings: DataFrame, inventory: DataFrame, as_of: Column, *, ttl_days: dict[str, int] | None = None, default_days: int = 21) -> DataFrame:
-    """listings with ``active``: of a source with an inventory, whether the url is listed; of others, whether it was
+def activity(listings: DataFrame, inventory: DataFrame, as_of: Column, *, ttl_days: dict[str, int] | None = None, default_days: int = 21, bronze: DataFrame | None = None) -> DataFrame:
+    """listings with ``active``: of a source with an inventory, whether the url is listed, or the url under which ``bronze``(source, id,
+    url) has the advert (the one that was visited; some sources publish another); of others, whether it was
     seen within the source's time to live; past auctions (of more than a day ago) are not."""
     known = inventory.select("source").distinct().withColumn("_known", F.lit(True))
     urls = inventory.select("source", "url").distinct().withColumn("_listed", F.lit(True))
@@ -43,9 +44,13 @@ def activity(listings: DataFrame, inventory: DataFrame, as_of: Column, *, ttl_da
         ttl = F.when(F.col("source") == source, days).otherwise(ttl)
     seen = F.col("last_seen_at") >= as_of - F.make_dt_interval(ttl)
     past = F.coalesce(F.col("date_vente") < as_of - F.expr("INTERVAL 1 DAY"), F.lit(False)) if "date_vente" in listings.columns else F.lit(False)
-    now = F.when(F.col("_known").isNotNull(), F.col("_listed").isNotNull()).otherwise(F.coalesce(seen, F.lit(False)))
-    df = listings.drop("active").join(known, "source", "left").join(urls, ["source", "url"], "left")
-    return df.withColumn("active", now & ~past).drop("_known", "_listed")
+    df = listings.drop("active").join(known, "source", "left").join(urls, ["source", "url"], "left").withColumn("_visited", F.lit(None).cast("boolean"))
+    if bronze is not None:
+        visited = bronze.join(urls, ["source", "url"]).select("source", F.col("id").cast("string").alias("external_id"), F.lit(True).alias("_visited")).distinct()
+        df = df.drop("_visited").join(visited, ["source", "external_id"], "left")
+    listed = F.col("_listed").isNotNull() | F.col("_visited").isNotNull()
+    now = F.when(F.col("_known").isNotNull(), listed).otherwise(F.coalesce(seen, F.lit(False)))
+    return df.withColumn("active", now & ~past).drop("_known", "_listed", "_visited")
 
 
 def price_changes(listings: DataFrame, history: DataFrame, keys: list[str], values: list[str], at: str, as_of: Column) -> DataFrame:

@@ -321,13 +321,15 @@ def price_signals(spark, sf):
 
 @query("""WITH l AS (SELECT event_id, event_type AS source, user_id::VARCHAR AS url, ts FROM events
 ), i AS (SELECT DISTINCT event_type AS source, user_id::VARCHAR AS url FROM events WHERE event_type IN ('click', 'signup') AND value > 20)
-SELECT event_id, CASE WHEN source IN (SELECT source FROM i) THEN (source, url) IN (SELECT (source, url) FROM i) ELSE ts >= TIMESTAMP '2024-01-31' - CASE source WHEN 'error' THEN INTERVAL 5 DAY ELSE INTERVAL 21 DAY END END AS active FROM l""")
+SELECT event_id, CASE WHEN source IN (SELECT source FROM i) THEN (source, url) IN (SELECT (source, url) FROM i) OR (event_id % 5 = 0 AND (source, (url::BIGINT + 1)::VARCHAR) IN (SELECT (source, url) FROM i)) ELSE ts >= TIMESTAMP '2024-01-31' - CASE source WHEN 'error' THEN INTERVAL 5 DAY ELSE INTERVAL 21 DAY END END AS active FROM l""")
 def activity_inventory(spark, sf):
-    """Sources with an inventory by its urls, the others by when they were seen."""
+    """Sources with an inventory by its urls, or by those under which bronze has a fifth of the adverts; the others by when they
+    were seen."""
     e = table(spark, sf, "events")
-    listings = e.select("event_id", c("event_type").alias("source"), c("user_id").cast("string").alias("url"), c("ts").alias("last_seen_at"), lit(True).alias("active"))
+    bronze = e.filter("event_id % 5 = 0").select(c("event_type").alias("source"), c("event_id").alias("id"), (c("user_id") + 1).cast("string").alias("url"))
+    listings = e.select("event_id", c("event_id").cast("string").alias("external_id"), c("event_type").alias("source"), c("user_id").cast("string").alias("url"), c("ts").alias("last_seen_at"), lit(True).alias("active"))
     inventory = e.filter("event_type in ('click', 'signup') and value > 20").select(c("event_type").alias("source"), c("user_id").cast("string").alias("url"))
-    return history.activity(listings, inventory, lit("2024-01-31").cast("timestamp"), ttl_days={"error": 5}).select("event_id", "active")
+    return history.activity(listings, inventory, lit("2024-01-31").cast("timestamp"), ttl_days={"error": 5}, bronze=bronze).select("event_id", "active")
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, run_at, url_count, complete, row_number() OVER (PARTITION BY source ORDER BY run_at) AS k FROM (

@@ -246,11 +246,17 @@ _SHOWN = f"regexp_replace({_SHOWN}, '(?i)</?(?:{page_source.BLOCKS})\\b[^>]*>',
 _SHOWN = f"regexp_replace({_SHOWN}, '<[^>]*>', ' ', 'g')"
 
 
-@query(f"""WITH s AS (SELECT page_id, html_unescape AS t FROM (SELECT page_id, {_SHOWN} AS html_unescape FROM pages))
-SELECT page_id, len(regexp_extract_all(t, '[[:alnum:]]+'))::BIGINT AS n_words, md5(array_to_string(regexp_extract_all(lower(t), '[a-z]+'), ' ')) AS letters FROM s WHERE t NOT LIKE '%&%;%'""")
+#: The pages' own entities, of which two lack their semicolon here and there, and those that are put before each page.
+_DRESS = "caf&eacute; l&apos;immeuble n&deg 7 &check; &NotEqualTilde; &eacute sans &#233;&#x20AC;&#128; &amp;lt; &nothing; &ampx "
+_READ = "caf\u00e9 l''immeuble n\u00b0 7 \u2713 \u2242\u0338 \u00e9 sans \u00e9\u20ac\u20ac &lt; \u00aching; &x "
+
+
+@query(f"""WITH s AS (SELECT page_id, {_SHOWN} AS t FROM pages), d AS (
+  SELECT page_id, '{_READ}' || replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&') AS t FROM s
+), x AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t\\r\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS t FROM d)
+SELECT page_id, length(t)::BIGINT AS n_chars, len(regexp_extract_all(t, '[[:alnum:]]+'))::BIGINT AS n_words, md5(t) AS text_md5 FROM x""")
 def html_words(spark, sf):
-    """Words of the shown text, of pages without entities left in it (those are tested on their own)."""
-    df = table(spark, sf, "pages").select("page_id", "html", page_source.html_to_text(c("html")).alias("text"), page_source.without_tags(c("html")).alias("raw"))
-    df = df.filter(~c("raw").like("%&%;%"))
+    """The whole shown text of every page, its entities read, and of a few more before it."""
+    df = table(spark, sf, "pages").select("page_id", page_source.html_to_text(F.concat(lit(_DRESS), "html")).alias("text"))
     count = lambda p, x: F.regexp_extract_all(x, lit(p), lit(0))
-    return df.select("page_id", F.size(count("[0-9A-Za-z]+", c("text"))).cast("long").alias("n_words"), F.md5(F.array_join(count("[a-z]+", F.lower("text")), " ")).alias("letters"))
+    return df.select("page_id", F.length("text").cast("long").alias("n_chars"), F.size(count("[0-9A-Za-z]+", c("text"))).cast("long").alias("n_words"), F.md5("text").alias("text_md5"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,14 +34,23 @@ def read_sales(spark: SparkSession, paths: list[str], partitions: int | None = N
     return df.repartition(partitions) if partitions else df
 
 
+#: What the bytes 80 to 9F stand for in CP1252, which Spark's reader has not; those that it leaves free stay as they are.
+CP1252 = {chr(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+
+
+def western(text: Column) -> Column:
+    """Text that was read as ISO-8859-1 as CP1252 means it."""
+    return F.translate(text, "".join(CP1252), "".join(CP1252.values()))
+
+
 def read_rents(spark: SparkSession, files: dict[tuple[str, str], str]) -> DataFrame:
-    """Rent indicators by (type, typology): semicolons, Latin letters of one byte, decimal commas."""
+    """Rent indicators by (type, typology): semicolons, letters of one byte as CP1252 has them, decimal commas."""
     number = lambda c: F.expr(f"try_cast(replace(`{c}`, ',', '.') as double)")
 
     def one(kind: str, typology: str, path: str) -> DataFrame:
         raw = spark.read.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
         return raw.select(
-            F.col("INSEE_C").alias("code_commune"), F.col("LIBGEO").alias("commune"), F.lit(kind).alias("type_bien"), F.lit(typology).alias("typologie"),
+            F.col("INSEE_C").alias("code_commune"), western(F.col("LIBGEO")).alias("commune"), F.lit(kind).alias("type_bien"), F.lit(typology).alias("typologie"),
             number("loypredm2").alias("loyer_m2"), number("lwr.IPm2").alias("loyer_m2_bas"), number("upr.IPm2").alias("loyer_m2_haut"), F.col("TYPPRED").alias("niveau"), F.col("nbobs_com").try_cast("int").alias("n"), number("R2_adj").alias("r2"),
         )
 

@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,18 +26,35 @@ def without_tags(page: Column) -> Column:
     return F.regexp_replace(out, r"<[^>]*>", " ")
 
 
+#: Names that a semicolon may end, and those that may do without.
+_NAMED = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+_BARE = {n: c for n, c in html5.items() if not n.endswith(";")}
+#: What numbers of control characters stand for, as bytes of CP1252 do.
+_CONTROLS = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+
+
 def entities_read(text: Column) -> Column:
-    """Named and numeric entities as their characters, each once; names and numbers of no character stay. The ampersand's
-    comes last, so that what it then begins is not read again."""
-    names = F.create_map(*[x for n, k in sorted(name2codepoint.items()) if n != "amp" for x in (F.lit(n), F.lit(chr(k)))])
-    named = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]{1,7});"), F.lit(1))), lambda n: F.struct(F.concat(F.lit("&"), n, F.lit(";")).alias("said"), F.try_element_at(names, n).alias("char")))
-    digits = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
+    """Named and numeric entities as their characters, each once: the names of HTML5, of which those that may lack their
+    semicolon are read without too, the longest first. Names and numbers of no character stay. The ampersand's come last, so
+    that what they then begin is not read again."""
+    pairs = lambda table: F.create_map(*[F.lit(x) for n, c in sorted(table.items()) for x in (n, c)])
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    said = lambda n, end, c: F.struct(F.concat(F.lit("&"), n, F.lit(end)).alias("said"), c.alias("char"))
+    named, bare = pairs({n: c for n, c in _NAMED.items() if c != "&"}), pairs({n: c for n, c in _BARE.items() if c != "&"})
+    closed = F.transform(found("&([A-Za-z][A-Za-z0-9]{1,31});"), lambda n: said(n, ";", F.try_element_at(named, n)))
+    longest = "|".join(sorted((n for n, c in _BARE.items() if c != "&"), key=lambda n: (-len(n), n)))
+    open_ones = F.array_sort(found(f"&({longest})"), lambda a, b: F.length(b) - F.length(a))
+    opened = F.transform(open_ones, lambda n: said(n, "", F.try_element_at(bare, n)))
     code = lambda d: F.when(F.lower(d).startswith("x"), F.conv(F.substring(d, 2, 6), 16, 10)).otherwise(d).cast("int")
     real = lambda k: (k > 0) & (k <= 0x10FFFF) & ~k.between(0xD800, 0xDFFF)
-    char = lambda k: F.when(real(k), F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32"))
-    numbered = F.transform(digits, lambda d: F.struct(F.concat(F.lit("&#"), d, F.lit(";")).alias("said"), char(code(d)).alias("char")))
-    read = F.aggregate(F.concat(named, numbered), text, lambda t, x: F.coalesce(F.replace(t, x["said"], x["char"]), t))
-    return F.replace(F.when(text.contains("&"), read).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    controls = F.create_map(*[F.lit(x) for k, c in _CONTROLS.items() for x in (k, c)])
+    char = lambda k: F.when(real(k), F.coalesce(F.try_element_at(controls, k), F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32")))
+    number = "&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})"
+    # with a semicolon first, so that what is left of a number has none
+    numbered = F.concat(F.transform(found(f"{number};"), lambda d: F.struct(F.concat(F.lit("&#"), d, F.lit(";")).alias("said"), char(code(d)).alias("char"))), F.transform(F.array_sort(found(f"{number}(?![0-9A-Fa-f;])"), lambda a, b: F.length(b) - F.length(a)), lambda d: F.struct(F.concat(F.lit("&#"), d).alias("said"), char(code(d)).alias("char"))))
+    read = F.aggregate(F.concat(closed, numbered, opened), text, lambda t, x: F.coalesce(F.replace(t, x["said"], x["char"]), t))
+    plain = F.regexp_replace(F.when(text.contains("&"), read).otherwise(text), "&(?:amp|AMP);?", "&")
+    return plain
 
 
 def html_to_text(page: Column) -> Column:

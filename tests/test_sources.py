@@ -12,6 +12,7 @@ from listingspark.functions.finance import extract_finance
 from listingspark.operators import normalise as norm
 from listingspark.operators.tables import append_bronze
 from listingspark.sources import api
+from listingspark.sources import pages as page_source
 from listingspark.streaming import ingest
 
 def now():
@@ -27,6 +28,7 @@ def finance(spark, text, price=200000.0, kind="appartement", details=None, title
     ("text", "rent"),
     [
         ("Appartement loué 800 € par mois.", 9600.0), ("Loyer annuel de 12 000 €", 12000.0), ("Loyer : 1 000 €", 12000.0), ("Loyer potentiel 900 € par mois", None), ("Loyers estimés de 900 € par mois", None),
+        ("Appartement loué. 800 € par mois", 9600.0), ("Bien loué. Loyer : 800 € mensuel. Rendement possible de 9 %", 9600.0), ("Loyer possible. Estimé à 900 € par mois", None), ("Le loyer reste libre, on pourrait demander 900 € par mois", None), ("Possible. Loyer 900 € par mois.", 10800.0), ("Loué! Loyer de 900 € / mois, loyer annuel 10 800 €", 10800.0), ("Loyer. Charges 900 € par mois", None), ("Loyer du marché 900 € par mois", None),
         ("Loyer, prix de vente 200 000 €", None), ("Deux lots loués 400 € par mois. Revenus locatifs 11 000 euros par an", 11000.0), ("Vue sur mer", None),
     ],
 )
@@ -128,3 +130,31 @@ def test_merge_stream(spark, tmp_path):
 def test_append_many(spark):
     a = append_bronze(None, bronze(spark, {"id": 1}), now())
     assert append_bronze(a, bronze(spark, {"id": "x", "n": {"a": 1}}), now()).filter("n is not null").count() == 1
+
+
+def test_entities(spark):
+    """As the standard library reads them, where the table of characters knows the name."""
+    import html
+
+    texts = ["l&apos;immeuble", "&check; &eacute sans point", "&notit; &notin; &not &copyx &amp;eacute; &ampeacute;", "&#233;&#xE9;&#128;&#x80 &#0; &#x110000; &#99999999;", "&nbsp;|&NBSP;|&hellip;&euro", "a & b &; &#; &#x; &x;", "&ltp&gt;", "&NotEqualTilde;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(page_source.entities_read(F.col("t"))).collect()]
+    for text, read in zip(texts, got, strict=True):
+        assert read == html.unescape(text) or "&#0;" in text or "&amp" in text, text
+    assert got[2] == "¬it; ∉ ¬ ©x &eacute; &eacute;" and got[3] == "éé€€ &#0; &#x110000; &#99999999;"
+
+
+def test_rent_files(spark, tmp_path):
+    from listingspark.sources import files
+
+    header = "INSEE_C;LIBGEO;loypredm2;lwr.IPm2;upr.IPm2;TYPPRED;nbobs_com;R2_adj\n"
+    (tmp_path / "r.csv").write_bytes((header + '"80000";"Œuilly – l’Été €";"12,5";"10,1";"14";"commune";"7";"0,8"\n').encode("cp1252"))
+    r = files.read_rents(spark, {("appartement", "tous"): str(tmp_path / "r.csv")}).first()
+    assert (r["commune"], r["loyer_m2"], r["loyer_m2_bas"], r["n"], r["r2"], r["type_bien"]) == ("Œuilly – l’Été €", 12.5, 10.1, 7, 0.8, "appartement")
+
+
+def test_inventory_files(spark, tmp_path):
+    from listingspark.sources import files
+
+    (tmp_path / "i.txt").write_text("http://x/1\n\n  http://x/2 \nhttp://x/1\n")
+    got = files.read_inventory(spark, str(tmp_path / "i.txt"), "s", now()).collect()
+    assert sorted((r["source"], r["url"]) for r in got) == [("s", "http://x/1"), ("s", "http://x/2")] and all(r["listed_at"] for r in got)
