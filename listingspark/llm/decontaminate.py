@@ -195,7 +195,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, share: float = 0
     ranked = terms.join(often, "term", "left").fillna(0, ["f"]).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("f", "term")))
     anchors = ranked.filter("rank <= total - need + 1 and f > 0").select("item_id", "term")
     pairs = used.join(anchors, "term").select(*KEY, "item_id").distinct()
-    said = used.join(terms, "term").join(pairs, [*KEY, "item_id"]).groupBy(*KEY, "item_id", "need", "span").agg(F.collect_list(F.struct("pos", "term")).alias("postings"), F.count_distinct("term").alias("have"))
+    # a pair's terms first, then their postings in its document, so that a frequent term's postings meet no other item
+    said = pairs.join(terms.drop("total"), "item_id").join(used, [*KEY, "term"]).groupBy(*KEY, "item_id", "need", "span").agg(F.collect_list(F.struct("pos", "term")).alias("postings"), F.count_distinct("term").alias("have"))
     found = said.filter("have >= need").drop("have").mapInArrow(densest, f"k {id_kind}, fp long, item_id {kind}, place long, found long")
     return found.select(F.col("k").alias("doc_id"), "item_id", "place", "found")
 
