@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comparables, percolator, sketches, upkeep
+from ..operators import comparables, percolator, sketches, text_index, upkeep
 from ..operators.tables import update_from as updated
 from ..sources import buckets
 from .adverts import DEALS, FOLDED_CITY, deals
@@ -147,3 +147,22 @@ def sketched_reference(spark, sf):
     seen = window.join(got.select("p_brand", "q"), "p_brand").groupBy("p_brand").agg(*ranks, F.count_distinct("nation").alias("nations"))
     ok = [((c(f"below{i}") <= (p + 0.01) * c("n")) & (c(f"upto{i}") >= (p - 0.01) * c("n"))).alias(f"ok{i}") for i, p in enumerate(PROBS)]
     return got.join(seen, "p_brand").select("p_brand", "n", F.round("mean", 2).alias("mean"), "least", "most", *ok, (F.abs(c("n_nation") - c("nations")) <= 0.05 * c("nations")).alias("ok_nation"))
+
+
+# --- substrings ------------------------------------------------------------------------------------------------------
+
+#: Five terms of each benchmark item: stretches of its text, longer ones and one of two characters.
+TERMS = 5
+TERM = "substr(text, 7 * k + 1, case when k = 4 then 2 else 6 + 3 * k end)"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {TERM} AS term FROM benchmark, (SELECT unnest(range({TERMS})) AS k) WHERE {TERM} <> ''), d AS (SELECT doc_id, lower(text) AS low FROM documents)
+SELECT term, doc_id FROM d JOIN t ON contains(low, lower(term))""")
+def substring_search(spark, sf):
+    """Terms from the benchmark in all documents, by an index that is written once and asked twice: terms of two characters and the
+    others."""
+    docs, path = table(spark, sf, "documents"), f"{Workspace(spark, 'trigrams').path}/index"
+    text_index.write_index(docs, path, "doc_id", "text")
+    terms = table(spark, sf, "benchmark").select("text", F.explode(F.sequence(lit(0), lit(TERMS - 1))).alias("k")).select(F.expr(TERM).alias("term"))
+    found = [text_index.find_terms(docs, terms.filter(p), path, "doc_id", "text") for p in ("length(term) <= 2", "length(term) > 2")]
+    return found[0].unionByName(found[1])

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from listingspark.operators import comparables, percolator, search, sketches, tables, upkeep
+from listingspark.operators import comparables, percolator, search, sketches, tables, text_index, upkeep
 from listingspark.plans import adverts
 from listingspark.sources import buckets
 
@@ -160,3 +160,26 @@ def test_sketches_odd(spark):
     assert [(r["k"], r["n"]) for r in months.collect()] == [(None, 1)]
     assert sketches.merged_reference(months, ["k"], F.lit("2020-02-01").cast("date"), 1, [0.5]).first()["q"] == [2.0]
     assert sketches.merged_reference(months.limit(0), ["k"], F.lit("2020-02-01").cast("date"), 1, [0.5]).count() == 0
+
+
+# --- substrings ------------------------------------------------------------------------------------------------------
+
+
+def test_terms_are_found_as_ilike_finds_them(spark, tmp_path):
+    texts = ["Vue sur le LAC", "abcabc", "ab", "a", "", None, "éÉ x\ny z", "tail of ab", "İstanbul", "a\\b_%c", "👍 up 👍👍", "x" * 5000 + "needle"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "another text of key 0"), (None, "lac")], "id long, body string").withColumns({x: F.lit(1) for x in ("gram", "term", "key")})
+    terms = ["lac", "LAC", "le lac", "abc", "bca", "ab", "b", "é", "ÉÉ", "x\ny", "nothing", "xyzabc", "", None, "\\b_", "_%", "👍", "👍 u", "needle", "key 0", "ab", "aaa"]
+    text_index.write_index(df, f"{tmp_path}/i", "id", "body")
+    got = {(r["term"], r["id"]) for r in text_index.find_terms(df, spark.createDataFrame([(t,) for t in terms], "term string"), f"{tmp_path}/i", "id", "body").collect()}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "another text of key 0")]
+    assert got == {(t, i) for t in terms if t for i, x in rows if x is not None and t.lower() in x.lower()}
+    assert text_index.find_terms(df, spark.createDataFrame([], "term string"), f"{tmp_path}/i", "id", "body").count() == 0
+
+
+def test_candidates_are_few(spark, tmp_path):
+    """Texts without a term's rarest trigrams are never searched."""
+    df = spark.createDataFrame([(i, f"common words in all texts {i * 7919 % 997:03d}q") for i in range(400)], "id long, body string")
+    text_index.write_index(df, f"{tmp_path}/i", "id", "body")
+    found = text_index.candidates(spark, f"{tmp_path}/i", spark.createDataFrame([("texts 123q",), ("all texts",)], "term string"))
+    counts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    assert counts.get("texts 123q", 0) <= 2 and counts["all texts"] == 400
