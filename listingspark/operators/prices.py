@@ -128,6 +128,11 @@ def sector_view(sales: DataFrame, where: Column, order: list[Column], n: int) ->
     return sales.filter(where).orderBy(*order).limit(n)
 
 
+def sector_references(references: DataFrame, where: Column, kind: str = "type_local") -> DataFrame:
+    """The reference rows of a sector by type, prices rounded: type, n, q1, median, q3, last_day."""
+    return references.filter(where).select(kind, "n", *[F.round(x).alias(x) for x in ("q1", "median", "q3")], "last_day").orderBy(kind)
+
+
 def rent_reference(rents: DataFrame, sales: DataFrame) -> DataFrame:
     """Rents of communes with the postcode that most of the commune's sales have; rents of 0 or less are left out."""
     from .tables import latest_per_key

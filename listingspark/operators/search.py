@@ -175,17 +175,33 @@ def facet(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def volumes(df: DataFrame) -> DataFrame:
-    """Adverts, their postcodes, the last time one was seen, the highest price and the 99th percentile of the sales' prices."""
-    sale = (c("categorie") == "vente") & (c("prix") > 0)
-    df = df.filter("categorie = 'vente' or type_bien in ('fonds_commerce', 'local_commercial')")
-    price = F.when(sale, c("prix"))
-    return df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("code_postal").alias("postal_codes"), F.max("last_seen_at").alias("last_seen_at"), F.max(price).alias("price_max_observed"), F.percentile(price, F.lit(0.99)).alias("price_p99"))
+#: Adverts that are sales, or of shops and businesses whatever they are.
+SCOPE = "categorie = 'vente' or type_bien in ('fonds_commerce', 'local_commercial')"
+
+
+def volumes(df: DataFrame, references: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Adverts, their postcodes, the last time one was seen, the highest price and the 99th percentile of the sales' prices (of
+    which no task holds all); reference_count (postcodes of ``references``) and latest_run (the last started of ``runs``
+    (source, status, started_at, finished_at, rows_collected), ties by source), null where there are none."""
+    df = df.filter(SCOPE)
+    price = F.when((c("categorie") == "vente") & (c("prix") > 0), c("prix").cast("double"))
+    out = df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("code_postal").alias("postal_codes"), F.max("last_seen_at").alias("last_seen_at"), F.max(price).alias("price_max_observed"))
+    high = spread_quantiles(df.select(F.lit(1).alias("one"), price.alias("price")), ["one"], "price", [0.99]).agg(F.max(c("q")[0]).alias("price_p99"))
+    out = out.join(high, F.lit(True))
+    if references is not None:
+        out = out.join(references.agg(F.count_distinct("code_postal").alias("reference_count")), F.lit(True))
+    if runs is not None:
+        run = F.struct("source", "status", "started_at", "finished_at", "rows_collected")
+        out = out.join(runs.agg(F.max_by(run, F.struct("started_at", "source")).alias("latest_run")), F.lit(True))
+    return out
 
 
 def cities(df: DataFrame, city: str, *, like: str | None = None, top: int = 20, department: str | None = None, postcode: str = "code_postal") -> DataFrame:
-    """Cities by folded name with the spelling to show (one that isn't all capitals if there is one) and their number;
-    the ``top`` most frequent, of a department if one is given."""
+    """Cities by folded name with the spelling to show (one that isn't all capitals if there is one), their least postcode where
+    there are postcodes, and their number; the ``top`` most frequent, of a department if one is given. Adverts that have a
+    category count if they are in ``SCOPE``."""
+    if "categorie" in df.columns:
+        df = df.filter(SCOPE)
     df = df.filter(F.trim(city) != "").withColumn("_name", fold(F.trim(city)))
     if department:
         df = df.filter(c(postcode).startswith(department_prefix(department)))
@@ -193,7 +209,9 @@ def cities(df: DataFrame, city: str, *, like: str | None = None, top: int = 20,
         df = df.filter(c("_name").contains(fold(F.lit(like.strip()))))
     name = F.trim(city)
     shown = F.min(F.struct((name == F.upper(name)).alias("capitals"), name.alias("name")))
-    return df.groupBy("_name").agg(shown.alias("s"), F.count(F.lit(1)).alias("n")).select(c("s.name").alias("city"), "n").orderBy(F.desc("n"), "city").limit(top)
+    least = [F.min(postcode).alias("postal_code")] if postcode in df.columns else []
+    out = df.groupBy("_name").agg(shown.alias("s"), F.count(F.lit(1)).alias("n"), *least)
+    return out.select(c("s.name").alias("city"), *(["postal_code"] if least else []), "n").orderBy(F.desc("n"), "city").limit(top)
 
 
 def new_or_dropped(df: DataFrame, since: Column, *, first_seen: str, last_drop: str) -> Column:
@@ -303,8 +321,38 @@ def feed_deals(df: DataFrame, as_of: Column, *, most: int = 15000) -> DataFrame:
     return feed(rows, [*FEED, "extrait", "image"], score="score_global", key=["source", "external_id"], most=most)
 
 
-def feed_filter(df: DataFrame, *, department: str | None = None, place: str | None = None, q: str | None = None, price_min: float | None = None, price_max: float | None = None, surface_min: float | None = None, surface_max: float | None = None, yield_min: float | None = None, new_days: int | None = None, source: str | None = None, cashflow: bool = False, real_rent: bool = False, drop: bool = False, excellent: bool = False) -> DataFrame:
-    """Rows of a feed that a reader asks for. Here a department is that of the postcode, Corsica's two told apart."""
+# Labels of types.
+TYPE_LABELS = {"appartement": "Appartement", "maison": "Maison", "terrain": "Terrain", "bureau": "Bureau", "immeuble": "Immeuble", "local_commercial": "Murs commerciaux", "fonds_commerce": "Fonds de commerce", "autre": "Autre"}
+
+
+def type_label() -> Column:
+    """What a reader calls an advert's type: the segments of blocks and businesses come before it."""
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_LABELS.items() for x in pair]), c("type_bien")), F.lit("Bien"))
+    return F.when(c("segment") == "immeuble", "Immeuble").when((c("segment") == "fonds") & ~c("type_bien").eqNullSafe("fonds_commerce"), "Fonds de commerce").otherwise(named)
+
+
+#: Orders of a feed, nulls as the value beside them; ties as they come, so by the feed's own order.
+FEED_ORDERS = {
+    "score": lambda: [F.coalesce("score_global", F.lit(-1.0)).desc()],
+    "yield": lambda: [F.coalesce("rendement_net", F.lit(-99.0)).desc()],
+    "cashflow": lambda: [F.coalesce("cashflow_mensuel", F.lit(-1e9)).desc()],
+    "discount": lambda: [F.coalesce("decote", F.lit(9.0)).asc()],
+    "drop": lambda: [F.coalesce("baisse_prix_pct", F.lit(0.0)).desc()],
+    "recent": lambda: [F.coalesce(c("jours_en_ligne").cast("double"), F.lit(1e9)).asc()],
+    "price_asc": lambda: [F.coalesce("prix", F.lit(1e12)).asc()],
+    "price_desc": lambda: [F.coalesce("prix", F.lit(0.0)).desc()],
+    "auction": lambda: [F.coalesce(c("date_vente").cast("string"), F.lit("9999")).asc()],
+}
+
+
+def feed_sort(df: DataFrame, name: str = "score") -> DataFrame:
+    """A feed in one of ``FEED_ORDERS`` (an unknown name is the first), ties by the feed's order."""
+    return df.orderBy(*FEED_ORDERS.get(name, FEED_ORDERS["score"])(), c("score_global").desc_nulls_last(), "source", "external_id")
+
+
+def feed_filter(df: DataFrame, *, department: str | None = None, place: str | None = None, q: str | None = None, price_min: float | None = None, price_max: float | None = None, surface_min: float | None = None, surface_max: float | None = None, yield_min: float | None = None, new_days: int | None = None, kind: str | None = None, source: str | None = None, cashflow: bool = False, real_rent: bool = False, drop: bool = False, excellent: bool = False) -> DataFrame:
+    """Rows of a feed that a reader asks for. Here a department is that of the postcode, Corsica's two told apart; kind: a label as
+    ``type_label`` gives."""
     out = F.lit(True)
     holds = lambda text, *names: F.lower(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in names])).contains(text.lower())
     if department:
@@ -316,6 +364,8 @@ def feed_filter(df: DataFrame, *, department: str | None = None, place: str | No
     for value, column, least in ((price_min, "prix", True), (price_max, "prix", False), (surface_min, "surface_bati", True), (surface_max, "surface_bati", False), (yield_min, "rendement_net", True), (new_days, "jours_en_ligne", False)):
         if value is not None:
             out = out & (c(column) >= value if least else c(column) <= value)
+    if kind:
+        out = out & (type_label() == kind)
     if source:
         out = out & (c("source") == source)
     for wanted, condition in ((cashflow, c("cashflow_mensuel") >= 0), (real_rent, c("loyer_reel")), (drop, c("baisse_prix_pct") >= 1), (excellent, c("niveau_affaire") == "excellente")):

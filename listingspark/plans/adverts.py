@@ -147,13 +147,17 @@ def deal_tab_counts(spark, sf):
 
 
 @query(f"""WITH {DEALS}, d AS (SELECT * FROM deal WHERE categorie = 'vente' OR type_bien IN ('fonds_commerce', 'local_commercial'))
-SELECT count(*) AS total, count(DISTINCT code_postal) AS postal_codes, max(last_seen_at) AS last_seen_at, max(prix) FILTER (WHERE prix > 0 AND categorie = 'vente') AS price_max_observed, round(quantile_cont(prix, 0.99) FILTER (WHERE prix > 0 AND categorie = 'vente'), 4) AS price_p99 FROM d""")
+SELECT count(*) AS total, count(DISTINCT code_postal) AS postal_codes, max(last_seen_at) AS last_seen_at, max(prix) FILTER (WHERE prix > 0 AND categorie = 'vente') AS price_max_observed, round(quantile_cont(prix, 0.99) FILTER (WHERE prix > 0 AND categorie = 'vente'), 4) AS price_p99,
+  (SELECT count(DISTINCT p_size % 20) FROM part) AS reference_count, (SELECT arg_max(event_type, ts) FROM events) AS run_source, (SELECT count(*) FROM events WHERE event_type = (SELECT arg_max(event_type, ts) FROM events)) AS run_rows FROM d""")
 def deal_volumes(spark, sf):
-    return search.volumes(deals(spark, sf)).withColumn("price_p99", F.round("price_p99", 4))
+    """With the number of postcodes of a reference and the run that began last: of each type of event, at its last one."""
+    runs = table(spark, sf, "events").groupBy(c("event_type").alias("source")).agg(lit("ok").alias("status"), F.max("ts").alias("started_at"), F.max("ts").alias("finished_at"), F.count(lit(1)).alias("rows_collected"))
+    out = search.volumes(deals(spark, sf), table(spark, sf, "part").select((c("p_size") % 20).alias("code_postal")), runs)
+    return out.withColumns({"price_p99": F.round("price_p99", 4), "run_source": c("latest_run.source"), "run_rows": c("latest_run.rows_collected")}).drop("latest_run")
 
 
-@query(f"""WITH {DEALS}, d AS (SELECT trim(ville) AS v FROM deal WHERE code_postal LIKE '20%' AND lower(strip_accents(ville)) LIKE '%evre%')
-SELECT min(CASE WHEN v = upper(v) THEN 'b' ELSE 'a' END || v)[2:] AS city, count(*) AS n FROM d GROUP BY lower(strip_accents(v))""")
+@query(f"""WITH {DEALS}, d AS (SELECT trim(ville) AS v, code_postal FROM deal WHERE code_postal LIKE '20%' AND lower(strip_accents(ville)) LIKE '%evre%' AND (categorie = 'vente' OR type_bien IN ('fonds_commerce', 'local_commercial')))
+SELECT min(CASE WHEN v = upper(v) THEN 'b' ELSE 'a' END || v)[2:] AS city, min(code_postal) AS postal_code, count(*) AS n FROM d GROUP BY lower(strip_accents(v))""")
 def deal_cities(spark, sf):
     return search.cities(deals(spark, sf), "ville", like=" Évre ", department="2B")
 
@@ -205,19 +209,33 @@ READERS = {
     "place": ({"place": "evreux 69", "q": "LAC 1", "cashflow": True}, "lower(coalesce(ville, '') || ' ' || coalesce(code_postal, '')) LIKE '%evreux 69%' AND lower(coalesce(titre, '') || ' ' || extrait || ' ' || coalesce(ville, '')) LIKE '%lac 1%' AND cashflow_mensuel >= 0"),
     "best": ({"source": "s2", "drop": True}, "source = 's2' AND baisse_prix_pct >= 1"),
     "let": ({"real_rent": True, "excellent": True}, "loyer_reel AND niveau_affaire = 'excellente'"),
+    "blocks": ({"kind": "Immeuble"}, "(segment = 'immeuble' OR (segment IS DISTINCT FROM 'fonds' AND type_bien = 'immeuble'))"),
+    "houses": ({"kind": "Maison", "price_max": 200000}, "type_bien = 'maison' AND segment NOT IN ('immeuble', 'fonds') AND prix <= 200000"),
 }
 
 
 @query(f"WITH {FEED_SQL} " + " UNION ALL ".join(f"""SELECT '{n}' AS name, count(*) AS total, count(*) FILTER (WHERE niveau_affaire = 'excellente') AS excellent, count(*) FILTER (WHERE niveau_affaire = 'bonne') AS good, count(*) FILTER (WHERE baisse_prix_pct >= 1) AS drops,
   count(*) FILTER (WHERE jours_en_ligne <= 2) AS new, (list_sort(list(rendement_net) FILTER (WHERE rendement_net IS NOT NULL)))[count(rendement_net) // 2 + 1] AS middle_yield FROM fed WHERE {w}""" for n, (_, w) in READERS.items()))
 def deal_feed_filter(spark, sf):
-    """Five readers of the feed, each with the six figures that it sees."""
+    """Seven readers of the feed, each with the six figures that it sees."""
     coming = c("vente_encheres") & (c("date_vente").isNull() | (c("date_vente") >= lit("1999-01-01").cast("timestamp")))
     fed = deals(spark, sf).filter(search.predicate() & (c("niveau_affaire").isin("excellente", "bonne") | coming)).withColumn("extrait", search.excerpt(c("description")))
     fed = fed.orderBy(c("score_global").desc_nulls_last(), "source", "external_id").limit(15000)
     return reduce(lambda a, b: a.unionByName(b), [search.feed_summary(search.feed_filter(fed, **f)).select(lit(n).alias("name"), "*") for n, (f, _) in READERS.items()])
 
 
+FEED_SORTED = {"score": "coalesce(score_global, -1) DESC", "yield": "coalesce(rendement_net, -99) DESC", "cashflow": "coalesce(cashflow_mensuel, -1e9) DESC", "discount": "coalesce(decote, 9) ASC", "drop": "coalesce(baisse_prix_pct, 0) DESC", "recent": "coalesce(jours_en_ligne, 1000000000) ASC", "price_asc": "coalesce(prix, 1e12) ASC", "price_desc": "coalesce(prix, 0) DESC", "auction": "coalesce(date_vente, DATE '9999-01-01') ASC"}
+
+
+@query(f"WITH {DEALS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS name, row_number() OVER (ORDER BY {o}, score_global DESC NULLS LAST, source, external_id) AS rank, external_id FROM deal WHERE {LIVE}) WHERE rank <= 30" for n, o in FEED_SORTED.items()))
+def deal_feed_orders(spark, sf):
+    """The first thirty of each of the nine orders that a reader of the feed may choose."""
+    df = search.deal_filter(deals(spark, sf))
+    own = lambda n: Window.orderBy(*search.FEED_ORDERS[n](), c("score_global").desc_nulls_last(), "source", "external_id")
+    first = [search.feed_sort(df, n).limit(30).select(lit(n).alias("name"), F.row_number().over(own(n)).alias("rank"), "external_id") for n in search.FEED_ORDERS]
+    return reduce(lambda a, b: a.unionByName(b), first)
+
+
 # --- rents ---------------------------------------------------------------------------------------------------------
 
 HOMES = {

@@ -224,6 +224,13 @@ def sector_view(spark, sf):
     return prices.sector_view(observations(spark, sf), (c("p_brand") == "Brand#2") & (c("p_type") == "ECONOMY"), [F.desc("day"), F.asc("id")], 20).select("id", "day", "price")
 
 
+@query(f"WITH {OBS} SELECT p_type, count(*) AS n, round(quantile_cont(price, 0.25)) AS q1, round(quantile_cont(price, 0.5)) AS median, round(quantile_cont(price, 0.75)) AS q3, max(day) AS last_day FROM obs WHERE p_brand = 'Brand#2' GROUP BY p_type HAVING count(*) >= 5")
+def sector_references(spark, sf):
+    """The reference rows of a sector beside its sales."""
+    reference = prices.trimmed_reference(observations(spark, sf), ["p_brand", "p_type"], "price", "day", lit(AS_OF).cast("date"), trim=(0.0, 1.0))
+    return prices.sector_references(reference, c("p_brand") == "Brand#2", "p_type")
+
+
 @query("""WITH n AS (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2
 ), m AS (SELECT o_custkey, p FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) AS k FROM n) WHERE k = 1)
 SELECT o_orderkey, o.o_custkey, CASE WHEN o_orderstatus = 'P' THEN p ELSE o_orderpriority END AS o_orderpriority FROM orders o LEFT JOIN m ON o.o_custkey = m.o_custkey""")
