@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comparables, percolator, sketches, text_index, upkeep
+from ..operators import comparables, percolator, places, sketches, text_index, upkeep, variants
 from ..operators.tables import update_from as updated
 from ..sources import buckets
 from .adverts import DEALS, FOLDED_CITY, deals
@@ -166,3 +166,79 @@ def substring_search(spark, sf):
     terms = table(spark, sf, "benchmark").select("text", F.explode(F.sequence(lit(0), lit(TERMS - 1))).alias("k")).select(F.expr(TERM).alias("term"))
     found = [text_index.find_terms(docs, terms.filter(p), path, "doc_id", "text") for p in ("length(term) <= 2", "length(term) > 2")]
     return found[0].unionByName(found[1])
+
+
+# --- bronze rows as variants -----------------------------------------------------------------------------------------
+
+#: Three batches of parts: a price that is a number, then a text, then a list; tags that are a list, then an object.
+VARIED = """x AS (SELECT p_partkey AS id, 'a' AS batch, 'NUMBER' AS price_kind, p_retailprice AS price, p_retailprice::VARCHAR AS said, NULL AS tags_kind, NULL AS tag, p_name AS name FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'b', 'STRING', NULL, 'sur demande', 'ARRAY', p_size, NULL FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'c', 'ARRAY', NULL, '[' || p_partkey || ',900000]', CASE WHEN p_size % 2 = 0 THEN 'OBJECT' ELSE 'NULL' END, CASE WHEN p_size % 2 = 0 THEN p_size END, p_name FROM part WHERE p_partkey % 5 = 0)"""
+
+
+def varied(spark, sf):
+    """The three batches, the last one from JSON lines, the first one written twice as after a failure."""
+    part, path, at = table(spark, sf, "part"), f"{Workspace(spark, 'variants').path}/bronze", lit("2024-01-01").cast("timestamp")
+    first = variants.packed(part.filter("p_partkey % 2 = 0").select(c("p_partkey").alias("id"), c("p_retailprice").cast("double").alias("price"), c("p_name").alias("name")), ["id"])
+    second = variants.packed(part.filter("p_partkey % 3 = 0").select(c("p_partkey").alias("id"), lit("sur demande").alias("price"), F.array("p_size", lit(1)).alias("tags")), ["id"])
+    said = F.concat(lit('{"price": ['), c("p_partkey"), lit(', 900000], "name": "'), c("p_name"), lit('", "tags": '), F.when(c("p_size") % 2 == 0, F.concat(lit('{"n": '), c("p_size"), lit("}"))).otherwise("null"), lit("}"))
+    third = variants.parsed(part.filter("p_partkey % 5 = 0").select(c("p_partkey").alias("id"), said.alias("line")), "line")
+    for name, df in (("a", first), ("b", second), ("a", first), ("c", third)):
+        variants.append_batch(df, path, name, at)
+    return variants.read_batches(spark, path)
+
+
+@query(f"WITH {VARIED} SELECT * FROM x")
+def bronze_variants(spark, sf):
+    """Types that differ between batches stay what they were, and no batch is written again for another's sake."""
+    kind = lambda name: variants.kind_of(F.try_variant_get("raw", f"$.{name}", "variant"))
+    tag = F.coalesce(F.try_variant_get("raw", "$.tags[0]", "int"), F.try_variant_get("raw", "$.tags.n", "int"))
+    price = F.when(kind("price") == "NUMBER", variants.field("raw", "price", "double"))
+    return varied(spark, sf).select("id", "batch", kind("price").alias("price_kind"), price.alias("price"), variants.field("raw", "price", "string").alias("said"), kind("tags").alias("tags_kind"), tag.alias("tag"), variants.field("raw", "name", "string").alias("name"))
+
+
+@query(f"""WITH {VARIED}, k AS (SELECT 'price' AS key, price_kind AS kind FROM x UNION ALL SELECT 'tags', tags_kind FROM x WHERE tags_kind IS NOT NULL UNION ALL SELECT 'name', 'STRING' FROM x WHERE name IS NOT NULL)
+SELECT key, kind, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM x), 2) AS percent FROM k GROUP BY 1, 2""")
+def bronze_variant_coverage(spark, sf):
+    """Keys of all batches by the kinds that their values are of."""
+    return variants.variant_coverage(varied(spark, sf)).drop("type")
+
+
+@query("SELECT key, CASE WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'NUMBER' WHEN type = 'VARCHAR' THEN 'STRING' ELSE type END AS kind, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 2) AS percent FROM (SELECT key, json_type(props, '$.\"' || key || '\"') AS type FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY 1, 2")
+def event_variant_coverage(spark, sf):
+    """Keys of all events' properties by kind."""
+    return variants.variant_coverage(variants.parsed(table(spark, sf, "events").select("props"), "props")).drop("type")
+
+
+# --- names by collation ----------------------------------------------------------------------------------------------
+
+#: Names of places with marks, ligatures, signs and saints.
+PLACES = ["Œuilly", "Saint-Étienne", "Évreux", "Nœux-les-Mines", "L'Haÿ-les-Roses", "Sainte-Mère-Église", "Bègles", "Plœmeur"]
+SPELLED = ["Œuilly", "ST ETIENNE", "évreux", "NOEUX LES MINES", "l haÿ les roses", "Ste Mère Église", "BEGLES", "PLŒMEUR"]
+PLACE = lambda key, names: F.element_at(F.array(*[lit(x) for x in names]), (c(key) % len(names) + 1).cast("int"))
+
+
+def spelled_orders(spark, sf):
+    """Orders in places, spelled in one of two ways, or without marks in capitals, or by combining marks; some without a place."""
+    at = lambda names: PLACE("o_custkey", names)
+    combining = F.replace(F.replace(at(PLACES), lit("\u00e9"), lit("e\u0301")), lit("\u00c9"), lit("E\u0301"))
+    city = F.when(c("o_orderkey") % 4 == 0, at(PLACES)).when(c("o_orderkey") % 4 == 1, at(SPELLED)).when(c("o_orderkey") % 4 == 2, F.upper(at(PLACES))).otherwise(combining)
+    return table(spark, sf, "orders").withColumn("city", F.when(c("o_orderkey") % 13 != 0, city))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey % {len(PLACES)} AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN suppliers END AS suppliers FROM orders LEFT JOIN s ON k = o_custkey % {len(PLACES)}""")
+def places_by_collation(spark, sf):
+    """Orders with the number of suppliers at their place, whose names are spelled otherwise."""
+    ws = Workspace(spark, "suppliers")
+    there = places.count_by_place(table(spark, sf, "supplier").select(F.when(c("s_suppkey") % 3 == 0, PLACE("s_suppkey", PLACES)).otherwise(F.upper(PLACE("s_suppkey", SPELLED))).alias("city")), "city", [F.count(lit(1)).alias("suppliers")])
+    return places.join_by_place(spelled_orders(spark, sf), ws.write(there, "suppliers"), ("city", "city")).select("o_orderkey", "suppliers")
+
+
+@query(f"""WITH o AS (SELECT *, o_custkey % {len(PLACES)} AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 5 END AS code FROM orders
+), m AS (SELECT k, code FROM o WHERE code IS NOT NULL AND o_orderkey % 13 <> 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, code) = 1)
+SELECT o_orderkey, coalesce(o.code, CASE WHEN o_orderkey % 13 <> 0 THEN m.code END) AS code FROM o LEFT JOIN m USING (k)""")
+def postcode_by_collation(spark, sf):
+    """Codes imputed by the place's most frequent one, over all spellings."""
+    df = spelled_orders(spark, sf).select("o_orderkey", "city", F.when(c("o_orderkey") % 3 > 0, c("o_custkey") % 5).alias("code"))
+    return places.impute_by_place(df, df, "city", "code").select("o_orderkey", "code")
