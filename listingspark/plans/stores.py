@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comparables, percolator, places, sketches, text_index, upkeep, variants
 from ..operators.tables import update_from as updated
-from ..sources import buckets
+from ..sources import advert_files, buckets
 from .adverts import DEALS, FOLDED_CITY, deals
 from .catalogue import AS_OF, LINES, NEAR, OBS, lines, observations, pool, query, subjects, table
 from .shared import Workspace
@@ -242,3 +242,41 @@ def postcode_by_collation(spark, sf):
     """Codes imputed by the place's most frequent one, over all spellings."""
     df = spelled_orders(spark, sf).select("o_orderkey", "city", F.when(c("o_orderkey") % 3 > 0, c("o_custkey") % 5).alias("code"))
     return places.impute_by_place(df, df, "city", "code").select("o_orderkey", "code")
+
+
+# --- files as a data source ------------------------------------------------------------------------------------------
+
+
+def written_files(spark, df, kind, fields, ending, **options):
+    """df written as files by its columns ``fields``, and read again as a data source."""
+    path = f"{Workspace(spark, kind).path}/files"
+    writer = df.repartition(*fields).write.partitionBy(*fields)
+    writer.text(path) if kind == "inventory" else writer.options(header=True, **options).csv(path)
+    advert_files.register(spark)
+    layout = "/".join(f"{f}=(?P<{f}>[^/]+)" for f in fields) + rf"/part-[^/]*\.{ending}"
+    return spark.read.format("advert_files").options(kind=kind, layout=layout).load(path)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id_mutation, year(o_orderdate)::VARCHAR AS annee, (o_custkey % 10 + 60)::VARCHAR AS departement, CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice::DECIMAL(20, 2) END::DOUBLE AS price, 'rue "du, lac"' || chr(10) || o_orderpriority AS adresse_nom_voie, NULL::VARCHAR AS type_local FROM orders""")
+def sales_files(spark, sf):
+    """Orders as packed sales files by year and department: quotes, commas and new lines in values, columns that are missing."""
+    street = F.concat(lit('rue "du, lac"\n'), c("o_orderpriority"))
+    price = F.when(c("o_orderkey") % 9 > 0, c("o_totalprice").cast("decimal(20,2)").cast("string"))
+    df = table(spark, sf, "orders").select(street.alias("adresse_nom_voie"), price.alias("valeur_fonciere"), c("o_orderkey").alias("id_mutation"), F.year("o_orderdate").alias("annee"), (c("o_custkey") % 10 + 60).alias("departement"))
+    out = written_files(spark, df, "sales", ["annee", "departement"], r"csv\.gz", compression="gzip", escape='"')
+    return out.select("id_mutation", "annee", "departement", c("valeur_fonciere").cast("double").alias("price"), "adresse_nom_voie", "type_local")
+
+
+@query("""SELECT p_partkey::VARCHAR AS code_commune, 'Évreux-lès-' || p_name AS commune, 't' || (p_partkey % 4) AS typologie, CASE WHEN p_partkey % 7 > 0 THEN p_size * 1.25::DOUBLE END AS loyer_m2, CASE WHEN p_partkey % 5 > 0 THEN p_size END AS n FROM part""")
+def rent_files(spark, sf):
+    """Parts as rent files: semicolons, letters of one byte, decimal commas, numbers that are none."""
+    rent = F.when(c("p_partkey") % 7 > 0, F.replace((c("p_size") * 1.25).cast("string"), lit("."), lit(","))).otherwise("n.c.")
+    df = table(spark, sf, "part").select(c("p_partkey").alias("INSEE_C"), F.concat(lit("Évreux-lès-"), c("p_name")).alias("LIBGEO"), rent.alias("loypredm2"), F.when(c("p_partkey") % 5 > 0, c("p_size").cast("string")).otherwise("x").alias("nbobs_com"), F.concat(lit("t"), c("p_partkey") % 4).alias("typologie"))
+    return written_files(spark, df, "rents", ["typologie"], "csv", sep=";", encoding="ISO-8859-1").select("code_commune", "commune", "typologie", "loyer_m2", "n")
+
+
+@query("""SELECT 's' || (page_id % 3) AS source, '2024-01-0' || (page_id % 2 + 1) AS jour, 'http://x/' || page_id AS url FROM pages""")
+def inventory_files(spark, sf):
+    """A line for each page, with blanks around, in files by source and day."""
+    df = table(spark, sf, "pages").select(F.concat(lit(" http://x/"), c("page_id"), lit(" \n")).alias("value"), F.concat(lit("s"), c("page_id") % 3).alias("source"), F.concat(lit("2024-01-0"), c("page_id") % 2 + 1).alias("jour"))
+    return written_files(spark, df, "inventory", ["source", "jour"], "txt").select("source", "jour", "url")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..plans.shared import ship_package
-from .files import SALES
+from .files import CP1252, SALES
 
 # Columns of rent files, and the names that they get.
 RENTS = {"INSEE_C": "code_commune", "LIBGEO": "commune", "loypredm2": "loyer_m2", "lwr.IPm2": "loyer_m2_bas", "upr.IPm2": "loyer_m2_haut", "TYPPRED": "niveau", "nbobs_com": "n", "R2_adj": "r2"}
@@ -25,7 +25,9 @@ LAYOUTS = {
     "rents": r"(?P<type_bien>\w+)/(?P<typologie>\w+)\.csv",
     "inventory": r"(?P<source>[^/]+)/(?P<jour>\d{4}-\d{2}-\d{2})\.txt(?:\.gz)?",
 }
-BLOCK = 1 << 20
+#: What CP1252 has where ISO-8859-1 has control characters; bytes that it leaves free stay as they are.
+WESTERN = str.maketrans(CP1252)
+BLOCK = 1 << 23
 
 
 class OneFile(InputPartition):
@@ -69,13 +71,17 @@ class AdvertFilesReader(DataSourceReader):
         return out or [OneFile("", {})]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        """Arrow batches of a file, read in blocks of 1 MB."""
+        """Arrow batches of a file, read in blocks of 8 MB; a row of a table must fit into one."""
         if not partition.at:
             return
         system, _ = place(self.path)
         with system.open_input_stream(partition.at, compression="detect") as stream:
-            read = lines_of(stream, self.encoding) if self.kind == "inventory" else rows_of(stream, self.kind, self.encoding)
+            western = self.encoding == "cp1252"
+            encoding = "latin-1" if western else self.encoding
+            read = lines_of(stream, encoding) if self.kind == "inventory" else rows_of(stream, self.kind, encoding)
             for columns, n in read:
+                if western:
+                    columns = {k: translated(v) if pa.types.is_string(v.type) else v for k, v in columns.items()}
                 columns |= {k: pa.array([v] * n, pa.string()) for k, v in partition.fields.items()}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in self.names], names=self.names)
 
@@ -111,6 +117,11 @@ def number(values: pa.Array, of: str) -> pa.Array:
     return pa.array([one(x) for x in values.to_pylist()], pa.float64() if of == "double" else pa.int32())
 
 
+def translated(values: pa.Array) -> pa.Array:
+    """Text that was read as ISO-8859-1 as CP1252 means it."""
+    return pa.array([x if x is None or x.isascii() else x.translate(WESTERN) for x in values.to_pylist()], pa.string())
+
+
 def lines_of(stream, encoding: str) -> Iterator[tuple[dict[str, pa.Array], int]]:
     """The urls of a file, one a line, without blanks around them; empty lines are none."""
     left = b""
