@@ -158,3 +158,51 @@ def test_inventory_files(spark, tmp_path):
     (tmp_path / "i.txt").write_text("http://x/1\n\n  http://x/2 \nhttp://x/1\n")
     got = files.read_inventory(spark, str(tmp_path / "i.txt"), "s", now()).collect()
     assert sorted((r["source"], r["url"]) for r in got) == [("s", "http://x/1"), ("s", "http://x/2")] and all(r["listed_at"] for r in got)
+
+
+def test_stream_into_buckets(spark, tmp_path):
+    """Micro-batches rewrite the buckets of their rows alone; late and repeated rows change nothing."""
+    import json
+
+    from listingspark.sources import buckets
+    from listingspark.streaming import ingest
+
+    src, at = tmp_path / "in", str(tmp_path / "table")
+    src.mkdir()
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+
+    def feed(name: str, rows: list[tuple]) -> None:
+        (src / name).write_text("\n".join(json.dumps({"k": a, "v": b, "t": t, "first": b}) for a, b, t in rows))
+        stream = ingest.read_stream(spark, str(src), spark.createDataFrame([], "k int, v string, t int, first string").schema)
+        ingest.merge_stream_in_buckets(stream, at, str(tmp_path / "check"), ["k"], "t", 8, {"first": "insert"}, availableNow=True).awaitTermination()
+
+    got = lambda: sorted(map(tuple, buckets.read_buckets(spark, at).select("k", "v", "first").collect()))
+    feed("0.json", [(k, f"a{k}", 5) for k in range(50)] + [(1, "older", 4), (None, "x", 9), (2, "y", None)])
+    assert got() == [(k, f"a{k}", f"a{k}") for k in range(50)]
+    before = files()
+    feed("1.json", [(7, "b7", 6), (7, "late", 1)])
+    assert got() == [(k, "b7" if k == 7 else f"a{k}", f"a{k}") for k in range(50)]
+    kept = before.items() & files().items()
+    assert len({f.split("bucket_=")[1].split("/")[0] for f, _ in kept}) == 7
+    feed("2.json", [(7, "late", 5), (60, "c60", 0)])
+    assert got() == [(k, "b7" if k == 7 else f"a{k}", f"a{k}") for k in range(50)] + [(60, "c60", "c60")]
+    assert not (tmp_path / "table" / buckets.READY).exists()
+
+
+def test_swap_that_breaks_off(spark, tmp_path):
+    """Buckets that a job had ready, and the old ones of which it had removed, come back with the next merge."""
+    import shutil
+
+    from listingspark.sources import buckets
+
+    at = str(tmp_path / "table")
+    buckets.merge_buckets(spark, at, spark.createDataFrame([(k, "a") for k in range(20)], "k int, v string"), ["k"], 4)
+    whole = buckets.read_buckets(spark, at)
+    number = whole.filter("k = 3").first()[buckets.BUCKET]
+    ready = whole.filter(F.col(buckets.BUCKET) == number).withColumn("v", F.when(F.col("k") == 3, "b").otherwise(F.col("v")))
+    ready.write.parquet(f"{at}/{buckets.READY}")
+    shutil.rmtree(tmp_path / "table" / f"{buckets.BUCKET}={number}")
+    assert buckets.read_buckets(spark, at).filter("k = 3").count() == 0
+    buckets.merge_buckets(spark, at, spark.createDataFrame([(30, "c")], "k int, v string"), ["k"], 4)
+    assert sorted(map(tuple, buckets.read_buckets(spark, at).select("k", "v").collect())) == [(k, "b" if k == 3 else "a") for k in range(20)] + [(30, "c")]
+    assert not buckets.end_swap(spark, at)
