@@ -33,7 +33,7 @@ def part(text: str, unit: str) -> str:
 
 
 TEXT = "t string"
-KINDS = ", ".join(f'case when regexp_instr(t, r"{p}") > 0 then struct(regexp_instr(t, r"{p}"), -length(regexp_substr(t, r"{p}")), "{kind}" as kind) end' for p, kind in TYPES)
+KINDS = ", ".join(f'struct(regexp_instr(t, r"{p}") as at, -length(regexp_substr(t, r"{p}")) as longest, "{kind}" as kind)' for p, kind in TYPES)
 SPELLED = {"studio": 1, "une piece": 1, "deux pieces": 2, "trois pieces": 3, "quatre pieces": 4, "cinq pieces": 5, "six pieces": 6}
 MONTH = r"\d{1,2}(?:er)?\s+(" + "|".join(MONTHS) + r")\s+\d{4}"
 DAY = f"""coalesce(
@@ -57,7 +57,7 @@ SCALARS = [
     ("ls_plot", TEXT, "double", "ls_plot_folded(ls_fold(t))"),
     ("ls_date_folded", TEXT, "timestamp_ntz", f"""try_cast(concat({DAY}, ' ', lpad(coalesce({got("t", r"(\d{1,2})\s*[h:]\s*\d{0,2}")}, '0'), 2, '0'), ':', coalesce({got("t", r"\d{1,2}\s*[h:]\s*(\d{2})")}, '00'), ':00') as timestamp_ntz)"""),
     ("ls_date", TEXT, "timestamp_ntz", "ls_date_folded(ls_fold(t))"),
-    ("ls_type_folded", TEXT, "string", f"coalesce(array_min(filter(array({KINDS}), x -> x is not null)).kind, 'autre')"),
+    ("ls_type_folded", TEXT, "string", f"coalesce(array_min(filter(array({KINDS}), x -> x.at > 0)).kind, 'autre')"),
     ("ls_type", TEXT, "string", "ls_type_folded(ls_fold(t))"),
     ("ls_occupancy_folded", TEXT, "string", f"case when {found('t', r'\blibre\b|inoccup|vacant')} then 'libre' when {found('t', r'\boccup|\bloue|locataire')} then 'occupé' end"),
     ("ls_occupancy", TEXT, "string", "ls_occupancy_folded(ls_fold(t))"),
