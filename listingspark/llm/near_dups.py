@@ -94,7 +94,7 @@ def summaries(shingle: int, bands: int, band_rows: int):
 
 
 def whole_sets(shingle: int):
-    """cls, text -> cls, items (the set's hashes, ascending as unsigned numbers)."""
+    """cls, text -> cls, items (the set's hashes, ascending as unsigned numbers). Columns between them go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,7 +102,7 @@ def whole_sets(shingle: int):
                 batch = whole.slice(at, 512)
                 rows, hashes = shingle_sets(batch["text"], shingle)
                 ends = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch["cls"], pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], ["cls", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], [*batch.schema.names[:-1], "items"])
 
     return run
 

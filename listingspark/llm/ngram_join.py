@@ -1,8 +1,11 @@
 """Jaccard join on sets of word n-grams by rare-first prefixes.
 
-The n-grams of each set are put in one order for all, from the rarest in the corpus to the most frequent. Two sets of n and
-m n-grams that are similar share o = ceil(s / (1 + s) * (n + m)) of them, so a common one is among the first
-n - ceil(s * n) + 1 of each. Those prefixes alone are joined, under three filters, of which each is exact:
+The n-grams of each set are put in one order for all: first a fixed part of all n-grams (by hash), from the rarest in the corpus
+to the most frequent, then the others. Two sets of n and m n-grams that are similar share o = ceil(s / (1 + s) * (n + m)) of
+them, so a common one is among the first n - ceil(s * n) + 1 of each. The part is a few times as large as such a prefix, so n-grams
+outside it need not be counted: a set that has too few inside goes on with the least of its others. The part of small sets is
+all that they have; sets of a size between may be similar to either kind and are taken as both, each kind with its own keys.
+Prefixes alone are joined, under three filters, of which each is exact:
 
 * length: the smaller set has at least s times the n-grams of the larger;
 * position: after the first common n-gram both sets must have enough left to reach o;
@@ -10,7 +13,7 @@ n - ceil(s * n) + 1 of each. Those prefixes alone are joined, under three filter
   parities: of each of 512 parts of the n-grams a bit tells whether the suffix holds an odd number of them.
 
 n-grams that one set alone holds fill prefixes but join nothing. A set with more of them than a similar one may lack has
-no partner; counting a fixed quarter of all n-grams settles that for most sets, so the others alone are counted in full.
+no partner. That is settled for most sets before; n-grams of the others alone are counted for the order.
 
 A group of similar sets isn't compared pair by pair: the sets that share an n-gram of their prefixes are compared with one of
 them (a star) first, then those of other components with a second star; pairs that are still in different components are
@@ -31,8 +34,8 @@ from listingspark.plans.shared import Workspace, in_order
 from .near_dups import components, confirmed, shingle_sets, whole_sets
 from .tokens import mix
 
-#: Part of the n-grams (by hash) that is counted for all sets: one of so many.
-PART = 4
+#: Sets up to this size have all their n-grams in their part.
+SMALL = 100
 #: Words of 64 parities.
 SIGNS = 8
 _U = np.uint64
@@ -61,21 +64,81 @@ def outlines(shingle: int):
     return run
 
 
-def fixed_part(shingle: int):
-    """text -> h, s1: the n-grams of the fixed part, with the hash of their set."""
+def part_of(rows: np.ndarray, hashes: np.ndarray, size: np.ndarray, small: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets that are taken as small ones (or as large ones): which n-grams are theirs, the keys of these (odd for
+    small sets), and which of them are in the part."""
+    n = size[rows]
+    own = n <= SMALL if small else n * 100 >= (SMALL + 1) * percent
+    part = np.ones(int(own.sum()), bool) if small else mix(hashes[own], 77) % _U(max(1, 40 // max(1, 100 - percent))) == 0
+    return own, hashes[own] & ~_U(1) | _U(small), part
+
+
+def fixed_part(shingle: int, percent: int):
+    """text -> h, s1: the keys of the part, with the hash of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows, hashes = shingle_sets(batch["text"], shingle)
-                _, s1, _ = set_sums(rows, hashes, batch.num_rows)
-                part = mix(hashes, 77) % _U(PART) == 0
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(s1[rows[part]])], ["h", "s1"])
+                size, s1, _ = set_sums(rows, hashes, batch.num_rows)
+                for small in (False, True):
+                    own, keys, part = part_of(rows, hashes, size, small, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(s1[rows[own][part]])], ["h", "s1"])
+
+    return run
+
+
+def unnested(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and n-grams of cls, items; sizes."""
+    ends = batch["items"].offsets.to_numpy()
+    size = np.diff(ends)
+    return np.repeat(np.arange(len(size)), size), batch["items"].values.to_numpy()[ends[0] : ends[-1]].view(_U), size
+
+
+def part_items(percent: int):
+    """cls, as_small, as_large, items -> cls, h: the keys of the part, for each kind that the set is taken as."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows, hashes, size = unnested(batch)
+                for small, wanted in ((False, "as_large"), (True, "as_small")):
+                    own, keys, part = part_of(rows, hashes, size, small, percent)
+                    part &= batch[wanted].to_numpy(zero_copy_only=False)[rows[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(batch["cls"].to_numpy()[rows[own][part]]), pa.array(keys[part].view(np.int64))], ["cls", "h"])
 
     return run
 
 
+def part_outlines(percent: int):
+    """cls, as_small, as_large, items -> a row for each kind that the set is taken as: cls, small, n, counted (keys in the part),
+    more (the least others that a prefix needs when the part is shorter), rest (parities of the others without these)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(start, 512), []
+                rows, hashes, size = unnested(batch)
+                for small, wanted in ((False, "as_large"), (True, "as_small")):
+                    own, keys, part = part_of(rows, hashes, size, small, percent)
+                    counted = np.bincount(rows[own][part], minlength=len(size))
+                    at, others = rows[own][~part], keys[~part].view(np.int64)
+                    others, ends = others[np.lexsort((others, at))], np.searchsorted(at, np.arange(len(size) + 1))
+                    for i in np.flatnonzero(batch[wanted].to_numpy(zero_copy_only=False)):
+                        n, rest = int(size[i]), others[ends[i] : ends[i + 1]]
+                        short = max(0, n * (100 - percent) // 100 + 1 - int(counted[i]))
+                        signs = np.bitwise_xor.reduce(parities(rest[short:].view(_U)), axis=0)
+                        out.append((batch["cls"][int(i)].as_py(), int(small), n, int(counted[i]), rest[:short].tolist(), signs.view(np.int64).tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(PART_OUTLINE.types)], schema=PART_OUTLINE)
+
+    return run
+
+
+PART_OUTLINE = pa.schema([("cls", pa.int64()), ("small", pa.int64()), ("n", pa.int64()), ("counted", pa.int64()), ("more", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """For each n-gram, the words of parities with its own bit set."""
     part = mix(hashes, 78) % _U(64 * SIGNS)
@@ -89,24 +152,27 @@ POSTING_DDL = ", ".join(f"{f.name} long" for f in POSTING)
 
 def prefixes(percent: int):
     """cls, n, shared (f, h of the n-grams that other sets hold too) -> a row for each of them in the prefix: its place
-    (from 1, the set's own n-grams before it), the shared ones after it and their parities."""
+    (from 1, the set's own n-grams before it), the shared ones after it and their parities. Where only a part was counted:
+    counted, more, rest of ``part_outlines``; others than the part count as shared and come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch["shared"]
             f, h = (column.values.field(k).to_numpy(zero_copy_only=False) for k in ("f", "h"))
             ends, out = column.offsets.to_numpy(), []
-            for i, (cls, n) in enumerate(zip(batch["cls"].to_pylist(), batch["n"].to_pylist(), strict=True)):
+            sizes, in_part = batch["n"].to_pylist(), "counted" in batch.schema.names
+            outline = zip(*(batch[c].to_pylist() for c in ("counted", "more", "rest")), strict=True) if in_part else ((n, [], [0] * SIGNS) for n in sizes)
+            for i, (cls, n, (counted, more, rest)) in enumerate(zip(batch["cls"].to_pylist(), sizes, outline, strict=True)):
                 own_f, own_h = f[ends[i] : ends[i + 1]], h[ends[i] : ends[i + 1]]
-                alone = n - len(own_h)
+                alone = counted - len(own_h)
                 size = n * (100 - percent) // 100 + 1 - alone
                 if size <= 0:
                     continue
-                own_h = own_h[np.lexsort((own_h, own_f))]
+                own_h = np.concatenate([own_h[np.lexsort((own_h, own_f))], np.array(more, np.int64)])
                 signs = parities(own_h.view(_U))
-                after = np.bitwise_xor.reduce(signs, axis=0) ^ np.bitwise_xor.accumulate(signs[:size], axis=0)
+                after = np.bitwise_xor.reduce(signs, axis=0) ^ np.bitwise_xor.accumulate(signs[:size], axis=0) ^ np.array(rest, np.int64).view(_U)
                 k = np.arange(len(after))
-                out.append([own_h[:size], np.full(len(k), cls), np.full(len(k), n), alone + k + 1, len(own_h) - k - 1, *after.view(np.int64).T])
+                out.append([own_h[:size], np.full(len(k), cls), np.full(len(k), n), alone + k + 1, n - alone - k - 1, *after.view(np.int64).T])
             columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(len(POSTING))]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], schema=POSTING)
 
@@ -156,22 +222,29 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     members = ws.write(rows.join(classes.select(*same, "cls"), same, "left"), "members")
     own = classes.withColumnRenamed("first", "doc_id")
     # n-grams of one set alone: copies have the same hash of their set
-    part = df.filter("doc_id is not null").select("text").mapInArrow(fixed_part(shingle), "h long, s1 long")
-    alone = part.groupBy("h").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).filter("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
-    alone = ws.write(alone, "alone")
+    part = df.filter("doc_id is not null").select("text").mapInArrow(fixed_part(shingle, percent), "h long, s1 long")
+    alone = part.groupBy("h").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).filter("s1 = other")
+    small = F.col("h").bitwiseAND(1)
+    alone = ws.write(alone.groupBy("s1").agg(F.sum(small).alias("small"), F.sum(1 - small).alias("large")), "alone")
     ws.drop(rows)
-    hopeful = ws.write(own.join(alone, "s1", "left").filter(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent)).select("cls", "doc_id", "fp", "n", "times"), "hopeful")
+    few = lambda c: F.coalesce(c, F.lit(0)) * 100 <= F.col("n") * (100 - percent)
+    kinds = ((F.col("n") <= SMALL) & few("small")).alias("as_small"), ((F.col("n") * 100 >= (SMALL + 1) * percent) & few("large")).alias("as_large")
+    # below this size no other set is similar
+    hopeful = own.filter(F.col("n") * (100 - percent) >= percent).join(alone, "s1", "left").select("cls", "doc_id", "fp", "times", *kinds)
+    hopeful = ws.write(hopeful.filter("as_small or as_large"), "hopeful")
     # one text of each class; only rows that are repeated have to be brought together for that
-    named = lambda p: df.join(hopeful.filter(p).select("cls", "doc_id", "fp"), ["doc_id", "fp"]).select("cls", "text")
+    named = lambda p: df.join(hopeful.filter(p).drop("times"), ["doc_id", "fp"]).select("cls", "as_small", "as_large", "text")
     one = named("times = 1")
     if hopeful.filter("times > 1").limit(1).count():
         one = one.unionByName(named("times > 1").dropDuplicates(["cls"]))
-    sets = ws.write(one.mapInArrow(whole_sets(shingle), "cls long, items array<long>"), "sets")
-    items = sets.select("cls", F.explode("items").alias("h"))
+    sets = ws.write(one.mapInArrow(whole_sets(shingle), "cls long, as_small boolean, as_large boolean, items array<long>"), "sets")
+    items = sets.mapInArrow(part_items(percent), "cls long, h long")
     # written, so that an n-gram of very many sets is dealt among several tasks
     often = ws.write(items.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequencies")
-    shared = items.join(often, "h").groupBy("cls").agg(F.collect_list(F.struct("f", "h")).alias("shared")).join(hopeful.select("cls", "n"), "cls")
-    postings = ws.write(shared.select("cls", "n", "shared").mapInArrow(prefixes(percent), POSTING_DDL), "postings")
+    shared = items.join(often, "h").groupBy("cls", small.alias("small")).agg(F.collect_list(F.struct("f", "h")).alias("shared"))
+    outline = ws.write(sets.mapInArrow(part_outlines(percent), "cls long, small long, n long, counted long, more array<long>, rest array<long>"), "part-outlines")
+    shared = outline.join(shared, ["cls", "small"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<f:long,h:long>>")))
+    postings = ws.write(shared.select("cls", "n", "shared", "counted", "more", "rest").mapInArrow(prefixes(percent), POSTING_DDL), "postings")
     ws.drop(often)
     lists = ws.write(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("h"), "lists")
     hits = ws.write(postings.join(lists, "h"), "hits")

@@ -307,3 +307,47 @@ def test_join_odd(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"]) for r in ngram_join.similar_groups(df).collect()), key=str)
     assert got == sorted([(1, 48, 1, 1), (1, 48, 1, 1), (1, 2, 1, 1), (2, 49, 2, 1), (None, 48, None, None), (None, 0, None, None), (3, 1, 3, 3), (4, 1, 3, 3)], key=str)
     assert ngram_join.similar_groups(df.limit(0)).count() == 0
+
+
+def test_parts_keep_all_similar_pairs():
+    """Only a part of large sets' n-grams is counted for the order; the first common key of any similar pair is posted by both
+    all the same, by sets on either side of the border and by those whose part is shorter than their prefix."""
+    r, seen, short = random.Random(5), 0, 0
+    percent, counted, total = 90, 0, 0
+    for _ in range(300):
+        n = r.choice([r.randint(9, 40), r.randint(85, 125), r.randint(101, 300)])
+        x = set(r.sample(range(2**62), n))
+        gone = r.randint(0, n // 15)
+        sets = [x, (x - set(r.sample(sorted(x), gone))) | set(r.sample(range(2**62), r.randint(0, n // 30)))]
+        if r.random() < 0.4:  # nearly nothing of the sets is in the part
+            keep = [np.array(sorted(s), np.uint64) for s in sets]
+            outside = [ngram_join.mix(k, 77) % np.uint64(4) != 0 for k in keep]
+            sets = [set(k[o].tolist()) for k, o in zip(keep, outside, strict=True)]
+        if min(map(len, sets)) < 9:
+            continue
+        sizes = [len(s) for s in sets]
+        flags = [[k <= ngram_join.SMALL for k in sizes], [100 * k >= 90 * (ngram_join.SMALL + 1) for k in sizes]]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), *map(pa.array, flags), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], ["cls", "as_small", "as_large", "items"])
+        keys = [(p["cls"], p["h"]) for b in ngram_join.part_items(percent)([batch]) for p in b.to_pylist()]
+        if min(sizes) > ngram_join.SMALL:
+            counted, total = counted + len(keys), total + sum(sizes)
+        freq = {h: 2 + h % 5 for _, h in keys}
+        both = {h for c, h in keys if c == 0} & {h for c, h in keys if c == 1}
+        rows = [o for b in ngram_join.part_outlines(percent)([batch]) for o in b.to_pylist()]
+        short += any(o["more"] for o in rows)
+        shared = [[{"f": freq[h], "h": h} for c, h in keys if c == o["cls"] and h & 1 == o["small"] and h in both] for o in rows]
+        columns = [pa.array([o[k] for o in rows], t) for k, t in zip(ngram_join.PART_OUTLINE.names, ngram_join.PART_OUTLINE.types, strict=True)]
+        whole = pa.RecordBatch.from_arrays([*columns, pa.array(shared, pa.list_(pa.struct([("f", pa.int64()), ("h", pa.int64())])))], [*ngram_join.PART_OUTLINE.names, "shared"])
+        posted = [p for b in ngram_join.prefixes(percent)([whole]) for p in b.to_pylist()]
+        a, b = ({p["h"]: p for p in posted if p["cls"] == c} for c in (0, 1))
+        if sets[0] == sets[1] or 100 * len(sets[0] & sets[1]) < percent * len(sets[0] | sets[1]):
+            continue
+        seen += 1
+        need = -(-percent * sum(sizes) // (100 + percent))
+        passed = 0
+        for h in a.keys() & b.keys():
+            p, q = a[h], b[h]
+            differ = sum(((p[s] ^ q[s]) & (2**64 - 1)).bit_count() for s in ngram_join.SIGN_NAMES)
+            passed += min(p["after"], q["after"]) + 1 >= need and min(sizes[0] - p["pos"], sizes[1] - q["pos"]) + 1 >= need and p["after"] + q["after"] - differ >= 2 * (need - 1)
+        assert passed
+    assert seen > 80 and short > 20 and counted < 0.35 * total
