@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from listingspark.plans.shared import Workspace, in_order
 
+from .decontaminate import bitmap_bits
 from .near_dups import components, confirmed, shingle_sets, whole_sets
 from .tokens import mix
 
@@ -195,6 +196,17 @@ def may_be_similar(x: str, y: str, percent: int) -> Column:
     return place & (c(x, "after") + c(y, "after") - differ >= 2 * (need - 1))
 
 
+def likely_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and fp are in wanted, and few others (by one bit each, of 16 for each of wanted, 2^25 at
+    most), so that other texts aren't shuffled to be joined. The words of bits are broadcast: 2^19 at most."""
+    place = F.pmod(F.xxhash64("doc_id", "fp"), F.lit(bitmap_bits(wanted.count())))
+    bit = (place % 64).cast("int")
+    bits = wanted.select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit"))
+    words = bits.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
+    met = docs.withColumns({"_word": F.shiftright(place, 6), "_bit": bit}).join(F.broadcast(words), "_word")
+    return met.filter(F.expr("getbit(_mask, _bit) = 1")).drop("_word", "_bit", "_mask")
+
+
 def labelled(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return hits.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
@@ -233,7 +245,8 @@ def similar_groups(docs: DataFrame, *, shingle: int = 3, percent: int = 90, star
     hopeful = own.filter(F.col("n") * (100 - percent) >= percent).join(alone, "s1", "left").select("cls", "doc_id", "fp", "times", *kinds)
     hopeful = ws.write(hopeful.filter("as_small or as_large"), "hopeful")
     # one text of each class; only rows that are repeated have to be brought together for that
-    named = lambda p: df.join(hopeful.filter(p).drop("times"), ["doc_id", "fp"]).select("cls", "as_small", "as_large", "text")
+    likely = likely_in(df, hopeful)
+    named = lambda p: likely.join(hopeful.filter(p).drop("times"), ["doc_id", "fp"]).select("cls", "as_small", "as_large", "text")
     one = named("times = 1")
     if hopeful.filter("times > 1").limit(1).count():
         one = one.unionByName(named("times > 1").dropDuplicates(["cls"]))

@@ -351,3 +351,13 @@ def test_parts_keep_all_similar_pairs():
             passed += min(p["after"], q["after"]) + 1 >= need and min(sizes[0] - p["pos"], sizes[1] - q["pos"]) + 1 >= need and p["after"] + q["after"] - differ >= 2 * (need - 1)
         assert passed
     assert seen > 80 and short > 20 and counted < 0.35 * total
+
+
+def test_texts_of_other_sets_are_not_joined(spark):
+    """All wanted rows and few others are left before texts are shuffled."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("fp"), F.lit("t").alias("text"))
+    wanted = docs.filter("doc_id % 10 = 3").drop("text")
+    got = [r["doc_id"] for r in ngram_join.likely_in(docs, wanted).collect()]
+    assert len(set(got)) == len(got) and set(range(3, 20000, 10)) <= set(got) and len(got) < 2000 + 18000 / 8
+    assert ngram_join.likely_in(docs, wanted.limit(0)).count() == 0
+    assert ngram_join.likely_in(docs.unionByName(docs), wanted.limit(1)).filter("doc_id % 10 = 3").count() >= 2
