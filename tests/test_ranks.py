@@ -31,6 +31,15 @@ def test_quantiles(spark):
     assert ranks.spread_quantiles(df.limit(0), ["k"], "x", probs).count() == 0
 
 
+def test_quantile_between_equal_values(spark):
+    """A value that fills all places near a quantile is that quantile to the last bit, so that a trim keeps its rows."""
+    values = [x / 100 for x in range(100_000, 100_400, 7)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values) for _ in range(59)], "k int, x double")
+    probs = [0.01, 0.1, 0.33, 0.99]
+    got = ranks.spread_quantiles(df, ["k"], "x", probs).collect()
+    assert {r["k"]: list(r["q"]) for r in got} == {i: [x] * len(probs) for i, x in enumerate(values)}
+
+
 def test_rank(spark):
     df = numbers(spark)
     order = [F.desc_nulls_last("x"), F.asc("id")]
