@@ -25,13 +25,13 @@ def add_to_nearest(kept: DataFrame, subjects: DataFrame, batch: DataFrame, searc
     """The kept table after ``batch`` has joined the pool: equal to a search in the whole pool, as long as distances of rows that
     are in it already don't change. A row of the pool may be in one batch only. An empty batch changes nothing; an empty
     kept table is that of a first load. The result reads ``kept``, so write it somewhere else."""
-    place = F.struct("distance", *pool_key)
+    place = F.struct(F.isnull("distance"), "distance", *pool_key)
     last = kept.groupBy(*subject_key).agg(F.count(F.lit(1)).alias("_n"), F.max(place).alias("_last"), F.max("touched").alias("_touched"))
     found = search(subjects, batch).drop("rank").join(last, subject_key, "left")
     better = found.filter(F.col("_n").isNull() | (F.col("_n") < k) | (place < F.col("_last")))
     touched = better.select(*subject_key, F.coalesce("_touched", F.lit(0)).alias("_before")).distinct()
     both = kept.drop("rank").join(touched.drop("_before"), subject_key, "left_semi").unionByName(better.drop("_n", "_last", "_touched").withColumn("touched", F.lit(0)))
-    order = Window.partitionBy(*subject_key).orderBy("distance", *pool_key)
+    order = Window.partitionBy(*subject_key).orderBy(F.asc_nulls_last("distance"), *pool_key)
     again = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(touched, subject_key).withColumn("touched", F.col("_before") + 1).drop("_before")
     return kept.join(touched, subject_key, "left_anti").unionByName(again)
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comparables, percolator, places, sketches, text_index, upkeep, variants
+from ..operators import percolator, places, sketches, text_index, upkeep, variants
 from ..operators.tables import update_from as updated
 from ..sources import advert_files, buckets
 from .adverts import DEALS, FOLDED_CITY, deals
-from .catalogue import AS_OF, LINES, NEAR, OBS, lines, observations, pool, query, subjects, table
+from .catalogue import AS_OF, LINES, NEAR, OBS, lines, observations, pool, query, search_near, subjects, table
 from .shared import Workspace
 
 c, lit = F.col, F.lit
@@ -66,10 +66,9 @@ def percolator_alerts(spark, sf):
 BATCHES = 3
 
 
-def search_near(asked, offered):
+def found_near(asked, offered):
     """The search of ``comparables_topk``."""
-    distance = F.abs(F.ln(c("v_size") / c("size"))) * 4.0 + F.when(c("nation") == c("v_nation"), 0.0).otherwise(0.35) + F.datediff(lit(AS_OF).cast("date"), "v_day") / 365.25 * 0.08
-    return comparables.nearest(asked, offered, subject_key=["id"], pool_key=["v_id"], on=[([("p_brand", "v_p_brand"), ("p_type", "v_p_type")], None)], where=c("id") != c("v_id"), distance=distance, k=15, band=("size", "v_size", 0.8, 1.2, 0.05))
+    return search_near(asked, offered).select("id", "v_id", "distance", "rank")
 
 
 @query(f"""{NEAR}, upto AS (SELECT near.*, v_id % {BATCHES} AS batch, b FROM near, (SELECT unnest(range({BATCHES})) AS b) WHERE v_id % {BATCHES} <= b
@@ -79,11 +78,13 @@ SELECT id, v_id, rank, round(distance, 6) AS distance, touched::INTEGER AS touch
 def comparables_in_batches(spark, sf):
     """The pool comes in three batches; the result is that of one search in all, with how many batches changed a subject."""
     ws, obs = Workspace(spark, "batches"), observations(spark, sf)
-    asked, offered = ws.write(subjects(obs), "subjects"), ws.write(pool(obs), "pool")
+    asked, offered = ws.write(subjects(obs), "subjects"), pool(obs)
     kept = None
     for b in range(BATCHES):
-        batch = offered.filter(c("v_id") % BATCHES == b)
-        kept = ws.write(upkeep.first_nearest(asked, batch, search_near) if kept is None else upkeep.add_to_nearest(kept, asked, batch, search_near, subject_key=["id"], pool_key=["v_id"], k=15), "kept")
+        batch, before = offered.filter(c("v_id") % BATCHES == b), kept
+        kept = ws.write(upkeep.first_nearest(asked, batch, found_near) if before is None else upkeep.add_to_nearest(before, asked, batch, found_near, subject_key=["id"], pool_key=["v_id"], k=15), "kept")
+        if before is not None:
+            ws.drop(before)
     return kept.select("id", "v_id", "rank", F.round("distance", 6).alias("distance"), "touched")
 
 
@@ -94,9 +95,9 @@ SELECT id, v_id, r AS rank, round(distance, 6) AS distance, CASE WHEN hit.id IS
 def comparables_without_gone(spark, sf):
     """A seventh of the sales are taken back: subjects that held one of them are searched again."""
     ws, obs = Workspace(spark, "gone"), observations(spark, sf)
-    asked, offered = ws.write(subjects(obs), "subjects"), ws.write(pool(obs), "pool")
-    kept = ws.write(upkeep.first_nearest(asked, offered, search_near), "kept")
-    out = upkeep.drop_from_nearest(kept, asked, offered, offered.filter("v_id % 7 = 3"), search_near, subject_key=["id"], pool_key=["v_id"])
+    asked, offered = ws.write(subjects(obs), "subjects"), pool(obs)
+    kept = ws.write(upkeep.first_nearest(asked, offered, found_near), "kept")
+    out = upkeep.drop_from_nearest(kept, asked, offered, offered.filter("v_id % 7 = 3").select("v_id"), found_near, subject_key=["id"], pool_key=["v_id"])
     return out.select("id", "v_id", "rank", F.round("distance", 6).alias("distance"), "touched")
 
 
