@@ -45,3 +45,8 @@ def test_html_words_of_entities_cut_off(spark, tmp_path):
     html = ["<p>a&amp;&amp</p><p>b</p>", "<p>&quot;c &quot</p>", "<p>&copy</p>&middot; d", "&amp;copy; &amp;amp", "<p>e &am</p>&", "<script>f&amp</script>&amp;g"]
     sf = other_tables(spark, tmp_path, pages=spark.createDataFrame([(i, f"https://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
     assert difference(spark, sf, entry.queries()["html_words"], entry.oracle_sql()["html_words"]) == ""
+
+
+def test_notices_are_read_in_many_tasks(spark):
+    """Though the parts are in one file, of one partition."""
+    assert entry.queries()["auction_lots"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
