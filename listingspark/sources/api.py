@@ -82,10 +82,14 @@ def sale_lots(pages: DataFrame) -> DataFrame:
     lots = F.filter(F.split("text", r"(?i)(?=\blot(?: n°| numero)? ?\d+\b)"), lambda x: F.length(F.trim(x)) > 0)
     titled = F.when(F.size(lots) > 1, F.filter(lots, lambda x: x.rlike(r"(?i)^\s*lot"))).otherwise(F.array(c("text")))
     df = df.select("url", "text", F.size(titled).alias("n"), F.posexplode(titled).alias("pos", "lot"))
-    price = lambda p: t.amount(t.first_of(t.fold(c("lot")), rf"(?:{p})[^\d]{{0,25}}(\d[\d ., ]*(?: ?€| ?euros?)?)"))
-    hammer = price("adjuge[e]?(?: a| pour)?|prix d.adjudication")
+    # each text that is looked at often is a column of its own before, so that it is made once
+    said = lambda p: t.first_of(c("_folded"), rf"(?:{p})[^\d]{{0,25}}(\d[\d ., ]*(?: ?€| ?euros?)?)")
+    day = t.first_of(c("text"), r"(?i)((?:lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche)[^\n]{5,40})")
+    df = df.withColumn("_folded", t.fold(c("lot")))
+    df = df.withColumns({"_reserve": said("mise a prix"), "_hammer": said("adjuge[e]?(?: a| pour)?|prix d.adjudication"), "_day": t.fold(day)})
+    df = df.withColumn("_hammer", t.amount(c("_hammer")))
     return df.select(
-        when(c("n") > 1, F.concat_ws("-", "url", (c("pos") + 1).cast("string"))).otherwise(c("url")).alias("id"), "url", price("mise a prix").alias("price"), hammer.alias("prix_adjuge"), t.auction_status(c("lot"), hammer).alias("statut"),
-        t.first_of(c("text"), r"(?i)tribunal judiciaire (?:de |d')([\p{L}\- ]+)").alias("court"), t.parse_date(t.first_of(c("text"), r"(?i)((?:lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche)[^\n]{5,40})")).alias("date_vente"),
+        when(c("n") > 1, F.concat_ws("-", "url", (c("pos") + 1).cast("string"))).otherwise(c("url")).alias("id"), "url", t.amount(c("_reserve")).alias("price"), c("_hammer").alias("prix_adjuge"), t.auction_status(c("lot"), c("_hammer")).alias("statut"),
+        t.first_of(c("text"), r"(?i)tribunal judiciaire (?:de |d')([\p{L}\- ]+)").alias("court"), t.parse_date(c("_day")).alias("date_vente"),
         t.surface_m2(c("lot")).alias("surface"), t.rooms(c("lot")).alias("rooms"), t.type_from_text(c("lot")).alias("type_hint"), t.occupancy(c("lot")).alias("occupation"),
     )
